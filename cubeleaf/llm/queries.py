@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import toxicity
+from . import mixing, packing, toxicity
 from ._text import crc_mod
 
 
@@ -26,6 +26,53 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_toxicity": op1_toxicity}
+def tokenizer_path() -> str:
+    """Place of the public tokenizer file that packing uses."""
+    import public_tokenizers
 
-ORACLES: dict[str, str] = {}
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    packed = packing.pack(packing.pieces(docs, tokenizer_path(), capacity=2048))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    rows = mixing.mixed(docs)
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+#: The same water-filling and the same seeded order as plain windows.
+_MIX_SQL = """
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+         ('0x' || substr(md5('20:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT AS place
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+r AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS rank FROM s),
+w AS (SELECT *, CASE rank % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, source_size * 3 AS most FROM r),
+l AS (SELECT *, ((SELECT sum(source_size) FROM s) - coalesce(sum(most) OVER (ORDER BY most / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+         / sum(weight) OVER (ORDER BY most / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS line FROM w),
+t AS (SELECT source, source_size, least(most::DOUBLE, (SELECT max(line) FROM l) * weight) AS target FROM l),
+n AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM t),
+c AS (SELECT d.doc_id, d.size, n.source_size, n.target, n.whole,
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place) AS run, sum(d.size) OVER (PARTITION BY d.source, d.place) AS alike
+      FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source)
+SELECT doc_id, size, source_size, target,
+       size * (whole + CASE WHEN run - alike / 2 <= target - whole * source_size THEN 1 ELSE 0 END)::BIGINT AS taken
+FROM c
+"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_packing": op2_packing,
+    "op5_mixing": op5_mixing,
+}
+
+ORACLES: dict[str, str] = {"op5_mixing": _MIX_SQL}
