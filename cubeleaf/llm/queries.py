@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, toxicity
+from . import mixing, ngram_join, packing, substrings, toxicity
 from ._text import crc_mod
 
 
@@ -69,10 +69,23 @@ FROM c
 """
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without repeated windows of 20 words."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.deduplicate(docs, width=20).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose five-word shingles overlap by 80 percent or more."""
+    return ngram_join.groups(_table(spark, sf_dir, "documents").select("doc_id", "text"), percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
     "op5_mixing": op5_mixing,
+    "op6_substrings": op6_substrings,
+    "op8_ngram_join": op8_ngram_join,
 }
 
 ORACLES: dict[str, str] = {"op5_mixing": _MIX_SQL}
