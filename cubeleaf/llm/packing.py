@@ -12,8 +12,11 @@ packed each for itself.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,60 +28,110 @@ from pyspark.sql import types as T
 from ._text import Words, chunks, written
 
 #: Distinct words whose ids a worker keeps at once.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
+
+
+#: The tokenizer's own splitting rule, for the characters below.
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+
+
+class _Ragged:
+    """Lists of ids by the number of their entry, in one growing array."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+        self.flat = np.zeros(1 << 18, np.uint32)
+        self.starts = np.zeros(1 << 16, np.int64)
+
+    def add(self, names: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n = len(self.known)
+        ends = self.starts[n] + np.cumsum(sizes)
+        while n + len(names) >= len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros(len(self.starts), np.int64)])
+        while self.starts[n] + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
+        self.flat[self.starts[n] : self.starts[n] + len(ids)] = ids
+        self.starts[n + 1 : n + 1 + len(names)] = ends
+        self.known.update(zip(names, range(n, n + len(names)), strict=True))
+
+    def numbers(self, names: Iterable[str], count: int) -> np.ndarray:
+        return np.fromiter(map(self.known.__getitem__, names), np.int64, count)
+
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the entries one after the other, and how many each has."""
+        sizes = self.starts[at + 1] - self.starts[at]
+        ends = np.cumsum(sizes)
+        inner = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+        return self.flat[np.repeat(self.starts[at], sizes) + inner], sizes
 
 
 class WordTokenizer:
-    """Token ids of words, each distinct word encoded once.
+    """Token ids of words, each distinct word and each distinct part of words encoded once.
 
-    The tokenizer splits at white space, so a text's ids are those of its words one after the other.
+    The tokenizer splits at white space and then into runs of letters, digits or other signs, and the last token
+    of each part ends with the mark of a word's end.  So a text's ids are those of its parts one after the other,
+    and many parts can be encoded as one text.  Words with other characters are encoded by themselves.
     """
 
     def __init__(self, path: str):
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks already use every core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.starts, self.sizes, self.used = [], [], 0
+        self.words, self.parts = _Ragged(), _Ragged()
+
+    def _whole(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, sizes.sum()), sizes
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        for i in range(0, len(parts), 2000):
+            some = parts[i : i + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids])
+            if len(ends) == len(some) and ends[-1] == len(ids) - 1:
+                self.parts.add(some, ids, np.diff(ends, prepend=-1))
+            else:
+                self.parts.add(some, *self._whole(some))
 
     def _learn(self, words: list[str]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        total = sum(map(len, encoded))
-        if self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(total, len(self.flat)), np.uint32)])
-        for word, ids in zip(words, encoded, strict=True):
-            self.known[word] = len(self.starts)
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.starts.append(self.used)
-            self.sizes.append(len(ids))
-            self.used += len(ids)
+        plain = [w for w in words if _PLAIN.fullmatch(w) and "<|" not in w]
+        split = [_PIECE.findall(w.lower()) for w in plain]
+        self._learn_parts([p for p in dict.fromkeys(chain.from_iterable(split)) if p not in self.parts.known])
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        ids, sizes = self.parts.gather(self.parts.numbers(chain.from_iterable(split), counts.sum()))
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
+        self.words.add(plain, ids, np.diff(ends))
+        other = [w for w in words if w not in self.words.known]
+        if other:
+            self.words.add(other, *self._whole(other))
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by end_id; and the start of every text (one more than texts)."""
         words = Words(texts)
-        vocab = words.vocab.to_pylist()
-        if len(self.known) + len(vocab) > CACHE_WORDS:
+        # the tokenizer lower-cases; a special token's own string must not come about by that
+        vocab = pc.if_else(pc.match_substring(words.vocab, "<|"), words.vocab, pc.ascii_lower(words.vocab)).to_pylist()
+        new = list(dict.fromkeys(w for w in vocab if w not in self.words.known))
+        if len(self.words.known) + len(new) > CACHE_WORDS:
             self._clear()
-        self._learn([w for w in vocab if w not in self.known])
-        at = np.fromiter(map(self.known.__getitem__, vocab), np.int64, len(vocab))[words.codes]
-        sizes, starts = np.array(self.sizes, np.int64), np.array(self.starts, np.int64)
-        each = sizes[at] if len(at) else np.zeros(0, np.int64)
+            new = list(dict.fromkeys(vocab))
+        for i in range(0, len(new), 20_000):
+            self._learn(new[i : i + 20_000])
+        ids, each = self.words.gather(self.words.numbers(vocab, len(vocab))[words.codes])
         ends = np.concatenate([[0], np.cumsum(each)])
         by_text = ends[words.starts]
         first = by_text + np.arange(len(by_text))  # room for the end ids before
         doc = words.doc_of()
-        to = ends[:-1] + doc
         out = np.full(first[-1], end_id, np.uint32)
-        if len(at):
-            inner = np.arange(ends[-1]) - np.repeat(ends[:-1], each)
-            out[np.repeat(to, each) + inner] = self.flat[np.repeat(starts[at], each) + inner]
+        out[np.arange(len(ids)) + np.repeat(doc, each)] = ids
         return out, first
 
 
