@@ -161,3 +161,10 @@ def written(df: DataFrame) -> DataFrame:
 def rows_per_task(df: DataFrame) -> int:
     """Number of partitions to deal rows to: that of the session."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bounded_batches(spark, limit: str = "32m") -> None:
+    """Bounds the Arrow batches that go to Python by bytes too, not only by rows, unless the session already does."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in {k for k, _ in spark.sparkContext.getConf().getAll()}:
+        spark.conf.set(key, limit)

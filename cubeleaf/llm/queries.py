@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ngram_join, packing, substrings, toxicity
+from . import mixing, ngram_join, packing, rp_forest, substrings, topk, toxicity
 from ._text import crc_mod
 
 
@@ -40,6 +40,22 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of all other vectors for each vector whose id is divisible by 50."""
+    return topk.search(_table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(50)) == 0, k=5, scale=256)
+
+
+_TOPK_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document the mix takes."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -75,6 +91,11 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicate(docs, width=20).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of vectors linked by a cosine of 0.9 or more."""
+    return rp_forest.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose five-word shingles overlap by 80 percent or more."""
     return ngram_join.groups(_table(spark, sf_dir, "documents").select("doc_id", "text"), percent=80)
@@ -83,9 +104,11 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
+    "op4_topk": op4_topk,
     "op5_mixing": op5_mixing,
     "op6_substrings": op6_substrings,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_ngram_join": op8_ngram_join,
 }
 
-ORACLES: dict[str, str] = {"op5_mixing": _MIX_SQL}
+ORACLES: dict[str, str] = {"op4_topk": _TOPK_SQL, "op5_mixing": _MIX_SQL}
