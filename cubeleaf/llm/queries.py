@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ngram_join, packing, rp_forest, substrings, topk, toxicity
+from . import language, mixing, ngram_join, packing, quality, rp_forest, substrings, topk, toxicity
 from ._text import crc_mod
 
 
@@ -101,6 +101,25 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.groups(_table(spark, sf_dir, "documents").select("doc_id", "text"), percent=80)
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from the rows that are not held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.where(crc_mod("doc_id", 4) != 2))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "languages")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt from the labelled rows that are not held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    train = crc_mod("doc_id", 3) != 1
+    model = quality.fit(docs.where(train), _table(spark, sf_dir, "labels").where(train))
+    scored = quality.score(docs, model)
+    return scored.select(
+        "doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
@@ -109,6 +128,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_substrings": op6_substrings,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_ngram_join": op8_ngram_join,
+    "op9_language": op9_language,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {"op4_topk": _TOPK_SQL, "op5_mixing": _MIX_SQL}
