@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, ngram_join, packing, quality, rp_forest, substrings, topk, toxicity
+from . import language, lm, mixing, ngram_join, packing, quality, rp_forest, substrings, topk, toxicity
 from ._text import crc_mod
 
 
@@ -40,6 +40,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document under a model of those that are not held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(crc_mod("doc_id", 10) == 0, F.lit(False))
+    model, counts = lm.fit(docs.where(~held_out))
+    return lm.score(docs, model, counts, extra={"held_out": held_out})
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best of all other vectors for each vector whose id is divisible by 50."""
     return topk.search(_table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(50)) == 0, k=5, scale=256)
@@ -123,6 +131,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
+    "op3_lm": op3_lm,
     "op4_topk": op4_topk,
     "op5_mixing": op5_mixing,
     "op6_substrings": op6_substrings,
