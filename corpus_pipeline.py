@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cubeleaf.llm import mixing, ngram_join, packing, substrings, toxicity
-from cubeleaf.llm._text import crc_mod, written
+from cubeleaf.llm._text import Scratch, crc_mod
 from cubeleaf.llm.queries import tokenizer_path
 
 
@@ -69,6 +69,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    done = Scratch(spark)
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        following = Scratch(spark)
+        docs = following.write(stage(spark, docs, sf_dir))
+        done.drop()
+        done = following
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import written
+from ._text import Scratch, written
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -19,21 +19,26 @@ def _state(edges: DataFrame) -> tuple[int, int]:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (u, v); component is the smallest node reached."""
-    e = written(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    scratch = Scratch(edges.sparkSession)
+    e = scratch.write(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = _state(e)
     while before[0]:
         # large star: the larger neighbours of a node go to its smallest neighbour
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large)
+        large = scratch.write(large)
         # small star: the smaller neighbours of a node, and itself, go to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        e = written(small.where(F.col("u") != F.col("v")).distinct())
+        done, scratch = scratch, Scratch(edges.sparkSession)
+        e = scratch.write(small.where(F.col("u") != F.col("v")).distinct())
+        done.drop()
         now = _state(e)
         if now == before:
             break
         before = now
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    out = written(e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots))
+    scratch.drop()
+    return out

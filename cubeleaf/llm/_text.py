@@ -6,6 +6,7 @@ never touches single words.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -120,6 +121,7 @@ def add_columns(
     make() runs once in each task and returns the function of a chunk.  An input column with the name of a new
     one gives way to it.
     """
+    bounded_batches(docs.sparkSession)
     new = {f.name for f in fields}
     kept = [f for f in docs.schema.fields if f.name not in new]
     names = [f.name for f in kept]
@@ -152,10 +154,35 @@ def shared_folder(spark) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """df, computed once and read from Parquet in the shared folder: its lineage ends there."""
-    spark = df.sparkSession
-    path = shared_folder(spark)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).write(df)
+
+
+def drop_shuffles(spark) -> None:
+    """Lets the driver find out which shuffles nothing refers to any more, so that their files go now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+class Scratch:
+    """Tables in the shared folder that an operator drops once its result no longer needs them."""
+
+    def __init__(self, spark):
+        self.spark, self.paths = spark, []
+
+    def write(self, df: DataFrame) -> DataFrame:
+        """df, computed once and read from Parquet; the shuffles behind it may go."""
+        path = shared_folder(self.spark)
+        df.write.mode("overwrite").parquet(path)
+        self.paths.append(path)
+        drop_shuffles(self.spark)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        """Deletes all tables written so far."""
+        for path in self.paths:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.paths = []
 
 
 def rows_per_task(df: DataFrame) -> int:
@@ -163,7 +190,7 @@ def rows_per_task(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bounded_batches(spark, limit: str = "32m") -> None:
+def bounded_batches(spark, limit: str = "16m") -> None:
     """Bounds the Arrow batches that go to Python by bytes too, not only by rows, unless the session already does."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if key not in {k for k, _ in spark.sparkContext.getConf().getAll()}:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._text import written
+from ._text import Scratch, written
 
 _WORD = r"[^\x20\x09-\x0D]+"
 #: Buckets of the hash order by source: the last 36 of 48 bits stay within a bucket.
@@ -38,13 +38,13 @@ def place_of(seed: int, doc_id: str = "doc_id") -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))), 1, 12), 16, 10).cast("long")
 
 
-def plan(sized: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
+def plan(sized: DataFrame, scratch: Scratch, *, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
     """(source, source_size, target, whole, threshold) from (source, place, size) rows.
 
     A document is taken whole times, and once more if its place is at most threshold (null: none).
     """
     buckets = sized.groupBy("source", F.shiftright("place", _SHIFT).alias("bucket")).agg(F.sum("size").alias("in_bucket"))
-    buckets = written(buckets)
+    buckets = scratch.write(buckets)
     totals = buckets.groupBy("source").agg(F.sum("in_bucket").alias("source_size"))
     every = Window.partitionBy()
     ranked = totals.withColumn("rank", F.row_number().over(every.orderBy(F.col("source").asc_nulls_last())) - 1)
@@ -89,8 +89,10 @@ def mixed(docs: DataFrame, *, seed: int = 20, weights: tuple[int, ...] = (5, 2,
 
     The sizes are written once (narrow rows); texts are not shuffled.
     """
-    sized = written(docs.select("source", place_of(seed).alias("place"), size_of(text).alias("size")))
-    sources = written(plan(sized, weights=weights, cap=cap))
+    scratch = Scratch(docs.sparkSession)
+    sized = scratch.write(docs.select("source", place_of(seed).alias("place"), size_of(text).alias("size")))
+    sources = written(plan(sized, scratch, weights=weights, cap=cap))
+    scratch.drop()
     if sources.count() <= BROADCAST_SOURCES:
         sources = F.broadcast(sources)
     base = docs.drop("size", "source_size", "target", "copies", "whole", "threshold")

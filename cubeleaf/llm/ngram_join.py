@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ._components import components
 from ._runs import shared_keys
-from ._text import Words, chunks, mix, rolling, rows_per_task, written
+from ._text import Scratch, Words, bounded_batches, chunks, mix, rolling, rows_per_task, written
 
 NO_ID = (1 << 63) - 1
 SKETCH_BITS = 20
@@ -264,8 +264,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 def groups(docs: DataFrame, *, percent: int = 80, text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs."""
     spark = docs.sparkSession
+    bounded_batches(spark)
+    scratch = Scratch(spark)
+    keep = scratch.write
     named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), text)
-    first = written(_sets_and_sketch(named, text))
+    first = keep(_sets_and_sketch(named, text))
     sets = first.where(F.col("n").isNotNull()).select("doc", "n", "key")
     counts = _sketch(first.where(F.col("part").isNotNull()))
     small = {r["n"]: r["count"] for r in sets.where(F.col("n").between(1, LARGEST_SMALL)).groupBy("n").count().collect()}
@@ -275,33 +278,35 @@ def groups(docs: DataFrame, *, percent: int = 80, text: str = "text") -> DataFra
     boundary = choose_boundary(small, list_length, percent)
     shared = spark.sparkContext.broadcast(np.minimum(counts, (1 << 31) - 1).astype(np.int32))
 
-    lists = written(_lists(_keys(named, text, shared, boundary, percent)))
+    lists = keep(_lists(_keys(named, text, shared, boundary, percent)))
     near = F.col("prev_n") * 100 >= F.col("n") * percent
-    pairs = written(lists.where(near).select(F.least("key", "prev_key").alias("u"), F.greatest("key", "prev_key").alias("v")).distinct())
-    texts = written(_texts(named, text, written(lists.select("key").distinct())))
-    links = written(_verified(pairs, texts, percent))
-    labels = written(components(links))
+    pairs = keep(lists.where(near).select(F.least("key", "prev_key").alias("u"), F.greatest("key", "prev_key").alias("v")).distinct())
+    texts = keep(_texts(named, text, keep(lists.select("key").distinct())))
+    links = keep(_verified(pairs, texts, percent))
+    labels = components(links)
 
     # what still lies apart within a list
     apart = lists.select("token", "n", "key").join(labels.withColumnRenamed("node", "key"), "key", "left").select("token", "n", "key", F.coalesce("component", "key").alias("component"))
-    apart = written(apart)
+    apart = keep(apart)
     several = apart.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where(F.col("least") != F.col("most")).select("token")
-    open_lists = written(apart.join(several, "token", "left_semi"))
+    open_lists = keep(apart.join(several, "token", "left_semi"))
     x, y = open_lists.alias("x"), open_lists.alias("y")
     within = (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.key") < F.col("y.key"))
     alike = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
     more = x.join(y, within & alike).select(F.col("x.key").alias("u"), F.col("y.key").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti")
-    found = _verified(written(more), texts, percent)
-    labels = written(components(written(links.unionByName(found))))
+    found = _verified(keep(more), texts, percent)
+    labels = components(keep(links.unionByName(found)))
 
     classes = sets.where(F.col("n") > 0).groupBy("key").agg(F.min("doc").alias("least_doc"))
-    placed = written(classes.join(labels.withColumnRenamed("node", "key"), "key", "left"))
+    placed = keep(classes.join(labels.withColumnRenamed("node", "key"), "key", "left"))
     least = placed.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("least_doc").alias("group_doc"))
     by_class = placed.join(least, "component", "left").select("key", F.coalesce("group_doc", "least_doc").alias("component_id"))
     # one id under several sets counts as one document
     out = sets.where(F.col("n") > 0).join(by_class, "key").select("doc", "n", "component_id").unionByName(sets.where(F.col("n") == 0).select("doc", "n", F.col("doc").alias("component_id")))
     nothing = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return out.select(nothing("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), nothing("component_id").alias("component_id"))
+    result = written(out.select(nothing("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), nothing("component_id").alias("component_id")))
+    scratch.drop()
+    return result
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:

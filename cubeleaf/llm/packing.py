@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._text import Words, chunks, written
+from ._text import Scratch, Words, bounded_batches, chunks, written
 
 #: Distinct words whose ids a worker keeps at once.
 CACHE_WORDS = 600_000
@@ -141,6 +141,7 @@ PIECE_FIELDS = [T.StructField(n, t) for n, t in (("piece", T.IntegerType()), ("s
 def pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, end_id: int = 0, text: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece of each document: the columns of docs without the text, piece, start, length, ids_crc32
     and, if asked for, the ids themselves."""
+    bounded_batches(docs.sparkSession)
     new = {"piece", "start", "length", "ids_crc32", "ids"}
     kept = [f for f in docs.schema.fields if f.name not in new and f.name != text]
     fields = PIECE_FIELDS + ([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])
@@ -216,12 +217,15 @@ def _packed(rows: DataFrame, shards: int, capacity: int, base: int) -> DataFrame
 
 def pack(cut: DataFrame, *, capacity: int = 2048, shard_rows: int = 8192, good_fill: float = 0.98) -> DataFrame:
     """Pieces (with a length column) plus sequence_id and offset."""
-    cut = written(cut.drop("sequence_id", "offset", "fill"))
+    scratch = Scratch(cut.sparkSession)
+    cut = scratch.write(cut.drop("sequence_id", "offset", "fill"))
     shards = max(1, -(-cut.count() // shard_rows))
     first = _packed(cut, shards, capacity, 0)
     if shards == 1:
         return first.drop("fill")
     first = written(first)
+    columns = cut.columns
+    scratch.drop()
     good = F.col("fill") >= good_fill * capacity
-    again = _packed(written(first.where(~good).select(*cut.columns)), max(1, shards // 8), capacity, 1 << 62)
+    again = _packed(written(first.where(~good).select(*columns)), max(1, shards // 8), capacity, 1 << 62)
     return first.where(good).drop("fill").unionByName(again.drop("fill"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import components
-from ._text import bounded_batches, written
+from ._text import Scratch, bounded_batches, written
 from ._vectors import matrix, usable
 
 
@@ -163,7 +163,8 @@ def near_duplicates(
                 yield pa.RecordBatch.from_arrays([part.column("node"), part.column("size"), part.column("embedding"), pa.ListArray.from_arrays(pa.array(ends), pa.array(leaf.astype(np.int32)))], names=["node", "size", "embedding", "leaves"])
 
     routed = classes.select("node", "size", "embedding").mapInArrow(route, "node long, size long, embedding array<float>, leaves array<int>")
-    routed = written(routed.withColumn("embedding", F.col("embedding").cast(vectors.schema["embedding"].dataType)))
+    scratch = Scratch(spark)
+    routed = scratch.write(routed.withColumn("embedding", F.col("embedding").cast(vectors.schema["embedding"].dataType)))
     # blocks of each leaf: a row for each leaf of the bounded forest
     sizes = routed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     placed = routed.withColumn("leaf", F.explode("leaves")).join(F.broadcast(sizes), "leaf")
@@ -190,6 +191,7 @@ def near_duplicates(
         return pa.table({"node": node[some], "links": links[some].astype(np.int64), "root": node[root[some]]})
 
     found = written(placed.groupBy("leaf", "x", "y").applyInArrow(compare, "node long, links long, root long"))
+    scratch.drop()
     labels = components(found.where(F.col("node") != F.col("root")).select(F.col("node").alias("u"), F.col("root").alias("v")))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     by_class = classes.join(counts, "node", "left").join(labels, "node", "left").select(

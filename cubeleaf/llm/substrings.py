@@ -13,8 +13,8 @@ Hot groups: a worker first settles what repeats within its own batch (there only
 earliest), so a hash has at most one row for each batch of text in the shuffle.  Groups are found by streaming
 over sorted partitions and are never held in memory.
 
-Null text has no words.  Null ids count as the largest.  Rows with the same doc_id are told apart by a hash of
-the text and ordered by it; rows equal in both are judged alike and are not earlier than each other.
+Null text has no words.  Null ids count as the largest.  Rows with the same doc_id are told apart and ordered
+by a hash of id and text; rows equal in both are judged alike and are not earlier than each other.
 Columns of docs named like the results give way to them.
 """
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._runs import later_rows, shared_keys
-from ._text import _B1, _B2, Words, chunks, rolling, rows_per_task
+from ._text import _B1, _B2, Scratch, Words, bounded_batches, chunks, rolling, rows_per_task, written
 
 PERIOD, COVER = 13, (0, 1, 3, 9)
 #: Rows of a batch are settled among themselves in pieces of so much text.
@@ -91,7 +91,7 @@ def _covering(flags: pa.Array, lengths: np.ndarray, starts: np.ndarray, before:
 
 
 def _candidates(part: pa.RecordBatch, text: str, width: int) -> pa.RecordBatch:
-    """Rows (a, b, doc, tie, pos, row) of windows near repeated anchors; a is null where the batch settles them."""
+    """Rows (a, b, doc, row, pos) of windows near repeated anchors; a is null where the batch settles them."""
     words = Words(part.column(text))
     lengths, starts = words.lengths, words.starts[:-1]
     near = _covering(part.column("flags"), lengths, starts, PERIOD - 1, 0, lengths - width)
@@ -100,20 +100,20 @@ def _candidates(part: pa.RecordBatch, text: str, width: int) -> pa.RecordBatch:
     a = rolling(words.hashes(_B1), flat, flat + width, _B1)
     b = rolling(words.hashes(_B2), flat, flat + width, _B2)
     pos = _positions(words, flat, doc)
-    ids, tie, row = (part.column(c).to_numpy()[doc] for c in ("_doc", "_tie", "_row"))
-    order = np.lexsort((pos, tie, ids, b, a))
+    ids, row = (part.column(c).to_numpy()[doc] for c in ("_doc", "_row"))
+    order = np.lexsort((pos, row, ids, b, a))
     x, y = a[order], b[order]
     opens = np.ones(len(order), bool)
     opens[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
     at = np.maximum.accumulate(np.where(opens, np.arange(len(order)), 0)) if len(order) else np.zeros(0, np.int64)
     first = order[at]
-    later = (ids[order] != ids[first]) | (tie[order] != tie[first]) | (pos[order] != pos[first])
+    later = (ids[order] != ids[first]) | (row[order] != row[first]) | (pos[order] != pos[first])
     alone, settled = order[opens], order[later]
     pick = np.concatenate([alone, settled])
     mask = np.arange(len(pick)) >= len(alone)
     return pa.RecordBatch.from_arrays(
-        [pa.array(a[pick].view(np.int64), mask=mask), _signed(b[pick]), pa.array(ids[pick]), pa.array(tie[pick]), pa.array(pos[pick].astype(np.int32)), pa.array(row[pick])],
-        names=["a", "b", "doc", "tie", "pos", "row"],
+        [pa.array(a[pick].view(np.int64), mask=mask), _signed(b[pick]), pa.array(ids[pick]), pa.array(row[pick]), pa.array(pos[pick].astype(np.int32))],
+        names=["a", "b", "doc", "row", "pos"],
     )
 
 
@@ -136,12 +136,13 @@ def _split(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
 
 def deduplicate(docs: DataFrame, *, width: int = 20, text: str = "text") -> DataFrame:
     """docs with n_words, n_removed, kept_text (words joined by one space) and kept_sha256 of that text."""
-    new = ("n_words", "n_removed", "kept_text", "kept_sha256", "flags", "_row", "_doc", "_tie")
+    bounded_batches(docs.sparkSession)
+    new = ("n_words", "n_removed", "kept_text", "kept_sha256", "flags", "_row", "_doc")
     base = docs.drop(*new)
     parts = rows_per_task(docs)
     tie = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    keyed = base.withColumns({"_doc": doc, "_tie": tie}).withColumn("_row", F.xxhash64("_doc", "_tie"))
+    keyed = base.withColumn("_doc", doc).withColumn("_row", F.xxhash64("_doc", tie))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _split(batches, text):
@@ -167,15 +168,17 @@ def deduplicate(docs: DataFrame, *, width: int = 20, text: str = "text") -> Data
         yield from settled
 
     marked = dealt.mapInArrow(repeats, "row long, pos int")
-    flags = marked.groupBy("row").agg(F.collect_set("pos").alias("flags"))
-    near = keyed.join(flags.withColumnRenamed("row", "_row"), "_row").select("_row", "_doc", "_tie", text, "flags")
+    # written, so that the anchors' shuffle can go before texts are dealt
+    scratch = Scratch(docs.sparkSession)
+    flags = scratch.write(marked.groupBy("row").agg(F.collect_set("pos").alias("flags")))
+    near = keyed.join(flags.withColumnRenamed("row", "_row"), "_row").select("_row", "_doc", text, "flags")
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _split(batches, text):
             yield _candidates(part, text, width)
 
-    windows = near.mapInArrow(candidates, "a long, b long, doc long, tie long, pos int, row long")
-    ranked = windows.repartition(parts, F.coalesce("a", F.xxhash64("row", "pos"))).sortWithinPartitions("a", "b", "doc", "tie", "pos")
+    windows = near.mapInArrow(candidates, "a long, b long, doc long, row long, pos int")
+    ranked = windows.repartition(parts, F.coalesce("a", F.xxhash64("row", "pos"))).sortWithinPartitions("a", "b", "doc", "row", "pos")
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def grouped() -> Iterator[pa.RecordBatch]:
@@ -187,13 +190,14 @@ def deduplicate(docs: DataFrame, *, width: int = 20, text: str = "text") -> Data
                     yield batch.slice(empty)
 
         settled: list[pa.RecordBatch] = []
-        for out in later_rows(grouped(), ["a", "b"], ["doc", "tie", "pos"], ["row", "pos"]):
+        for out in later_rows(grouped(), ["a", "b"], ["doc", "row", "pos"], ["row", "pos"]):
             yield from settled
             settled.clear()
             yield out
         yield from settled
 
-    gone = ranked.mapInArrow(repeated, "row long, pos int").groupBy("row").agg(F.collect_set("pos").alias("flags"))
+    gone = written(ranked.mapInArrow(repeated, "row long, pos int").groupBy("row").agg(F.collect_set("pos").alias("flags")))
+    scratch.drop()
     joined = keyed.join(gone.withColumnRenamed("row", "_row"), "_row", "left")
     joined = joined.withColumn("flags", F.coalesce("flags", F.array().cast("array<int>")))
     names = [f.name for f in base.schema.fields]
