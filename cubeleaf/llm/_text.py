@@ -6,12 +6,15 @@ never touches single words.
 
 from __future__ import annotations
 
+import contextlib
 import gc
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -158,9 +161,17 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def drop_shuffles(spark) -> None:
-    """Lets the driver find out which shuffles nothing refers to any more, so that their files go now."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets the driver find out which shuffles nothing refers to any more, so that their files go now.
+
+    The listeners hold the last query until they have heard of its end, and what refers to a shuffle is found in
+    two steps.
+    """
+    with contextlib.suppress(Py4JJavaError):  # a bus that is busy for long only delays the cleaning
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(5000)
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 class Scratch:
