@@ -112,6 +112,10 @@ def _write(df: DataFrame, name: str, v: Value, ctx: Context) -> DataFrame:
     return df.withColumn(name, F.when(F.col("__hit"), new).otherwise(old)).withMetadata(name, df.schema[name].metadata)
 
 
+def _picked(cells: Column, at: Column) -> Column:
+    return F.transform(at, lambda i: F.element_at(cells, i))
+
+
 def _write_part(df: DataFrame, target, v: Value, ctx: Context) -> DataFrame:
     """A slice or the elements of a mask: each element of the cell is replaced where the subscript selects it."""
     chain = []
@@ -134,7 +138,7 @@ def _write_part(df: DataFrame, target, v: Value, ctx: Context) -> DataFrame:
             raise LanguageError("one subscript is needed")
         if subs[0][0] == "range":
             cut, _ = _slice(ctx, subs[0], F.size(places))
-            places = F.transform(cut, lambda i, p=places: F.element_at(p, i))
+            places = _picked(places, cut)
         else:
             flags = lower(subs[0], ctx) if subs[0] != ("end",) else None
             if flags is not None and flags.is_array and flags.type == "bool":

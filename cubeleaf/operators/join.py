@@ -152,7 +152,7 @@ def _band_join(l: DataFrame, r: DataFrame, band: tuple[str, str, str], test: Col
     if not width > 0 or width != width:
         width = 1.0
     # a grid for each power of 16: an interval goes to the finest grid in which it spans at most 17 buckets
-    level = F.greatest(F.lit(0), F.ceil(F.log(F.lit(16.0), F.greatest((hi - lo) / F.lit(width * 16), F.lit(1.0))))).cast("int")
+    level = F.greatest(F.lit(0), F.ceil(F.log(16.0, F.greatest((hi - lo) / F.lit(width * 16), F.lit(1.0))))).cast("int")
     placed = good.withColumn("__level", level).withColumn("__w", F.lit(width) * F.pow(F.lit(16.0), F.col("__level")))
     placed = placed.withColumn("__bucket", F.explode(F.sequence(F.floor(lo / F.col("__w")), F.floor(hi / F.col("__w")))))
     levels = [row["__level"] for row in placed.select("__level").distinct().limit(64).collect()]

@@ -71,8 +71,11 @@ def _source(p) -> tuple[object, str]:
         p.need("]")
         src = inner
     elif p.take("$"):
-        src = ("$", int(p.tok.value))
+        t = p.tok
         p.i += 1
+        if t.kind == "quantity":  # "$1 d" looks like a number with a unit
+            return ("$", int(t.value[0])), t.value[1]
+        src = ("$", int(t.value))
     else:
         src = ("name", p.tok.value if p.tok.kind == "str" else p.tok.text)
         p.i += 1

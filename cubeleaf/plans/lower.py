@@ -471,6 +471,11 @@ def _slice(ctx: Context, item, size: Column) -> tuple[Column, Column]:
     return cut, F.size(cut)
 
 
+def _spread(outer: Column, inner: Column, size: Column) -> Column:
+    """Flat places of one more axis of the given size, which varies faster."""
+    return F.flatten(F.transform(outer, lambda o: F.transform(inner, lambda i: o * size + i - 1)))
+
+
 def _sub_nd(ctx: Context, v: Value, subs) -> Value:
     shape = v.shape if v.shape is not None else F.array(F.size(v.col))
     cuts, kept = [], []
@@ -487,9 +492,7 @@ def _sub_nd(ctx: Context, v: Value, subs) -> Value:
     # column-major: the last axis varies slowest
     flat = F.transform(cuts[-1], lambda i: i - 1)
     for k in range(len(subs) - 2, -1, -1):
-        size = F.element_at(shape, k + 1)
-        inner = cuts[k]
-        flat = F.flatten(F.transform(flat, lambda outer, inner=inner, size=size: F.transform(inner, lambda i: outer * size + i - 1)))
+        flat = _spread(flat, cuts[k], F.element_at(shape, k + 1))
     pick = lambda c: None if c is None else F.transform(flat, lambda i: F.element_at(c, (i + 1).cast("int")))
     right = F.when(F.size(shape) != len(subs), F.raise_error(F.lit("wrong number of subscripts"))).otherwise(v.col)
     if not any(kept):
