@@ -76,8 +76,8 @@ def join(
         test = on
     out = l.join(r, test, how)
     if unmatched == "error":
-        missing = F.col("`r.#`").isNull()
-        out = out.withColumn("r.#", F.when(missing, F.raise_error(F.lit("a left row has no match"))).otherwise(F.col("`r.#`"))).where(F.col("`r.#`").isNotNull())
+        # a filter, so that it is carried out whatever columns are asked for
+        out = out.where(F.assert_true(F.coalesce(F.col("`r.#`"), F.lit(-1)) >= 0, "a left row has no match").isNull())
     return _finish(out, left, lnames, rnames, where, orderby)
 
 
@@ -109,7 +109,7 @@ def _unique(r: DataFrame, keys: list[Column]) -> DataFrame:
     from pyspark.sql import Window
 
     n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    return r.withColumn("r.#", F.when(n > 1, F.raise_error(F.lit("the right table has a key twice"))).otherwise(F.col("`r.#`")))
+    return r.withColumn("__n", n).where(F.assert_true(F.col("__n") <= 1, "the right table has a key twice").isNull()).drop("__n")
 
 
 def _two_sided(left: Table, right: Table) -> Context:

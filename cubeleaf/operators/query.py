@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -177,8 +178,6 @@ def predicate(where, ctx: Context, t: Table, cols: Sequence[str] | None = None)
     if isinstance(where, Column):
         return where
     if callable(where):
-        import pandas as pd
-
         names = list(cols or t.columns)
 
         @F.pandas_udf(T.BooleanType())
