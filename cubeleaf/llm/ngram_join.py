@@ -9,9 +9,9 @@ order, rarest first by a counting sketch over all documents, and any two sets th
 n - ceil(0.8 n) + 1 shingles of both.  Small sets that may link with large ones do so too.  The boundary is where
 the estimated cost of both is smallest, from the histogram of small sizes and the sketch.
 
-Lists of one key are streamed from sorted partitions.  First only neighbours in a list are verified, which is
-linear in its length and joins nearly everything that belongs together; then pairs of a list that still lie in
-different components are verified too.  So a large group of near copies costs about its size, and yet no link
+Lists of one key are streamed from sorted partitions.  First only neighbours in a list are verified, in an order of
+the list's own, which is linear in its length and joins nearly everything that belongs together; then pairs of a list that still lie in
+different components and whose bitmaps allow a link are verified too.  So a large group of near copies costs about its size, and yet no link
 between components is lost.  Verification compares whole sets.
 
 Null or blank texts have an empty set and link with nothing.  Null ids count as the largest id.  Rows that share
@@ -37,6 +37,10 @@ SKETCH_BITS = 20
 _SKETCH_PART = 1 << 14  # counters of one row of the sketch
 #: Sizes that may be treated as small; the boundary is chosen among them.
 LARGEST_SMALL = 14
+#: 64-bit words of a class's bitmap: bit i is the parity of its shingles with hash i, so two bitmaps differ in at
+#: most as many bits as the sets differ in shingles, and a pair that differs in too many can't link.
+BITMAP_WORDS = 8
+_BITMAP = [f"b{i}" for i in range(BITMAP_WORDS)]
 #: Bits of the filter that keeps texts without candidates out of the shuffle.
 FILTER_BITS = 23
 
@@ -203,7 +207,8 @@ def _lists(keys: DataFrame) -> DataFrame:
             before = (t[-1], n[-1], k[-1])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pn, mask=none), pa.array(pk, mask=none)], names=["token", "n", "key", "prev_n", "prev_key"])
 
-    dealt = keys.repartition(rows_per_task(keys), "token").sortWithinPartitions("token", "n", "key")
+    # another order in each list: a class meets other neighbours in every list it is in
+    dealt = keys.repartition(rows_per_task(keys), "token").sortWithinPartitions("token", F.xxhash64("token", "key"), "key")
     return dealt.mapInArrow(run, "token long, n int, key long, prev_n int, prev_key long")
 
 
@@ -224,8 +229,14 @@ def _filter_of(keys: DataFrame) -> np.ndarray:
     return out
 
 
+def bitmap(x: np.ndarray) -> np.ndarray:
+    """The parity bitmap of a set."""
+    bits = np.bincount((mix(x) & np.uint64(64 * BITMAP_WORDS - 1)).astype(np.int64), minlength=64 * BITMAP_WORDS) & 1
+    return np.packbits(bits.astype(bool)).view(np.int64)
+
+
 def _texts(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """(key, text): the text of one document of each wanted class."""
+    """(key, text, bitmap): the text of one document of each wanted class."""
     bits = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,10 +249,12 @@ def _texts(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
                 first = np.zeros(len(keys), bool)
                 first[np.unique(keys, return_index=True)[1]] = True
                 take = marked[(keys.view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] & full & first
-                yield pa.RecordBatch.from_arrays([pa.array(keys[take]), part.column(text).filter(pa.array(take))], names=["key", "text"])
+                maps = np.array([bitmap(sets[i]) for i in np.flatnonzero(take)], np.int64).reshape(-1, BITMAP_WORDS)
+                arrays = [pa.array(keys[take]), part.column(text).filter(pa.array(take)), *(pa.array(maps[:, i]) for i in range(BITMAP_WORDS))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["key", "text", *_BITMAP])
 
-    found = docs.select(text).mapInArrow(run, "key long, text string")
-    return found.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
+    found = docs.select(text).mapInArrow(run, "key long, text string, " + ", ".join(f"{b} long" for b in _BITMAP))
+    return found.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"), *(F.min(b).alias(b) for b in _BITMAP))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -279,7 +292,7 @@ def groups(docs: DataFrame, *, percent: int = 80, text: str = "text") -> DataFra
     shared = spark.sparkContext.broadcast(np.minimum(counts, (1 << 31) - 1).astype(np.int32))
 
     lists = keep(_lists(_keys(named, text, shared, boundary, percent)))
-    near = F.col("prev_n") * 100 >= F.col("n") * percent
+    near = F.least("n", "prev_n") * 100 >= F.greatest("n", "prev_n") * percent
     pairs = keep(lists.where(near).select(F.least("key", "prev_key").alias("u"), F.greatest("key", "prev_key").alias("v")).distinct())
     texts = keep(_texts(named, text, keep(lists.select("key").distinct())))
     links = keep(_verified(pairs, texts, percent))
@@ -289,11 +302,15 @@ def groups(docs: DataFrame, *, percent: int = 80, text: str = "text") -> DataFra
     apart = lists.select("token", "n", "key").join(labels.withColumnRenamed("node", "key"), "key", "left").select("token", "n", "key", F.coalesce("component", "key").alias("component"))
     apart = keep(apart)
     several = apart.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where(F.col("least") != F.col("most")).select("token")
-    open_lists = keep(apart.join(several, "token", "left_semi"))
+    open_lists = keep(apart.join(several, "token", "left_semi").join(texts.select("key", *_BITMAP), "key"))
     x, y = open_lists.alias("x"), open_lists.alias("y")
     within = (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.key") < F.col("y.key"))
     alike = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
-    more = x.join(y, within & alike).select(F.col("x.key").alias("u"), F.col("y.key").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti")
+    differ = F.bit_count(F.col("x.b0").bitwiseXOR(F.col("y.b0")))
+    for b in _BITMAP[1:]:
+        differ = differ + F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}")))
+    few = differ * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
+    more = x.join(y, within & alike & few).select(F.col("x.key").alias("u"), F.col("y.key").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti")
     found = _verified(keep(more), texts, percent)
     labels = components(keep(links.unionByName(found)))
 
