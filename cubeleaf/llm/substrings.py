@@ -7,14 +7,14 @@ the input.
 {0, 1, 3, 9} is a difference cover modulo 13: for any two positions some shift below 13 takes both to cover
 positions.  So two equal windows of 20 words contain, at one and the same shift, equal windows of 8 words that
 start at cover positions.  Only those anchors (4 of 13 positions) are hashed and grouped; around anchors that
-occur twice, the windows of 20 words are then compared by 128-bit hashes of their words.
+occur twice, the windows of 20 words are then compared by 96-bit hashes of their words.
 
 Hot groups: a worker first settles what repeats within its own batch (there only one row of a hash goes on, the
 earliest), so a hash has at most one row for each batch of text in the shuffle.  Groups are found by streaming
 over sorted partitions and are never held in memory.
 
 Null text has no words.  Null ids count as the largest.  Rows with the same doc_id are told apart and ordered
-by a hash of id and text; rows equal in both are judged alike and are not earlier than each other.
+by a 32-bit hash of the text; rows equal in both are judged alike and are not earlier than each other.
 Columns of docs named like the results give way to them.
 """
 
@@ -38,16 +38,12 @@ PERIOD, COVER = 13, (0, 1, 3, 9)
 BATCH_BYTES = 12 << 20
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
-
-
 def _positions(words: Words, flat: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return flat - words.starts[doc]
 
 
 def _anchors(part: pa.RecordBatch, text: str, width: int) -> pa.RecordBatch:
-    """Rows (hash, row, pos); hash is null where the batch itself holds the same words twice."""
+    """Rows (hash, doc, pos); hash is null where the batch itself holds the same words twice."""
     words = Words(part.column(text))
     inner = width - PERIOD + 1
     h = words.hashes()
@@ -71,10 +67,10 @@ def _anchors(part: pa.RecordBatch, text: str, width: int) -> pa.RecordBatch:
     # every member of a group of the batch is known to repeat; its first also stands for it outside
     member = order[known]
     alone = order[~again]
-    row = part.column("_row").to_numpy()
+    ids = part.column("_doc").to_numpy()
     at = np.concatenate([alone, member])
     hashes = pa.array(np.concatenate([hashed[alone], hashed[member]]).view(np.int64), mask=np.arange(len(at)) >= len(alone))
-    return pa.RecordBatch.from_arrays([hashes, pa.array(row[doc[at]]), pa.array(pos[at].astype(np.int32))], names=["hash", "row", "pos"])
+    return pa.RecordBatch.from_arrays([hashes, pa.array(ids[doc[at]]), pa.array(pos[at].astype(np.int32))], names=["hash", "doc", "pos"])
 
 
 def _covering(flags: pa.Array, lengths: np.ndarray, starts: np.ndarray, before: int, after: int, last: np.ndarray) -> np.ndarray:
@@ -91,29 +87,29 @@ def _covering(flags: pa.Array, lengths: np.ndarray, starts: np.ndarray, before:
 
 
 def _candidates(part: pa.RecordBatch, text: str, width: int) -> pa.RecordBatch:
-    """Rows (a, b, doc, row, pos) of windows near repeated anchors; a is null where the batch settles them."""
+    """Rows (a, b, doc, tie, pos) of windows near repeated anchors; a is null where the batch settles them."""
     words = Words(part.column(text))
     lengths, starts = words.lengths, words.starts[:-1]
     near = _covering(part.column("flags"), lengths, starts, PERIOD - 1, 0, lengths - width)
     flat = np.flatnonzero(near)
     doc = words.doc_of()[flat]
     a = rolling(words.hashes(_B1), flat, flat + width, _B1)
-    b = rolling(words.hashes(_B2), flat, flat + width, _B2)
+    b = (rolling(words.hashes(_B2), flat, flat + width, _B2) >> np.uint64(32)).astype(np.uint32).view(np.int32)
     pos = _positions(words, flat, doc)
-    ids, row = (part.column(c).to_numpy()[doc] for c in ("_doc", "_row"))
-    order = np.lexsort((pos, row, ids, b, a))
+    ids, tie = (part.column(c).to_numpy()[doc] for c in ("_doc", "_tie"))
+    order = np.lexsort((pos, tie, ids, b, a))
     x, y = a[order], b[order]
     opens = np.ones(len(order), bool)
     opens[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
     at = np.maximum.accumulate(np.where(opens, np.arange(len(order)), 0)) if len(order) else np.zeros(0, np.int64)
     first = order[at]
-    later = (ids[order] != ids[first]) | (row[order] != row[first]) | (pos[order] != pos[first])
+    later = (ids[order] != ids[first]) | (tie[order] != tie[first]) | (pos[order] != pos[first])
     alone, settled = order[opens], order[later]
     pick = np.concatenate([alone, settled])
     mask = np.arange(len(pick)) >= len(alone)
     return pa.RecordBatch.from_arrays(
-        [pa.array(a[pick].view(np.int64), mask=mask), _signed(b[pick]), pa.array(ids[pick]), pa.array(row[pick]), pa.array(pos[pick].astype(np.int32))],
-        names=["a", "b", "doc", "row", "pos"],
+        [pa.array(a[pick].view(np.int64), mask=mask), pa.array(b[pick]), pa.array(ids[pick]), pa.array(tie[pick]), pa.array(pos[pick].astype(np.int32))],
+        names=["a", "b", "doc", "tie", "pos"],
     )
 
 
@@ -137,68 +133,68 @@ def _split(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
 def deduplicate(docs: DataFrame, *, width: int = 20, text: str = "text") -> DataFrame:
     """docs with n_words, n_removed, kept_text (words joined by one space) and kept_sha256 of that text."""
     bounded_batches(docs.sparkSession)
-    new = ("n_words", "n_removed", "kept_text", "kept_sha256", "flags", "_row", "_doc")
+    new = ("n_words", "n_removed", "kept_text", "kept_sha256", "flags", "_doc", "_tie")
     base = docs.drop(*new)
     parts = rows_per_task(docs)
-    tie = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    tie = F.hash(F.coalesce(F.col(text), F.lit("")))
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    keyed = base.withColumn("_doc", doc).withColumn("_row", F.xxhash64("_doc", tie))
+    keyed = base.withColumns({"_doc": doc, "_tie": tie})
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _split(batches, text):
             yield _anchors(part, text, width)
 
-    found = keyed.select("_row", text).mapInArrow(anchors, "hash long, row long, pos int")
-    dealt = found.repartition(parts, F.coalesce("hash", F.xxhash64("row", "pos"))).sortWithinPartitions("hash")
+    found = keyed.select("_doc", text).mapInArrow(anchors, "hash long, doc long, pos int")
+    dealt = found.repartition(parts, F.coalesce("hash", F.xxhash64("doc", "pos"))).sortWithinPartitions("hash")
 
     def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def grouped() -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 empty = batch.column("hash").null_count
                 if empty:  # nulls come first
-                    settled.append(batch.slice(0, empty).select(["row", "pos"]))
+                    settled.append(batch.slice(0, empty).select(["doc", "pos"]))
                 if empty < batch.num_rows:
                     yield batch.slice(empty)
 
         settled: list[pa.RecordBatch] = []
-        for out in shared_keys(grouped(), ["hash"], ["row", "pos"]):
+        for out in shared_keys(grouped(), ["hash"], ["doc", "pos"]):
             yield from settled
             settled.clear()
             yield out
         yield from settled
 
-    marked = dealt.mapInArrow(repeats, "row long, pos int")
+    marked = dealt.mapInArrow(repeats, "doc long, pos int")
     # written, so that the anchors' shuffle can go before texts are dealt
     scratch = Scratch(docs.sparkSession)
-    flags = scratch.write(marked.groupBy("row").agg(F.collect_set("pos").alias("flags")))
-    near = keyed.join(flags.withColumnRenamed("row", "_row"), "_row").select("_row", "_doc", text, "flags")
+    flags = scratch.write(marked.groupBy("doc").agg(F.collect_set("pos").alias("flags")))
+    near = keyed.join(flags.withColumnRenamed("doc", "_doc"), "_doc").select("_doc", "_tie", text, "flags")
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _split(batches, text):
             yield _candidates(part, text, width)
 
-    windows = near.mapInArrow(candidates, "a long, b long, doc long, row long, pos int")
-    ranked = windows.repartition(parts, F.coalesce("a", F.xxhash64("row", "pos"))).sortWithinPartitions("a", "b", "doc", "row", "pos")
+    windows = near.mapInArrow(candidates, "a long, b int, doc long, tie int, pos int")
+    ranked = windows.repartition(parts, F.coalesce("a", F.xxhash64("doc", "pos"))).sortWithinPartitions("a", "b", "doc", "tie", "pos")
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def grouped() -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 empty = batch.column("a").null_count
                 if empty:
-                    settled.append(batch.slice(0, empty).select(["row", "pos"]))
+                    settled.append(batch.slice(0, empty).select(["doc", "tie", "pos"]))
                 if empty < batch.num_rows:
                     yield batch.slice(empty)
 
         settled: list[pa.RecordBatch] = []
-        for out in later_rows(grouped(), ["a", "b"], ["doc", "row", "pos"], ["row", "pos"]):
+        for out in later_rows(grouped(), ["a", "b"], ["doc", "tie", "pos"], ["doc", "tie", "pos"]):
             yield from settled
             settled.clear()
             yield out
         yield from settled
 
-    gone = written(ranked.mapInArrow(repeated, "row long, pos int").groupBy("row").agg(F.collect_set("pos").alias("flags")))
+    gone = written(ranked.mapInArrow(repeated, "doc long, tie int, pos int").groupBy("doc", "tie").agg(F.collect_set("pos").alias("flags")))
     scratch.drop()
-    joined = keyed.join(gone.withColumnRenamed("row", "_row"), "_row", "left")
+    joined = keyed.join(gone.withColumnsRenamed({"doc": "_doc", "tie": "_tie"}), ["_doc", "_tie"], "left")
     joined = joined.withColumn("flags", F.coalesce("flags", F.array().cast("array<int>")))
     names = [f.name for f in base.schema.fields]
     schema = T.StructType([*base.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("kept_sha256", T.StringType())])
