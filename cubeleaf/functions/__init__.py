@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from ..plans.parser import LanguageError
 from ..plans.values import Value
-from . import aggregates, angles, arrays, dates, doppler, scalar, strings, windows
+from . import aggregates, angles, arrays, dates, doppler, frames, scalar, strings, windows
 
 TABLE: dict[str, tuple[int, int, object]] = {}
-for _m in (scalar, strings, arrays, windows, dates, angles):
+for _m in (scalar, strings, arrays, windows, dates, angles, frames):
     TABLE.update(_m.FUNCTIONS)
 
 
