@@ -634,7 +634,7 @@ def _stand_in(kind: T.DataType):
     return F.lit(None).cast(kind)
 
 
-def taql(command: str, *others: Table | DataFrame, tables: dict | None = None, catalog=None, resolve=None) -> Table | None:
+def execute(command: str, *others: Table | DataFrame, tables: dict | None = None, catalog=None, resolve=None) -> Table | None:
     """Carries a command out.  others are $1, $2, ...; without FROM a command is about $1."""
     named = {k: Table.of(v) for k, v in (tables or {}).items()}
     runner = Runner(named, [Table.of(t) for t in others], resolve, catalog)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import operators as ops
-from .plans.commands import taql
+from .plans.commands import execute
 from .table import Table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,7 +19,7 @@ def _tables(spark: SparkSession, sf_dir: str, *names: str) -> list[Table]:
 
 
 def _command(text: str, *names: str) -> Query:
-    return lambda spark, sf_dir: taql(text, *_tables(spark, sf_dir, *names)).data()
+    return lambda spark, sf_dir: execute(text, *_tables(spark, sf_dir, *names)).data()
 
 
 #: name: (command, tables, the same in SQL)

@@ -6,7 +6,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from cubeleaf import operators as ops
-from cubeleaf.plans.commands import taql
+from cubeleaf.plans.commands import execute
 from cubeleaf.plans.parser import LanguageError
 from cubeleaf.sources import Catalog
 from cubeleaf.sources.catalog import Conflict
@@ -15,7 +15,7 @@ from cubeleaf.table import Table
 
 def one(spark, expression, **cells):
     t = Table.of(spark.createDataFrame([Row(**(cells or {"Z": 0}))]))
-    return taql(f"SELECT {expression} AS r FROM $1", t).data().first()["r"]
+    return execute(f"SELECT {expression} AS r FROM $1", t).data().first()["r"]
 
 
 def numbers(spark, n=20):
@@ -123,9 +123,9 @@ def test_order_ties_and_limits(spark):
     down = [r.A for r in ops.query(t, orderby="C DESC").data().collect()]
     assert up == [*range(2, 21, 2), *range(1, 20, 2)]
     assert down == up[::-1]  # ties turn too if all keys descend
-    assert [r.A for r in taql("SELECT A FROM $1 ORDER BY A LIMIT -17", t).data().collect()] == [1, 2, 3]
-    assert [r.A for r in taql("SELECT A FROM $1 ORDER BY A LIMIT 1:10:4", t).data().collect()] == [2, 6, 10]
-    assert taql("SELECT A FROM $1 LIMIT 0", t).data().count() == 20
+    assert [r.A for r in execute("SELECT A FROM $1 ORDER BY A LIMIT -17", t).data().collect()] == [1, 2, 3]
+    assert [r.A for r in execute("SELECT A FROM $1 ORDER BY A LIMIT 1:10:4", t).data().collect()] == [2, 6, 10]
+    assert execute("SELECT A FROM $1 LIMIT 0", t).data().count() == 20
 
 
 def test_predicates_of_three_kinds(spark):
@@ -190,7 +190,7 @@ def test_changes_are_sequential(spark):
 def test_catalog(spark, tmp_path):
     c = Catalog(spark, f"file://{tmp_path}")
     c.save("t", numbers(spark), keywords={"K": 3})
-    taql("UPDATE t SET B = A * ::K WHERE A < 3", catalog=c)
+    execute("UPDATE t SET B = A * ::K WHERE A < 3", catalog=c)
     assert c.versions("t") == [1, 2] and c.is_stale("t", 1)
     assert [r.B for r in c.table("t").df.orderBy("A").limit(3).collect()] == [3.0, 6.0, 2.0]
     assert [r.B for r in c.table("t", 1).df.orderBy("A").limit(1).collect()] == [0.0]
@@ -198,13 +198,13 @@ def test_catalog(spark, tmp_path):
     assert sorted(r.X for r in c.table("few").df.collect()) == [19, 20]
     c.save_parts("both", ["t", "t"])
     assert c.table("both").nrow() == 40
-    taql("ALTER TABLE t ADD COLUMN N DOUBLE RENAME COLUMN C TO S SET KEYWORD Q='x'", catalog=c)
+    execute("ALTER TABLE t ADD COLUMN N DOUBLE RENAME COLUMN C TO S SET KEYWORD Q='x'", catalog=c)
     assert "N" in c.table("t").columns and c.manifest("t")["keywords"]["Q"] == "x"
     with pytest.raises(LanguageError):
         c.set_keyword("t", "Q", 5)
     with pytest.raises(Conflict):
         c._folder("t").create("manifest-1.json", "{}")
-    taql("DROP TABLE few", catalog=c)
+    execute("DROP TABLE few", catalog=c)
     assert c.names() == ["both", "t"]
 
 

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import Row
 
 from cubeleaf.functions.selection import Selections
-from cubeleaf.plans.commands import taql
+from cubeleaf.plans.commands import execute
 from cubeleaf.table import Table
 
 
@@ -19,7 +19,7 @@ def observation(spark):
     main = Table.of(spark.createDataFrame(rows).coalesce(1))
 
     def count(where):
-        return len(taql(f"SELECT SCAN_NUMBER FROM $1 WHERE {where}", main, resolve=Selections(tables)).df.collect())
+        return len(execute(f"SELECT SCAN_NUMBER FROM $1 WHERE {where}", main, resolve=Selections(tables)).df.collect())
 
     return count
 
@@ -38,7 +38,7 @@ def test_selections(observation, where, n):
 
 def test_frames(spark):
     t = Table.of(spark.createDataFrame([Row(X=[-1601185.365, -5041977.547, 3554875.870])]))
-    r = taql("SELECT meas.epoch('TAI', 5e9, 'UTC') - 5e9 AS a, meas.epoch('UTC', meas.epoch('TT', 5e9), 'TT') AS b, meas.wgs(X)[3] AS h, meas.wgs(meas.itrfxyz(0.3, 0.7, 1234)) AS w FROM $1", t).data().first()
+    r = execute("SELECT meas.epoch('TAI', 5e9, 'UTC') - 5e9 AS a, meas.epoch('UTC', meas.epoch('TT', 5e9), 'TT') AS b, meas.wgs(X)[3] AS h, meas.wgs(meas.itrfxyz(0.3, 0.7, 1234)) AS w FROM $1", t).data().first()
     assert r.a == 37.0 and abs(r.b - 5e9) < 1e-6 and abs(r.h - 2114.9) < 1
     assert r.w == pytest.approx([0.3, 0.7, 1234.0])
 
@@ -49,7 +49,7 @@ def test_synthetic_observation(spark, tmp_path):
 
     o = create(Catalog(spark, f"file://{tmp_path}"), rows=6, channels=2)
     assert validate(o) == []
-    r = taql("SELECT gcount() AS n, gmax(ANTENNA2) AS a, gsum(real(DATA)) AS s FROM $1 WHERE mscal.baseline('ANT0&ANT1') AND shape(FLAG)[2] == 2", o.main, resolve=Selections({"ANTENNA": o["ANTENNA"]})).data().first()
+    r = execute("SELECT gcount() AS n, gmax(ANTENNA2) AS a, gsum(real(DATA)) AS s FROM $1 WHERE mscal.baseline('ANT0&ANT1') AND shape(FLAG)[2] == 2", o.main, resolve=Selections({"ANTENNA": o["ANTENNA"]})).data().first()
     assert (r.n, r.a, r.s) == (2, 1, 0.0)
     o.catalog.drop("STATE")
     assert validate(o) == ["no table STATE"]
