@@ -15,7 +15,7 @@ from ..plans.lower import ROW, Context, lower, scaled_to
 from ..plans.parser import LanguageError, parse
 from ..plans.values import Value, from_column, output, to_complex
 from ..table import Table
-from .query import limited, order_items, predicate, sort_columns
+from .query import limited, next_row, order_items, predicate, sort_columns
 
 
 def _target(t: Table, where, orderby, limit, resolve=None) -> Column | None:
@@ -221,5 +221,5 @@ def insert(t: Table | DataFrame, rows, *, columns: Sequence[str] | None = None,
         if new is None:
             return t
     new = new.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields), F.col(ROW))
-    # rows of the table keep their numbers; the new ones follow in a range of their own
-    return Table(t.df.unionByName(new.withColumn(ROW, F.col(ROW) + F.lit(1 << 61))), t.keywords, t.name)
+    # rows of the table keep their numbers; the new ones follow
+    return Table(t.df.unionByName(new.withColumn(ROW, F.col(ROW) + F.lit(next_row(t.df)))), t.keywords, t.name)

@@ -209,11 +209,18 @@ def _distinct(t: Table, items: Order, select, limit, offset: int, ctx: Context)
 
 
 def concat(*tables: Table | DataFrame) -> Table:
-    """The rows of all tables one after the other; row numbers go on."""
+    """The rows of all tables one after the other; row numbers go on after the largest of the part before."""
     parts = [Table.of(t) for t in tables]
-    out = None
+    out, start = None, 0
     for k, p in enumerate(parts):
-        df = p.df.withColumn("__t", F.lit(k))
+        df = p.df.withColumn(ROW, F.col(ROW) + F.lit(start))
         out = df if out is None else out.unionByName(df)
-    # the table's place in the upper bits keeps the order without a job
-    return Table(out.withColumn(ROW, F.shiftleft(F.col("__t").cast("bigint"), 52) + F.col(ROW)).drop("__t"), parts[0].keywords)
+        if k < len(parts) - 1:
+            start += next_row(p.df)
+    return Table(out, parts[0].keywords)
+
+
+def next_row(df: DataFrame) -> int:
+    """The row number after the last; a scan of that column alone."""
+    last = df.agg(F.max(ROW).alias("m")).first()["m"]
+    return 0 if last is None else last + 1

@@ -223,3 +223,11 @@ def test_index_join_is_broadcast(spark, tmp_path):
     left, right = (Table.read(spark, f"file://{tmp_path}/{n}") for n in ("left", "right"))
     plan = ops.join(left, right, "A", unmatched="drop", rightcols={"X": "B"}).df._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan
+
+
+def test_row_numbers_stay_apart(spark):
+    t = numbers(spark, 3)
+    twice = ops.concat(ops.concat(t, t), t)
+    more = ops.insert(ops.insert(twice, [{"A": "7"}]), [{"A": "8"}])
+    rows = ops.query(more, select=[("A", "A"), ("r", "rowid()")], orderby="rowid()").data().collect()
+    assert [r.A for r in rows] == [1, 2, 3] * 3 + [7, 8] and len({r.r for r in rows}) == 11
