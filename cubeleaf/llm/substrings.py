@@ -21,7 +21,8 @@ Columns of docs named like the results give way to them.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -130,6 +131,16 @@ def _split(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
         yield from chunks(batch, text, BATCH_BYTES)
 
 
+def _after_settled(batches: Iterator[pa.RecordBatch], key: str, columns: list[str], rest: Callable) -> Iterator[pa.RecordBatch]:
+    """Rows without a key, which come first, as they are; then what rest makes of the others."""
+    for batch in batches:
+        empty = batch.column(key).null_count
+        if empty:
+            yield batch.slice(0, empty).select(columns)
+        if empty < batch.num_rows:
+            yield from rest(chain([batch.slice(empty)], batches))
+
+
 def deduplicate(docs: DataFrame, *, width: int = 20, text: str = "text") -> DataFrame:
     """docs with n_words, n_removed, kept_text (words joined by one space) and kept_sha256 of that text."""
     bounded_batches(docs.sparkSession)
@@ -148,20 +159,7 @@ def deduplicate(docs: DataFrame, *, width: int = 20, text: str = "text") -> Data
     dealt = found.repartition(parts, F.coalesce("hash", F.xxhash64("doc", "pos"))).sortWithinPartitions("hash")
 
     def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def grouped() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                empty = batch.column("hash").null_count
-                if empty:  # nulls come first
-                    settled.append(batch.slice(0, empty).select(["doc", "pos"]))
-                if empty < batch.num_rows:
-                    yield batch.slice(empty)
-
-        settled: list[pa.RecordBatch] = []
-        for out in shared_keys(grouped(), ["hash"], ["doc", "pos"]):
-            yield from settled
-            settled.clear()
-            yield out
-        yield from settled
+        yield from _after_settled(batches, "hash", ["doc", "pos"], lambda rest: shared_keys(rest, ["hash"], ["doc", "pos"]))
 
     marked = dealt.mapInArrow(repeats, "doc long, pos int")
     # written, so that the anchors' shuffle can go before texts are dealt
@@ -177,20 +175,7 @@ def deduplicate(docs: DataFrame, *, width: int = 20, text: str = "text") -> Data
     ranked = windows.repartition(parts, F.coalesce("a", F.xxhash64("doc", "pos"))).sortWithinPartitions("a", "b", "doc", "tie", "pos")
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def grouped() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                empty = batch.column("a").null_count
-                if empty:
-                    settled.append(batch.slice(0, empty).select(["doc", "tie", "pos"]))
-                if empty < batch.num_rows:
-                    yield batch.slice(empty)
-
-        settled: list[pa.RecordBatch] = []
-        for out in later_rows(grouped(), ["a", "b"], ["doc", "tie", "pos"], ["doc", "tie", "pos"]):
-            yield from settled
-            settled.clear()
-            yield out
-        yield from settled
+        yield from _after_settled(batches, "a", ["doc", "tie", "pos"], lambda rest: later_rows(rest, ["a", "b"], ["doc", "tie", "pos"], ["doc", "tie", "pos"]))
 
     gone = written(ranked.mapInArrow(repeated, "doc long, tie int, pos int").groupBy("doc", "tie").agg(F.collect_set("pos").alias("flags")))
     scratch.drop()
