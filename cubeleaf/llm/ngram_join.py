@@ -235,9 +235,9 @@ def bitmap(x: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(bool)).view(np.int64)
 
 
-def _texts(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """(key, text, bitmap): the text of one document of each wanted class."""
-    bits = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted))
+def _of_classes(docs: DataFrame, text: str, wanted: DataFrame, bits, with_text: bool) -> DataFrame:
+    """(key, bitmap) or (key, text) of one document of each wanted class; others stay out of the shuffle."""
+    names = ["key", "text"] if with_text else ["key", *_BITMAP]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = np.unpackbits(bits.value).astype(bool)
@@ -245,16 +245,37 @@ def _texts(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
             for part in chunks(batch, text):
                 sets = shingle_sets(part.column(text))
                 keys = np.array([set_key(x) for x in sets], np.int64)
-                full = np.array([len(x) > 0 for x in sets], bool)
                 first = np.zeros(len(keys), bool)
                 first[np.unique(keys, return_index=True)[1]] = True
-                take = marked[(keys.view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] & full & first
-                maps = np.array([bitmap(sets[i]) for i in np.flatnonzero(take)], np.int64).reshape(-1, BITMAP_WORDS)
-                arrays = [pa.array(keys[take]), part.column(text).filter(pa.array(take)), *(pa.array(maps[:, i]) for i in range(BITMAP_WORDS))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["key", "text", *_BITMAP])
+                full = np.array([len(x) > 0 for x in sets], bool)
+                take = np.flatnonzero(marked[(keys.view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] & full & first)
+                if with_text:
+                    rest = [part.column(text).take(pa.array(take))]
+                else:
+                    maps = np.array([bitmap(sets[i]) for i in take], np.int64).reshape(-1, BITMAP_WORDS)
+                    rest = [pa.array(maps[:, i]) for i in range(BITMAP_WORDS)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[take]), *rest], names=names)
+
+    schema = "key long, text string" if with_text else "key long, " + ", ".join(f"{b} long" for b in _BITMAP)
+    found = docs.select(text).mapInArrow(run, schema).join(wanted, "key", "left_semi")
+    return found.groupBy("key").agg(*(F.min(c).alias(c) for c in names[1:]))
+
+
+def _wanted(docs: DataFrame, text: str, wanted: DataFrame, *, with_text: bool) -> DataFrame:
+    bits = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted))
+    return _of_classes(docs, text, wanted, bits, with_text)
+
+
+def _may_link(percent: int, x: str, y: str):
+    """The bitmaps of x and y leave a link possible."""
+    differ = F.bit_count(F.col(f"{x}.b0").bitwiseXOR(F.col(f"{y}.b0")))
+    for b in _BITMAP[1:]:
+        differ = differ + F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}")))
+    return differ * (100 + percent) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (100 - percent)
+
 
-    found = docs.select(text).mapInArrow(run, "key long, text string, " + ", ".join(f"{b} long" for b in _BITMAP))
-    return found.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"), *(F.min(b).alias(b) for b in _BITMAP))
+def _keys_in(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -293,8 +314,15 @@ def groups(docs: DataFrame, *, percent: int = 80, text: str = "text") -> DataFra
 
     lists = keep(_lists(_keys(named, text, shared, boundary, percent)))
     near = F.least("n", "prev_n") * 100 >= F.greatest("n", "prev_n") * percent
-    pairs = keep(lists.where(near).select(F.least("key", "prev_key").alias("u"), F.greatest("key", "prev_key").alias("v")).distinct())
-    texts = keep(_texts(named, text, keep(lists.select("key").distinct())))
+    maps = keep(_wanted(named, text, keep(lists.select("key").distinct()), with_text=False))
+    end = lambda n: F.least("key", "prev_key") if n == "u" else F.greatest("key", "prev_key")
+    size = lambda n: F.when(end(n) == F.col("key"), F.col("n")).otherwise(F.col("prev_n"))
+    tested = lists.where(near).select(end("u").alias("u"), end("v").alias("v"), size("u").alias("nu"), size("v").alias("nv")).distinct()
+    x = maps.withColumnRenamed("key", "u").alias("x")
+    y = maps.withColumnRenamed("key", "v").alias("y")
+    both = tested.join(x, "u").join(y, "v").select("u", "v", F.struct(F.col("nu").alias("n"), *(F.col(f"x.{b}") for b in _BITMAP)).alias("p"), F.struct(F.col("nv").alias("n"), *(F.col(f"y.{b}") for b in _BITMAP)).alias("q"))
+    pairs = keep(both.where(_may_link(percent, "p", "q")).select("u", "v"))
+    texts = keep(_wanted(named, text, keep(_keys_in(pairs)), with_text=True))
     links = keep(_verified(pairs, texts, percent))
     labels = components(links)
 
@@ -302,16 +330,14 @@ def groups(docs: DataFrame, *, percent: int = 80, text: str = "text") -> DataFra
     apart = lists.select("token", "n", "key").join(labels.withColumnRenamed("node", "key"), "key", "left").select("token", "n", "key", F.coalesce("component", "key").alias("component"))
     apart = keep(apart)
     several = apart.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where(F.col("least") != F.col("most")).select("token")
-    open_lists = keep(apart.join(several, "token", "left_semi").join(texts.select("key", *_BITMAP), "key"))
+    open_lists = keep(apart.join(several, "token", "left_semi").join(maps, "key"))
     x, y = open_lists.alias("x"), open_lists.alias("y")
     within = (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.key") < F.col("y.key"))
     alike = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
-    differ = F.bit_count(F.col("x.b0").bitwiseXOR(F.col("y.b0")))
-    for b in _BITMAP[1:]:
-        differ = differ + F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}")))
-    few = differ * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
-    more = x.join(y, within & alike & few).select(F.col("x.key").alias("u"), F.col("y.key").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti")
-    found = _verified(keep(more), texts, percent)
+    more = x.join(y, within & alike & _may_link(percent, "x", "y")).select(F.col("x.key").alias("u"), F.col("y.key").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti")
+    more = keep(more)
+    texts = keep(_wanted(named, text, keep(_keys_in(more)), with_text=True))
+    found = _verified(more, texts, percent)
     labels = components(keep(links.unionByName(found)))
 
     classes = sets.where(F.col("n") > 0).groupBy("key").agg(F.min("doc").alias("least_doc"))
