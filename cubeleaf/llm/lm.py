@@ -149,17 +149,33 @@ def token_ids(model: LanguageModel, texts: pa.Array) -> tuple[Words, np.ndarray,
     return words, hashes, codes, ids, context
 
 
-def _add_rows(rows: np.ndarray, grads: np.ndarray, values: np.ndarray, squares: np.ndarray, rate: float) -> None:
+def _grouped(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, starts, rows without repeats): repeated rows one after the other.  Short integers sort in linear time."""
+    short = rows.astype(np.uint16) if len(rows) and rows.max() < 1 << 16 else rows
+    order = np.argsort(short, kind="stable")
+    ranked = rows[order]
+    at = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    return order, at, ranked[at]
+
+
+def _add_rows(group: tuple[np.ndarray, np.ndarray, np.ndarray], grads: np.ndarray, values: np.ndarray, squares: np.ndarray, rate: float) -> None:
     """An AdaGrad step with one rate for each row; gradients of the same row add up."""
-    order = np.argsort(rows, kind="stable")
-    at = np.flatnonzero(np.diff(rows[order], prepend=-1))
+    order, at, u = group
     g = np.add.reduceat(grads[order], at, axis=0)
-    u = rows[order][at]
-    squares[u] += (g * g).mean(axis=1) if g.ndim > 1 else g * g
+    squares[u] += np.einsum("ij,ij->i", g, g) / g.shape[1] if g.ndim > 1 else g * g
     step = rate / np.sqrt(squares[u])
     values[u] += step[:, None] * g if g.ndim > 1 else step * g
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """In place; large negative arguments give 0."""
+    np.negative(x, out=x)
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
 class Trainer:
     """Noise-contrastive training of one partition."""
 
@@ -182,14 +198,19 @@ class Trainer:
     def _step(self, c: np.ndarray, t: np.ndarray) -> None:
         n = np.minimum(np.searchsorted(self.cum, self.rng.random(self.k)), len(self.cum) - 1)
         h, qt, qn = self.r[c], self.q[t], self.q[n]
-        sigma = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-        gt = 1 - sigma((h * qt).sum(axis=1) + self.b[t] - self.log_kp[t])
-        gn = -sigma(h @ qn.T + self.b[n] - self.log_kp[n])
-        dh = gt[:, None] * qt + gn @ qn
-        rows = np.concatenate([t, n])
-        _add_rows(rows, np.concatenate([gt[:, None] * h, gn.T @ h]), self.q, self.squares[1], self.rate)
-        _add_rows(rows, np.concatenate([gt, gn.sum(axis=0)]), self.b, self.squares[2], self.rate * 0.1)
-        _add_rows(c, dh, self.r, self.squares[0], self.rate)
+        gt = 1 - _sigmoid(np.einsum("ij,ij->i", h, qt) + self.b[t] - self.log_kp[t])
+        s = h @ qn.T
+        s += self.b[n] - self.log_kp[n]
+        gn = _sigmoid(s)  # the gradient is its negative
+        dh = gt[:, None] * qt
+        dh -= gn @ qn
+        targets, contexts = _grouped(np.concatenate([t, n])), _grouped(c)
+        dq = np.empty((len(t) + len(n), h.shape[1]), np.float32)
+        np.multiply(gt[:, None], h, out=dq[: len(t)])
+        np.matmul(-gn.T, h, out=dq[len(t) :])
+        _add_rows(targets, dq, self.q, self.squares[1], self.rate)
+        _add_rows(targets, np.concatenate([gt, -gn.sum(axis=0)]), self.b, self.squares[2], self.rate * 0.1)
+        _add_rows(contexts, dh, self.r, self.squares[0], self.rate)
 
 
 def _round(texts: DataFrame, model: LanguageModel, text: str, rate: float) -> None:
