@@ -3,7 +3,12 @@
 Each tree splits recursively by a random direction at the median of its sample; rows near the split go to both
 sides.  The trees are fitted on a bounded sample (``sample_rows`` distinct vectors, those with the smallest hash
 of id) and every row is routed through them.  Within a leaf all cosines are computed in double precision and the
-pairs at or above the threshold are linked, so no false link appears; a pair is missed only if no tree puts it
+pairs at or above the threshold are linked, so no false link appears.
+
+Groups too dense for the trees, which would split them again and again, have hubs: sample vectors with half a leaf of
+others within the threshold.  The rows within the threshold of a hub are its core.  By the triangle inequality all
+that they link with lies within twice the angle of the hub; so the core is compared with these rows, which finds its
+links exactly, and takes no part in the trees.  A pair is missed only if neither row is in a core and no tree puts it
 into one leaf.
 
 Equal vectors form a class that is routed once and counts with its size.  A leaf with more rows than ``block``
@@ -80,6 +85,31 @@ def grow(sample: np.ndarray, rows: int, *, trees: int, leaf_rows: int, spill: fl
     return Forest(depth, width, directions, low, high)
 
 
+def hubs_of(sample: np.ndarray, need: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(sample rows that are hubs, whether a row of the sample is in no core): the densest first, each with need rows at least that no earlier hub has."""
+    x = sample.astype(np.float32)
+    rest, hubs = np.ones(len(x), bool), []
+
+    def near(rows: np.ndarray) -> np.ndarray:
+        """For every row of the sample, how many of these rows are near."""
+        out = np.zeros(len(x), np.int64)
+        for at in range(0, len(rows), 512):
+            out += (x @ x[rows[at : at + 512]].T >= threshold).sum(axis=1)
+        return out
+
+    degree = near(np.arange(len(x)))
+    while rest.any():
+        hub = int(np.where(rest, degree, -1).argmax())
+        if degree[hub] < need:
+            break
+        core = rest & (x @ x[hub] >= threshold)
+        core[hub] = True
+        degree -= near(np.flatnonzero(core))
+        rest &= ~core
+        hubs.append(hub)
+    return np.array(hubs, np.int64), rest
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -150,27 +180,47 @@ def near_duplicates(
     picked = classes.orderBy(F.xxhash64("node"), "node").limit(most).select("node", "embedding").toArrow()
     sample = matrix(picked["embedding"].combine_chunks(), width) if picked.num_rows else np.zeros((0, width))
     sample = _unit(sample[np.argsort(picked["node"].to_numpy())]) if len(sample) else sample
-    forest = grow(sample, shape["n"], trees=trees, leaf_rows=leaf_rows, spill=spill, seed=seed)
-    shared = spark.sparkContext.broadcast(forest)  # at most sample_rows / 16 leaves a tree
+    n = shape["n"]
+    # one leaf needs no hubs
+    hubs, rest = hubs_of(sample, max(8, leaf_rows * len(sample) // (2 * n)), threshold) if n > leaf_rows else (np.zeros(0, np.int64), np.ones(len(sample), bool))
+    forest = grow(sample[rest], -(-n * int(rest.sum()) // max(len(sample), 1)), trees=trees, leaf_rows=leaf_rows, spill=spill, seed=seed)
+    first_hub = trees << forest.depth  # the leaf of the first hub
+    far = np.cos(min(np.pi, 2 * np.arccos(np.clip(threshold, -1, 1)))) - 1e-6
+    shared = spark.sparkContext.broadcast((forest, sample[hubs]))  # at most sample_rows / 16 leaves a tree and sample_rows / 8 hubs
+
+    def place(forest: Forest, hubs: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, leaf) for the leaves of trees and hubs, and each row's hub or -1."""
+        cosine = x @ hubs.T
+        core = np.where((cosine >= threshold).any(axis=1), (cosine >= threshold).argmax(axis=1), -1) if len(hubs) else np.full(len(x), -1)
+        outside = np.flatnonzero(core < 0)
+        row, leaf = forest.route(x[outside])
+        # a pair of two cores meets at the earlier hub
+        at, hub = np.nonzero((cosine >= far) & ((core < 0)[:, None] | (np.arange(len(hubs)) <= core[:, None])))
+        row, leaf = np.concatenate([outside[row], at]), np.concatenate([leaf, first_hub + hub])
+        order = np.lexsort((leaf, row))
+        return row[order], leaf[order], core
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees_here = shared.value
+        trees_here, hubs_here = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                row, leaf = trees_here.route(_unit(matrix(part.column("embedding"), trees_here.width)))
+                row, leaf, core = place(trees_here, hubs_here, _unit(matrix(part.column("embedding"), trees_here.width)))
                 ends = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("size"), part.column("embedding"), pa.ListArray.from_arrays(pa.array(ends), pa.array(leaf.astype(np.int32)))], names=["node", "size", "embedding", "leaves"])
+                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("size"), part.column("embedding"), pa.ListArray.from_arrays(pa.array(ends), pa.array(leaf.astype(np.int32))), pa.array(core.astype(np.int32))], names=["node", "size", "embedding", "leaves", "core"])
 
-    routed = classes.select("node", "size", "embedding").mapInArrow(route, "node long, size long, embedding array<float>, leaves array<int>")
+    routed = classes.select("node", "size", "embedding").mapInArrow(route, "node long, size long, embedding array<float>, leaves array<int>, core int")
     scratch = Scratch(spark)
     routed = scratch.write(routed.withColumn("embedding", F.col("embedding").cast(vectors.schema["embedding"].dataType)))
-    # blocks of each leaf: a row for each leaf of the bounded forest
-    sizes = routed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    placed = routed.withColumn("leaf", F.explode("leaves")).join(F.broadcast(sizes), "leaf")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    placed = placed.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.withColumns({"x": F.least("mine", "other"), "y": F.greatest("mine", "other")}).drop("other", "blocks")
+    # blocks of each leaf: a row for each leaf of the bounded forest and for each hub; what is no core of a hub meets only the core
+    inner = (F.col("leaf") < first_hub) | (F.col("leaf") == F.col("core") + first_hub)
+    leaves = routed.withColumn("leaf", F.explode("leaves")).withColumn("inner", inner)
+    sizes = leaves.groupBy("leaf").agg(*(F.ceil(F.count_if(c) / block).cast("int").alias(name) for name, c in (("inside", F.col("inner")), ("outside", ~F.col("inner")))))
+    placed = leaves.join(F.broadcast(sizes.where("inside > 0")), "leaf")
+    mine = F.when(F.col("inner"), F.pmod(F.xxhash64("node"), F.col("inside"))).otherwise(F.col("inside") + F.pmod(F.xxhash64("node"), F.greatest("outside", F.lit(1)))).cast("int")
+    last = F.when(F.col("inner"), F.col("inside") + F.col("outside")).otherwise(F.col("inside")) - 1
+    placed = placed.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    placed = placed.withColumns({"x": F.least("mine", "other"), "y": F.greatest("mine", "other")}).drop("other", "inside", "outside", "inner", "core")
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -184,7 +234,10 @@ def near_duplicates(
         left, right = np.flatnonzero(mine == x), np.flatnonzero(mine == y)
         i, j = linked(unit[left], unit[right], x == y, threshold)
         i, j = left[i], right[j]
-        once = np.concatenate([first_common(lists[i[a : a + 100_000]], lists[j[a : a + 100_000]], leaf) for a in range(0, len(i), 100_000)] or [np.zeros(0, bool)])
+        if leaf >= first_hub:
+            once = np.ones(len(i), bool)
+        else:
+            once = np.concatenate([first_common(lists[i[a : a + 100_000]], lists[j[a : a + 100_000]], leaf) for a in range(0, len(i), 100_000)] or [np.zeros(0, bool)])
         links = np.bincount(i[once], size[j[once]], len(node)) + np.bincount(j[once], size[i[once]], len(node))
         root = _roots(len(node), i, j)
         some = (links > 0) | (root != np.arange(len(node)))

@@ -238,6 +238,22 @@ def test_embedding_dedup_against_brute_force(spark):
     assert len({got[i].component_id for i in range(len(x) - 5, len(x))}) == 1
 
 
+def test_embedding_dedup_finds_all_links_of_a_hot_group(spark):
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=32)
+    x = rng.normal(size=(3000, 32))
+    x[:1000] = centre / np.linalg.norm(centre) + rng.normal(0, 0.28 / 32**0.5, (1000, 32))
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r for r in rp_forest.near_duplicates(df, leaf_rows=16, block=300).collect()}
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    link = unit @ unit.T >= 0.9
+    np.fill_diagonal(link, False)
+    found = sum(r.n_links for r in got.values())
+    assert found >= 0.99 * link.sum(), found / link.sum()
+    assert all(got[i].n_links <= link[i].sum() for i in got)
+
+
 def test_lm_base_and_normalisation(awkward):
     docs, rows = awkward
     train = docs.where("coalesce(doc_id, 0) % 2 = 0")
