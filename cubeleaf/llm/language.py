@@ -9,8 +9,8 @@ language of least weight is left out as long as the penalised likelihood does no
 language with the largest proportion, and the score is that proportion.
 
 The model is fitted on a bounded sample: at most ``per_language`` documents of each language, those with the
-smallest hash of doc_id, and on at most ``languages`` languages, the most frequent.  All words of each text are
-scored.  Null texts and texts without a letter are ``und`` with score 0; so is everything if nothing was learnt.
+smallest hash of doc_id.  Every language that a row is labelled with is learnt; counts are held sparse, so a rare
+language takes little memory.  All words of each text are scored.  Null texts and texts without a letter are ``und`` with score 0; so is everything if nothing was learnt.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from ._text import Words, add_columns, bounded_batches, mix
 
 BITS = 16
 ORDERS = (1, 2, 3, 4)
+#: Counts that are looked up at once, languages whose counts a task holds, and bytes of text times languages that are scored at once.
+CHUNK, HELD, SCORED = 1 << 22, 64, 1 << 27
 
 
 @dataclass(frozen=True)
@@ -35,7 +37,27 @@ class LanguageModel:
     """Log probabilities by order, bucket and language."""
 
     names: list[str]
-    table: np.ndarray  # orders x buckets x languages
+    base: np.ndarray  # orders x languages: of a bucket without a count
+    starts: np.ndarray  # of each order and bucket in what follows
+    language: np.ndarray
+    more: np.ndarray  # what a count adds to the base
+
+    def words(self, vocab: pa.Array) -> np.ndarray:
+        """Log-likelihoods of words x languages."""
+        k = len(self.names)
+        out = np.zeros(len(vocab) * k)
+        for o, (bucket, word) in enumerate(word_grams(vocab)):
+            out += (np.bincount(word, minlength=len(vocab))[:, None] * self.base[o]).ravel()
+            at = self.starts[(o << BITS) + bucket]
+            sizes = self.starts[(o << BITS) + bucket + 1] - at
+            ends = np.cumsum(sizes)
+            # about so many counts at once
+            cuts = np.searchsorted(ends, np.arange(CHUNK, ends[-1], CHUNK)) if len(ends) else []
+            for g in np.split(np.arange(len(bucket)), cuts):
+                n = sizes[g]
+                i = np.repeat(at[g] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                out += np.bincount(np.repeat(word[g], n) * k + self.language[i], self.more[i], len(out))
+        return out.reshape(len(vocab), k)
 
 
 def word_grams(vocab: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -62,41 +84,54 @@ def word_grams(vocab: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", per_language: int = 2000, languages: int = 64, smoothing: float = 0.05) -> LanguageModel:
+def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", per_language: int = 2000, smoothing: float = 0.05) -> LanguageModel:
     """Learn from the rows of docs with a text and a language."""
     bounded_batches(docs.sparkSession)
-    labelled = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.col(lang) != "und"))
-    frequent = labelled.groupBy(lang).count().orderBy(F.col("count").desc(), lang).limit(languages)
-    names = sorted(r[lang] for r in frequent.collect())
+    labelled = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
+    names = sorted(r[lang] for r in labelled.select(lang).distinct().collect())
     if not names:
-        return LanguageModel([], np.zeros((len(ORDERS), 1 << BITS, 0)))
+        return LanguageModel([], np.zeros((len(ORDERS), 0)), np.zeros((len(ORDERS) << BITS) + 1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32))
     first = Window.partitionBy(lang).orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = labelled.where(F.col(lang).isin(names)).select("doc_id", lang).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_language)
-    # at most per_language * languages rows of an id and a name
+    ids = labelled.select("doc_id", lang).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_language)
+    # at most per_language rows of an id and a name for each language
     ids = ids.select("doc_id", F.col(lang).alias("_lang")).distinct()
-    picked = labelled.select("doc_id", text, lang).join(F.broadcast(ids), (labelled["doc_id"] == ids["doc_id"]) & (F.col(lang) == F.col("_lang"))).select("_lang", text)
+    picked = labelled.select("doc_id", text, lang).join(F.broadcast(ids) if len(names) <= HELD else ids, (labelled["doc_id"] == ids["doc_id"]) & (F.col(lang) == F.col("_lang"))).select("_lang", text)
 
     def count(batches):
-        total = np.zeros((len(ORDERS), 1 << BITS, len(names)))
+        held: dict[str, np.ndarray] = {}
+
+        def rows():
+            for name, total in held.items():
+                order, bucket = np.nonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(((order << BITS) + bucket).astype(np.int32)), pa.array([name] * len(order), pa.string()), pa.array(total[order, bucket])], names=["at", "lang", "n"])
+            held.clear()
+
         for batch in batches:
-            for k, name in enumerate(names):
+            for name in pc.unique(batch.column("_lang")).to_pylist():
                 part = batch.filter(pc.equal(batch.column("_lang"), name))
+                if name not in held:
+                    if len(held) == HELD:
+                        yield from rows()
+                    held[name] = np.zeros((len(ORDERS), 1 << BITS))
                 for at in range(0, part.num_rows, 200):
                     words = Words(part.column(text).slice(at, 200))
                     if not len(words.codes):
                         continue
                     weight = np.bincount(words.codes, minlength=len(words.vocab))
                     for o, (bucket, word) in enumerate(word_grams(words.vocab)):
-                        total[o, :, k] += np.bincount(bucket, weight[word], 1 << BITS)
-        order, bucket, k = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(order), pa.array(bucket), pa.array(k), pa.array(total[order, bucket, k])], names=["o", "bucket", "k", "n"])
+                        held[name][o] += np.bincount(bucket, weight[word], 1 << BITS)
+        yield from rows()
 
-    rows = picked.mapInArrow(count, "o long, bucket long, k long, n double").groupBy("o", "bucket", "k").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros((len(ORDERS), 1 << BITS, len(names)))
-    counts[rows["o"].to_numpy(), rows["bucket"].to_numpy(), rows["k"].to_numpy()] = rows["n"].to_numpy()
-    total = counts.sum(axis=1, keepdims=True)
-    seen = (counts.sum(axis=2) > 0).sum(axis=1)[:, None, None] + 1
-    return LanguageModel(names, np.log((counts + smoothing) / (total + smoothing * seen)).astype(np.float32))
+    number = F.array_position(F.lit(names), F.col("lang")).cast("int") - 1
+    rows = picked.mapInArrow(count, "at int, lang string, n double").groupBy("at", "lang").agg(F.sum("n").alias("n")).select("at", number.alias("k"), "n").toArrow()
+    at, k, n = (rows[c].to_numpy() for c in ("at", "k", "n"))
+    order = np.lexsort((k, at))
+    at, k, n = at[order], k[order], n[order]
+    total = np.zeros((len(ORDERS), len(names)))
+    np.add.at(total, (at >> BITS, k), n)
+    seen = np.bincount(np.unique(at) >> BITS, minlength=len(ORDERS))[:, None] + 1
+    starts = np.searchsorted(at, np.arange((len(ORDERS) << BITS) + 1))
+    return LanguageModel(names, np.log(smoothing / (total + smoothing * seen)), starts, k.astype(np.int32), np.log1p(n / smoothing).astype(np.float32))
 
 
 def _segments(words: Words, segment: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +184,7 @@ def mixture(loglik: np.ndarray, doc: np.ndarray, n: int, rounds: int = 12) -> tu
 def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", segment: int = 8) -> DataFrame:
     """docs with lang_pred, score and languages: the set, largest proportion first.  A map over the rows."""
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**16 buckets of 4 orders for each language
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the counts that are not zero
 
     def make():
         here = shared.value
@@ -157,16 +192,24 @@ def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", segme
         names = np.array([*here.names, "und"], object)
 
         def of(part: pa.RecordBatch) -> list[pa.Array]:
+            """In slices, so that the memory does not grow with the languages."""
+            ends = np.cumsum(pc.fill_null(pc.binary_length(part.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            limit = max(1, SCORED // max(k, 1))
+            cuts = [0]
+            while cuts[-1] < part.num_rows:
+                done = ends[cuts[-1] - 1] if cuts[-1] else 0
+                cuts.append(max(cuts[-1] + 1, int(np.searchsorted(ends, done + limit, "right"))))
+            found = [scored(part.slice(a, b - a)) for a, b in zip(cuts, cuts[1:])] or [scored(part)]
+            return [pa.concat_arrays(c) for c in zip(*found)]
+
+        def scored(part: pa.RecordBatch) -> list[pa.Array]:
             words = Words(part.column(text))
             n = len(words.lengths)
             letters = pc.fill_null(pc.match_substring_regex(part.column(text), r"\p{L}"), False).to_numpy(zero_copy_only=False)
             pred, score = np.full(n, k), np.zeros(n)
             sets: list[list[str]] = [[] for _ in range(n)]
             if k and len(words.codes):
-                by_word = np.zeros((len(words.vocab), k))
-                for o, (bucket, word) in enumerate(word_grams(words.vocab)):
-                    for j in range(k):
-                        by_word[:, j] += np.bincount(word, here.table[o, bucket, j], len(words.vocab))
+                by_word = here.words(words.vocab)
                 starts, doc = _segments(words, segment)
                 theta, active = mixture(np.add.reduceat(by_word[words.codes], starts, axis=0), doc, n)
                 good = letters & (words.lengths > 0)

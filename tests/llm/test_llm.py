@@ -299,6 +299,18 @@ def _labelled(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
+def test_every_language_is_learnt(spark):
+    rng = np.random.default_rng(2)
+    names = [f"l{i:02}" for i in range(69)] + ["und"]
+    words = {n: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(12)] for n in names}
+    rows = [(i * 10 + j, " ".join(rng.choice(words[n], 16)), n) for i, n in enumerate(names) for j in range(1 if n in ("l68", "und") else 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    model = language.fit(docs)
+    assert model.names == names
+    got = language.identify(docs, model).collect()
+    assert all(r.lang_pred == r.lang for r in got), [(r.lang, r.lang_pred) for r in got if r.lang_pred != r.lang]
+
+
 def test_toxicity(spark, awkward):
     docs, labels = _labelled(spark)
     model = toxicity.fit(docs.where("doc_id < 300"), labels)
