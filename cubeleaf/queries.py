@@ -106,8 +106,8 @@ def _j4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _j7(spark: SparkSession, sf_dir: str) -> DataFrame:
     l, p = _tables(spark, sf_dir, "lineitem", "part")
-    few = ops.query(p, "p_partkey % 10 == 0", select=["p_partkey", ("lo", "p_size"), ("hi", "p_size+1")])
-    return ops.join(l, few, "L.l_quantity BETWEEN R.lo AND R.hi", leftcols=["l_orderkey", "l_linenumber"], rightcols=["p_partkey"], multi=True, unmatched="drop").data()
+    sizes = ops.query(p, select=["p_partkey", ("lo", "p_size"), ("hi", "p_size+1")])
+    return ops.join(l, sizes, "L.l_quantity BETWEEN R.lo AND R.hi", leftcols=["l_orderkey", "l_linenumber"], rightcols=["p_partkey"], multi=True, unmatched="drop").data()
 
 
 def _d1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -231,3 +231,14 @@ def test_row_numbers_stay_apart(spark):
     more = ops.insert(ops.insert(twice, [{"A": "7"}]), [{"A": "8"}])
     rows = ops.query(more, select=[("A", "A"), ("r", "rowid()")], orderby="rowid()").data().collect()
     assert [r.A for r in rows] == [1, 2, 3] * 3 + [7, 8] and len({r.r for r in rows}) == 11
+
+
+def test_registered_range_join_takes_every_part(spark, tmp_path):
+    from cubeleaf.queries import QUERIES
+
+    lines = [(i, i % 3, float(q)) for i, q in enumerate([1, 2, 5, 5, 7, 50])]
+    parts = [(k, k % 9) for k in range(1, 25)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_quantity double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(parts, "p_partkey long, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    got = sorted(map(tuple, QUERIES["J7_range"](spark, str(tmp_path)).collect()))
+    assert got == sorted((o, n, k) for o, n, q in lines for k, size in parts if size <= q <= size + 1)
