@@ -19,8 +19,8 @@ _POOLED = {
     "gcount", "gsum", "gproduct", "gmean", "gavg", "gsumsqr", "gsumsquare", "gmin", "gmax", "gmedian", "gvariance", "gsamplevariance", "gstddev", "gsamplestddev", "grms",
     "gany", "gall", "gntrue", "gnfalse",
 }
-_PLURAL = {f"{n}s" for n in ("gsum", "gproduct", "gsumsqr", "gsumsquare", "gmean", "gavg", "gvariance", "gsamplevariance", "gstddev", "gsamplestddev", "grms", "gmin", "gmax", "gany", "gall", "gntrue", "gnfalse")}
-NAMES = _POOLED | _PLURAL | {"countall", "gfractile", "gfirst", "glast", "growid", "gaggr", "gstack", "ghist", "ghistogram"}
+PLURAL = {f"{n}s" for n in ("gsum", "gproduct", "gsumsqr", "gsumsquare", "gmean", "gavg", "gvariance", "gsamplevariance", "gstddev", "gsamplestddev", "grms", "gmin", "gmax", "gany", "gall", "gntrue", "gnfalse")}
+NAMES = _POOLED | PLURAL | {"countall", "gfractile", "gfirst", "glast", "growid", "gaggr", "gstack", "ghist", "ghistogram"}
 
 
 def poisoned(v: Value, agg: Column) -> Column:
@@ -123,35 +123,23 @@ def _pooled(ctx, name: str, v: Value) -> Column:
     return F.sqrt(out) if "stddev" in name else out
 
 
-#: Cells of at most so many elements are reduced by one aggregate for each position.
-WIDEST = 4096
-
-
 def _per_element(ctx, name: str, v: Value) -> Value:
     """Each position of the group's cells reduced over its rows; masked elements are skipped.
 
-    The length of the cells is read from one row; then every position has an aggregate of its own, so partial
-    results are combined where the rows lie and no cell is ever listed.  A cell of another length is an error.
+    Positions are exploded and aggregated by keys and position, so partial results are combined where the rows lie and
+    no group is listed.  Each group has the length of its own cells; cells of several lengths in one are an error.
     """
     base = name[:-1]
     if not v.is_array:
         raise LanguageError(f"{name} needs arrays")
+    if ctx.per_element is None:
+        raise LanguageError(f"{name} can't stand here")
     kind = _type(base, v)
-    n = ctx.length_of(v.col) if ctx.length_of is not None else 0
-    if n > WIDEST:
-        raise LanguageError(f"{name} takes cells of at most {WIDEST} elements")
     inner = v if v.type == "bool" or kind == "int" else to_float(v)
     empty = F.lit(False) if kind == "bool" else F.lit(0).cast("bigint") if kind == "int" else F.lit(0.0) if base in ("gsum", "gsumsqr", "gsumsquare") else nan()
-    out = []
-    for i in range(1, n + 1):
-        x = F.get(inner.col, F.lit(i - 1))
-        if v.mask is not None:
-            x = F.when(~F.get(v.mask, F.lit(i - 1)), x)
-        out.append(F.coalesce(_scalar(ctx, base, Value(x, inner.type, nullable=False)), empty))
-    sizes = F.size(v.col)
-    same = (F.min(sizes) == n) & (F.max(sizes) == n)
-    cell = F.array(*out) if out else F.array().cast("array<double>")
-    return Value(F.when(same, cell).otherwise(F.raise_error(F.lit("cells of different shapes"))), kind, v.rank, F.any_value(v.shape) if v.shape is not None else None)
+    x = F.col("__e.x") if v.mask is None else F.when(~F.col("__e.m"), F.col("__e.x"))
+    cell, shape = ctx.per_element(replace(v, col=inner.col), F.coalesce(_scalar(ctx, base, Value(x, inner.type, nullable=False)), empty))
+    return Value(cell, kind, v.rank, shape)
 
 
 def _histogram(v: Value, bins: Value, low: Value, high: Value) -> Value:
@@ -200,7 +188,7 @@ def call(ctx, name: str, args: list) -> Value:
         g = to_float(v)
         pooled = F.flatten(F.collect_list(arrays.valid(g))) if v.is_array else None
         return Value(poisoned(v, arrays.fractile(pooled, F.lit(float(f.literal))) if v.is_array else _percentile(ctx, g.col, float(f.literal))), "float")
-    if name in _PLURAL:
+    if name in PLURAL:
         return _per_element(ctx, name, v)
     kind = "complex" if v.type == "complex" else _type(name, v)
     return Value(_pooled(ctx, name, v) if v.is_array else poisoned(v, _scalar(ctx, name, v)), kind, unit=v.unit)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import replace
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,11 +60,23 @@ def groupby(
 
     keyed = {n: Value(F.col(hidden[n]), v.type, v.rank, unit=v.unit) for n, v in values.items()}
 
-    def length_of(c: Column) -> int:
-        row = df.select(F.size(c).alias("n")).where(F.col("n") >= 0).first()
-        return row["n"] if row else 0
+    pieces: list[Column] = []  # what a select with per-element aggregates takes from the other aggregates
+    elements: list[tuple[str, str | None, Column]] = []  # hidden cells and masks, and the aggregate of a position
 
-    group = Context(rows.columns, rows.keywords, keyed, F.col(ROW), grouping, resolve, hide, length_of)
+    def piece(c: Column | None) -> Column | None:
+        if c is None:
+            return None
+        pieces.append(c.alias(f"__a{len(pieces)}"))
+        return F.col(f"__a{len(pieces) - 1}")
+
+    def per_element(v: Value, reduced: Column) -> tuple[Column, Column | None]:
+        h, m = hide(v.col), hide(v.mask) if v.mask is not None else None
+        elements.append((h, m, reduced))
+        low, high = piece(F.min(F.size(h))), piece(F.max(F.size(h)))
+        cell = F.coalesce(F.col(f"__p{len(elements) - 1}"), F.array())
+        return F.when(low == high, cell).otherwise(F.raise_error(F.lit("cells of different shapes"))), piece(F.any_value(v.shape) if v.shape is not None else None)
+
+    group = Context(rows.columns, rows.keywords, keyed, F.col(ROW), grouping, resolve, hide, per_element)
 
     def as_key(tree):
         """A select expression that equals a key expression is that key."""
@@ -85,22 +99,43 @@ def groupby(
             return tuple(resolved(x) for x in tree)
         return [resolved(x) for x in tree] if isinstance(tree, list) else tree
 
+    having = parse(having) if isinstance(having, str) else having
+    items = order_items(orderby)
+    split = any(n and n[0] == "call" and n[1] in aggregates.PLURAL for tree in [*(x for _, x in chosen), having, *(x for x, _ in items)] if tree is not None for n in walk(resolved(tree)))
+    seen: dict[str, tuple] = {}
+
+    def lifted(tree):
+        """With aggregates and last rows as values that are there after the aggregation."""
+        if isinstance(tree, tuple) and tree[:1] == ("value",):
+            return tree
+        if isinstance(tree, tuple) and (tree[:1] == ("col",) or (tree[:1] == ("call",) and (tree[1] in aggregates.NAMES or tree[1] == "grouping"))):
+            if str(tree) not in seen:
+                v = lower(tree, group)
+                done = (tree[0] == "col" and tree[1] in values) or tree[1] in aggregates.PLURAL
+                seen[str(tree)] = ("value", v if done else replace(v, col=piece(v.col), mask=piece(v.mask), shape=piece(v.shape)))
+            return seen[str(tree)]
+        if isinstance(tree, tuple):
+            return tuple(lifted(x) for x in tree)
+        return [lifted(x) for x in tree] if isinstance(tree, list) else tree
+
+    def final(tree):
+        return lifted(as_key(tree)) if split else as_key(tree)
+
     out, pairs = [], []
     for k, (name, tree) in enumerate(chosen):
-        v = lower(as_key(tree), group)
+        v = lower(final(tree), group)
         if isinstance(name, tuple):
             pairs.append(name)
             out += [v.col.alias(name[0]), (v.mask if v.mask is not None else F.lit(False)).alias(name[1])]
         else:
             c = output(v)
             out.append(c.alias(name, metadata={"unit": v.unit}) if v.unit else c.alias(name))
-    extra: list[Column] = [F.min(ROW).alias("__first"), F.count(F.lit(1)).alias("__n")]
+    counts = [F.min(ROW).alias("__first"), F.count(F.lit(1)).alias("__n")]
+    extra: list[Column] = []
     if having is not None:
-        tree = parse(having) if isinstance(having, str) else having
-        extra.append(condition(as_key(resolved(tree)), group).alias("__having"))
-    items = order_items(orderby)
+        extra.append(condition(final(resolved(having)), group).alias("__having"))
     for k, (tree, _) in enumerate(items):
-        extra.append(output(lower(as_key(resolved(tree)), group)).alias(f"__o{k}"))
+        extra.append(output(lower(final(resolved(tree)), group)).alias(f"__o{k}"))
     names = [n for name, _ in chosen for n in (name if isinstance(name, tuple) else (name,))]
     source = df.withColumns(below) if below else df
     ids = [F.col(h) for h in hidden.values()]
@@ -111,7 +146,29 @@ def groupby(
         grouped = source.rollup(*ids) if rollup else source.cube(*ids)
     else:
         grouped = source.groupBy(*ids)
-    done = grouped.agg(*out, *extra)
+    if split:
+        done = grouped.agg(*pieces, *counts, (F.grouping_id() if many else F.lit(0)).cast("bigint").alias("__gid"))
+        sets = [list(s) for s in grouping_sets] if grouping_sets is not None else [list(values)[:k] for k in range(len(values) + 1)] if rollup else [list(s) for k in range(len(values) + 1) for s in combinations(values, k)]
+        for k, (h, m, reduced) in enumerate(elements):
+            masked = lambda x, i: F.struct(x.alias("x"), (F.lit(False) if m is None else F.get(F.col(m), i)).alias("m"))  # noqa: B023, E731
+            cells = F.transform(h, masked)
+            apart = source.select(*ids, F.posexplode(cells).alias("__pos", "__e"))
+            if many:
+                distinct = {tuple(sorted(s)): s for s in sets}.values()
+                apart = apart.groupingSets([[*(F.col(hidden[n]) for n in s), F.col("__pos")] for s in distinct], *ids, F.col("__pos"))
+            else:
+                apart = apart.groupBy(*ids, "__pos")
+            # the position is the last bit of the id
+            apart = apart.agg(reduced.alias("__v"), (F.shiftright(F.grouping_id(), 1) if many else F.lit(0)).cast("bigint").alias("__gid"))
+            apart = apart.groupBy(*ids, "__gid").agg(F.array_sort(F.collect_list(F.struct("__pos", "__v"))).alias("__all"))
+            apart = apart.select(*(F.col(i).alias(f"__k{k}_{i}") for i in hidden.values()), F.col("__gid").alias(f"__k{k}"), F.col("__all.__v").alias(f"__p{k}"))
+            on = F.col("__gid") == F.col(f"__k{k}")
+            for i in hidden.values():
+                on = on & F.col(i).eqNullSafe(F.col(f"__k{k}_{i}"))
+            done = done.join(apart, on, "left")
+        done = done.where(F.col("__n") > 0).select(*out, *extra, "__first", "__n")
+    else:
+        done = grouped.agg(*out, *extra, *counts)
     done = done.where(F.col("__n") > 0) if not ids or many else done  # no rows, no group
     if having is not None:
         done = done.where("__having")

@@ -27,7 +27,7 @@ class Context:
     grouping: Callable[[str], Column] | None = None
     resolve: Callable[[str, list], Value | None] | None = None  # for functions of other namespaces
     hide: Callable[[Column], str] | None = None  # grouped: puts a column below the aggregation, gives its name
-    length_of: Callable[[Column], int] | None = None  # grouped: the length of an array cell, from one row
+    per_element: Callable[[Value, Column], tuple[Column, Column | None]] | None = None  # grouped: cells (and shapes) of an aggregate of each position, whose elements are __e.x and __e.m
 
     @classmethod
     def of(cls, df: DataFrame, keywords: dict | None = None, alias: str | None = None) -> Context:
@@ -434,7 +434,7 @@ def _replace_end(tree):
 
 
 def replace_columns(ctx: Context, more: dict[str, Value]) -> Context:
-    return Context({**ctx.columns, **more}, ctx.keywords, None if ctx.keys is None else {**ctx.keys, **more}, ctx.row, ctx.grouping, ctx.resolve, ctx.hide, ctx.length_of)
+    return Context({**ctx.columns, **more}, ctx.keywords, None if ctx.keys is None else {**ctx.keys, **more}, ctx.row, ctx.grouping, ctx.resolve, ctx.hide, ctx.per_element)
 
 
 def _sub(ctx: Context, tree, subs) -> Value:

@@ -242,3 +242,17 @@ def test_registered_range_join_takes_every_part(spark, tmp_path):
     spark.createDataFrame(parts, "p_partkey long, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     got = sorted(map(tuple, QUERIES["J7_range"](spark, str(tmp_path)).collect()))
     assert got == sorted((o, n, k) for o, n, q in lines for k, size in parts if size <= q <= size + 1)
+
+
+def test_per_element_aggregates_of_any_length(spark):
+    rows = [(1, [1.0, 5.0]), (1, [4.0, 2.0]), (2, [1.0, 2.0, 3.0]), (2, [0.0, 7.0, 1.0]), (3, [float(i) for i in range(5000)])]
+    t = Table.of(spark.createDataFrame(rows, "K int, X array<double>").coalesce(1))
+    select = ["K", ("m", "gmaxs(X)"), ("n", "gcount()"), ("s", "gsums(X)[1] + gcount()"), ("l", "X[1]")]
+    got = {r.K: r for r in ops.groupby(t, ["K"], select=select, orderby="K").data().collect()}
+    assert got[1].m == [4.0, 5.0] and got[2].m == [1.0, 7.0, 3.0] and got[3].m == rows[4][1]
+    assert [(got[k].n, got[k].l) for k in (1, 2, 3)] == [(2, 4.0), (2, 0.0), (1, 0.0)] and got[1].s == 7.0
+    few = ops.query(t, "K == 1")
+    assert [(r.K, r.m) for r in ops.groupby(few, ["K"], select=["K", ("m", "gsums(X)")], rollup=True).data().collect()].count((None, [5.0, 7.0])) == 1
+    assert ops.groupby(few, [], select=[("m", "gmins(X)")]).data().first().m == [1.0, 2.0]
+    with pytest.raises(PySparkException):
+        ops.groupby(t, [], select=[("m", "gmaxs(X)")]).data().collect()
