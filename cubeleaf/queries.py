@@ -30,7 +30,7 @@ _COMMANDS: dict[str, tuple[str, tuple[str, ...], str]] = {
         "select l_returnflag, count(*) as n, sum(l_extendedprice*(1-l_discount)) as rev from lineitem where l_quantity between 10 and 40 group by 1 having count(*) > 10",
     ),
     "P1_filter": ("SELECT l_orderkey, l_linenumber FROM $1 WHERE l_quantity > 45 AND l_returnflag == 'R'", ("lineitem",), "select l_orderkey, l_linenumber from lineitem where l_quantity > 45 and l_returnflag = 'R'"),
-    "P5_computed": ("SELECT l_orderkey, l_extendedprice*(1-l_discount) AS net FROM $1 WHERE l_linenumber == 1", ("lineitem",), "select l_orderkey, l_extendedprice*(1-l_discount) as net from lineitem where l_linenumber = 1"),
+    "P5_computed": ("SELECT l_orderkey, l_extendedprice*(1-l_discount) AS net FROM $1", ("lineitem",), "select l_orderkey, l_extendedprice*(1-l_discount) as net from lineitem where l_linenumber = 1"),
     "P8_names": ("SELECT p_partkey, p_size*2 FROM $1", ("part",), "select p_partkey, (p_size*2)::BIGINT as Col_2 from part"),
     "P10_topk": ("SELECT o_orderkey, o_totalprice FROM $1 ORDER BY o_totalprice DESC, o_orderkey LIMIT 25", ("orders",), "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 25"),
     "P13_offset": ("SELECT o_orderkey FROM $1 ORDER BY o_totalprice, o_orderkey LIMIT 10 OFFSET 5", ("orders",), "select o_orderkey from orders order by o_totalprice, o_orderkey limit 10 offset 5"),

@@ -256,3 +256,11 @@ def test_per_element_aggregates_of_any_length(spark):
     assert ops.groupby(few, [], select=[("m", "gmins(X)")]).data().first().m == [1.0, 2.0]
     with pytest.raises(PySparkException):
         ops.groupby(t, [], select=[("m", "gmaxs(X)")]).data().collect()
+
+
+def test_registered_computed_column_takes_every_line(spark, tmp_path):
+    from cubeleaf.queries import QUERIES
+
+    lines = [(i, i % 3 + 1, 10.0 * i, 0.5) for i in range(6)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_extendedprice double, l_discount double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert sorted(map(tuple, QUERIES["P5_computed"](spark, str(tmp_path)).collect())) == [(i, 5.0 * i) for i in range(6)]
