@@ -47,6 +47,14 @@ class Names:
         return [i for i, n in enumerate(self.names) if accept(n) and i not in self.flagged]
 
 
+def small_rows(t: Table, *columns: str) -> list:
+    """The rows of a small table by row number; more than MOST_NAMES are an error."""
+    rows = t.df.select(F.col(ROW).alias("i"), *columns).limit(MOST_NAMES + 1).collect()
+    if len(rows) > MOST_NAMES:
+        raise LanguageError(f"more than {MOST_NAMES} rows")
+    return sorted(rows, key=lambda r: r["i"])
+
+
 def parts_of(text: str, mark: str = ",") -> list[str]:
     """The parts at commas outside of /../ and [..]."""
     out, depth, regex, start = [], 0, False, 0
@@ -187,7 +195,7 @@ class Selections:
         t = self.tables.get("ANTENNA")
         if t is None or "POSITION" not in t.columns:
             return None
-        rows = sorted(t.df.select(F.col(ROW).alias("i"), "POSITION").limit(MOST_NAMES + 1).collect(), key=lambda r: r["i"])
+        rows = small_rows(t, "POSITION")
         at = F.array(*(F.array(*(F.lit(float(x)) for x in r["POSITION"])) for r in rows))
         p, q = F.get(at, F.col("ANTENNA1")), F.get(at, F.col("ANTENNA2"))
         return F.sqrt(sum((F.get(p, F.lit(k)) - F.get(q, F.lit(k))) * (F.get(p, F.lit(k)) - F.get(q, F.lit(k))) for k in range(3)))
@@ -228,6 +236,6 @@ class Selections:
         dd, spw = self.tables.get("DATA_DESCRIPTION"), self.tables.get("SPECTRAL_WINDOW")
         if dd is None or spw is None:
             raise LanguageError("wavelengths need DATA_DESCRIPTION and SPECTRAL_WINDOW")
-        first = sorted(dd.df.select(F.col(ROW).alias("i"), "SPECTRAL_WINDOW_ID").limit(MOST_NAMES + 1).collect(), key=lambda r: r["i"])
-        freq = {r["i"]: r["REF_FREQUENCY"] for r in spw.df.select(F.col(ROW).alias("i"), "REF_FREQUENCY").limit(MOST_NAMES + 1).collect()}
+        first = small_rows(dd, "SPECTRAL_WINDOW_ID")
+        freq = {r["i"]: r["REF_FREQUENCY"] for r in small_rows(spw, "REF_FREQUENCY")}
         return F.get(F.array(*(F.lit(float(freq[r["SPECTRAL_WINDOW_ID"]])) for r in first)), F.col("DATA_DESC_ID"))

@@ -53,3 +53,20 @@ def test_synthetic_observation(spark, tmp_path):
     assert (r.n, r.a, r.s) == (2, 1, 0.0)
     o.catalog.drop("STATE")
     assert validate(o) == ["no table STATE"]
+
+
+def test_too_many_rows_of_a_small_table_are_an_error(spark, monkeypatch):
+    from cubeleaf.functions import selection
+    from cubeleaf.plans.parser import LanguageError
+    from cubeleaf.table import Table
+
+    monkeypatch.setattr(selection, "MOST_NAMES", 2)
+    dd = Table.of(spark.createDataFrame([(0,), (1,), (2,)], "SPECTRAL_WINDOW_ID int").coalesce(1))
+    spw = Table.of(spark.createDataFrame([(1.0,), (2.0,), (3.0,)], "REF_FREQUENCY double").coalesce(1))
+    few = Table.of(spark.createDataFrame([(0,)], "SPECTRAL_WINDOW_ID int"))
+    antennas = Table.of(spark.createDataFrame([([0.0, 0.0, 0.0],)] * 3, "POSITION array<double>").coalesce(1))
+    for tables in ({"DATA_DESCRIPTION": dd, "SPECTRAL_WINDOW": spw}, {"DATA_DESCRIPTION": few, "SPECTRAL_WINDOW": spw}):
+        with pytest.raises(LanguageError):
+            selection.Selections(tables)._reference_frequency()
+    with pytest.raises(LanguageError):
+        selection.Selections({"ANTENNA": antennas})._length()
