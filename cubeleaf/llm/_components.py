@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import Scratch, written
+from ._text import Scratch
 
 
 #: Edges that one task contracts: 16 bytes each.
@@ -56,15 +56,15 @@ def _state(edges: DataFrame) -> tuple[int, int]:
     return row[0], row[1]
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of edges (u, v); component is the smallest node reached."""
+def components(edges: DataFrame, owner: Scratch) -> DataFrame:
+    """(node, component) for every node of edges (u, v), a table of owner's; component is the smallest node reached."""
     scratch = Scratch(edges.sparkSession)
     e = scratch.write(edges.where(F.col("u") != F.col("v")).select("u", "v"))
     n = e.count()
     parts = -(-n // LOCAL_EDGES)
     if parts <= 1:
         e = scratch.write(e.coalesce(1).mapInArrow(_contract, "u long, v long"))
-        return _result(e, scratch)
+        return _result(e, scratch, owner)
     e = scratch.write(e.repartition(parts).mapInArrow(_contract, "u long, v long").distinct())
     before = _state(e)
     while before[0]:
@@ -83,11 +83,11 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
-    return _result(e, scratch)
+    return _result(e, scratch, owner)
 
 
-def _result(stars_: DataFrame, scratch: Scratch) -> DataFrame:
+def _result(stars_: DataFrame, scratch: Scratch, owner: Scratch) -> DataFrame:
     roots = stars_.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    out = written(stars_.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots))
+    out = owner.write(stars_.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots))
     scratch.drop()
     return out

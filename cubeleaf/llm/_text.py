@@ -6,15 +6,14 @@ never touches single words.
 
 from __future__ import annotations
 
+import atexit
 import contextlib
-import gc
-import time
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -145,33 +144,23 @@ def crc_mod(column: str, n: int) -> Column:
 
 
 def shared_folder(spark) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """A new folder in the one that driver and executors share: spark.checkpoint.dir.
+
+    Only where all tasks run on the driver's machine a temporary folder stands in for a setting that is missing.
+    """
     import tempfile
     import uuid
 
     set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not set_to:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         set_to = f"file://{tempfile.gettempdir()}/checkpoints"
     return f"{set_to.rstrip('/')}/cubeleaf-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df, computed once and read from Parquet in the shared folder: its lineage ends there."""
-    return Scratch(df.sparkSession).write(df)
-
-
-def drop_shuffles(spark) -> None:
-    """Lets the driver find out which shuffles nothing refers to any more, so that their files go now.
-
-    The listeners hold the last query until they have heard of its end, and what refers to a shuffle is found in
-    two steps.
-    """
-    with contextlib.suppress(Py4JJavaError):  # a bus that is busy for long only delays the cleaning
-        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(5000)
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
+#: Spark's own setting for the end of an execution: its shuffles go at once, not with the next garbage collection.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Scratch:
@@ -181,11 +170,18 @@ class Scratch:
         self.spark, self.paths = spark, []
 
     def write(self, df: DataFrame) -> DataFrame:
-        """df, computed once and read from Parquet; the shuffles behind it may go."""
+        """df, computed once and read from Parquet: its lineage ends there, and the shuffles behind it go."""
         path = shared_folder(self.spark)
-        df.write.mode("overwrite").parquet(path)
         self.paths.append(path)
-        drop_shuffles(self.spark)
+        before = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(_CLEANUP)
+            else:
+                self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:
@@ -196,6 +192,24 @@ class Scratch:
         self.paths = []
 
 
+#: What results are read from: it has to stay as long as they may be used, and goes when the driver ends.
+_RESULTS: list[Scratch] = []
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df, computed once and read from Parquet in the shared folder until the driver ends."""
+    if not _RESULTS:
+        atexit.register(_drop_results)
+    _RESULTS.append(Scratch(df.sparkSession))
+    return _RESULTS[-1].write(df)
+
+
+def _drop_results() -> None:
+    for x in _RESULTS:
+        with contextlib.suppress(Exception):  # the JVM may have ended first
+            x.drop()
+
+
 def rows_per_task(df: DataFrame) -> int:
     """Number of partitions to deal rows to: that of the session."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

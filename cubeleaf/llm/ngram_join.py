@@ -5,17 +5,23 @@ as one).  Documents with equal sets form a class; classes are joined, copies are
 
 *Small sets* (at most ``boundary`` shingles) emit a key for each subset of the size that a partner must share:
 two small sets that link share such a subset.  *Large sets* scan inverted lists: shingles stand in one global
-order, rarest first by a counting sketch over all documents, and any two sets that link share one of the first
-n - ceil(0.8 n) + 1 shingles of both.  Small sets that may link with large ones do so too.  The boundary is where
-the estimated cost of both is smallest, from the histogram of small sizes and the sketch.
-
-Lists of one key are streamed from sorted partitions.  First only neighbours in a list are verified, in an order of
-the list's own, which is linear in its length and joins nearly everything that belongs together; then pairs of a list that still lie in
-different components and whose bitmaps allow a link are verified too.  So a large group of near copies costs about its size, and yet no link
-between components is lost.  Verification compares whole sets.
-
-Null or blank texts have an empty set and link with nothing.  Null ids count as the largest id.  Rows that share
-a doc_id count as one document.  Shingles and classes are told apart by 64-bit hashes.
+order and any two sets that link share one of the first n - ceil(0.8 n) + 1 shingles of both.  Small sets that may
+link with large ones do so too.  Any order is right; this one puts shingles last that a counting sketch of fixed
+size shows to be common.  The boundary is where the estimated cost of both is smallest, from the exact sizes of
+small sets and the sketch's second moment.
+
+Lists are streamed from sorted partitions.  Candidates come in three rounds, each of which leaves out what the
+links so far have joined: neighbours in the order of sizes, which is the same in all lists, so that copies meet the
+same few partners everywhere; neighbours in an order of each list's own; and at last all pairs of a list whose
+classes still lie in different components, long lists dealt over pairs of blocks.  A candidate whose parity bitmaps
+rule a link out is dropped; all others are verified on their whole sets.  So a large group of near copies costs
+about its size, and yet no link between components is lost.
+
+Rows that share a doc_id count as one document: whatever one of them links with, all do.  Null ids are not shared
+and count as the largest id, their component is null only where no row of it has an id.  Null, empty and blank
+texts have an empty set and link with nothing.  Repeated rows are one class.  Texts are never cut; a batch holds
+one text at least, however long.  An empty table gives an empty result.  Only doc_id and the text are read, so
+columns of other names don't matter.  Shingles and classes are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -43,6 +49,10 @@ BITMAP_WORDS = 8
 _BITMAP = [f"b{i}" for i in range(BITMAP_WORDS)]
 #: Bits of the filter that keeps texts without candidates out of the shuffle.
 FILTER_BITS = 23
+#: Classes that a task remembers, so as not to give them twice.
+SEEN = 1 << 17
+#: Rows of a list that are compared with each other at once.
+BLOCK = 2048
 
 
 def shingle_sets(texts: pa.Array, width: int = 5) -> list[np.ndarray]:
@@ -117,9 +127,9 @@ def keys_of(x: np.ndarray, counts: np.ndarray, boundary: int, percent: int) -> n
 
 
 def _sets_and_sketch(docs: DataFrame, text: str) -> DataFrame:
-    """Rows of documents (doc, n, key), and rows of the sketch (part, counts), from one pass."""
-    names = ["doc", "n", "key", "part", "counts"]
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+    """Rows of documents (doc, n, key, bitmap), and rows of the sketch (part, counts), from one pass."""
+    names = ["doc", "n", "key", *_BITMAP, "part", "counts"]
+    types = [pa.int64(), pa.int32(), pa.int64(), *[pa.int64()] * BITMAP_WORDS, pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -131,14 +141,17 @@ def _sets_and_sketch(docs: DataFrame, text: str) -> DataFrame:
                 counts += np.bincount((every >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
                 seen = True
                 rows = [part.column("doc"), pa.array([len(x) for x in sets], pa.int32()), pa.array([set_key(x) for x in sets], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*rows, *(pa.nulls(len(sets), t) for t in types[3:])], names=names)
+                maps = np.array([bitmap(x) for x in sets], np.int64).reshape(-1, BITMAP_WORDS)
+                rows += [pa.array(maps[:, i]) for i in range(BITMAP_WORDS)]
+                yield pa.RecordBatch.from_arrays([*rows, *(pa.nulls(len(sets), t) for t in types[-2:])], names=names)
         if seen:
             blocks = counts.reshape(-1, _SKETCH_PART)
             yield pa.RecordBatch.from_arrays(
-                [*(pa.nulls(len(blocks), t) for t in types[:3]), pa.array(range(len(blocks)), pa.int32()), pa.array([b.astype("<i8").tobytes() for b in blocks], pa.binary())], names=names
+                [*(pa.nulls(len(blocks), t) for t in types[:-2]), pa.array(range(len(blocks)), pa.int32()), pa.array([b.astype("<i8").tobytes() for b in blocks], pa.binary())], names=names
             )
 
-    return docs.select("doc", text).mapInArrow(run, "doc long, n int, key long, part int, counts binary")
+    maps = ", ".join(f"{b} long" for b in _BITMAP)
+    return docs.select("doc", text).mapInArrow(run, f"doc long, n int, key long, {maps}, part int, counts binary")
 
 
 def _sketch(rows: DataFrame) -> np.ndarray:
@@ -163,13 +176,17 @@ def _sketch(rows: DataFrame) -> np.ndarray:
 
 
 def _keys(docs: DataFrame, text: str, counts, boundary: int, percent: int) -> DataFrame:
-    """Rows (token, n, key); a class is given once by each chunk of text."""
+    """Rows (token, n, key); a class is given once by each task, as a rule."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = counts.value
+        seen: set[int] = set()
         for batch in batches:
             for part in chunks(batch, text):
-                once = {set_key(x): x for x in shingle_sets(part.column(text)) if len(x)}
+                once = {k: x for x in shingle_sets(part.column(text)) if len(x) and (k := set_key(x)) not in seen}
+                if len(seen) > SEEN:
+                    seen.clear()
+                seen.update(once)
                 tokens = [keys_of(x, levels, boundary, percent) for x in once.values()]
                 sizes = [len(t) for t in tokens]
                 if tokens:
@@ -181,89 +198,119 @@ def _keys(docs: DataFrame, text: str, counts, boundary: int, percent: int) -> Da
     return docs.select(text).mapInArrow(run, "token long, n int, key long")
 
 
+def _neighbours(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by token, in lists of two classes or more: columns, and those but the token of the row before in the list (prev_)."""
+
+    def distinct() -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            t, k = (batch.column(c).to_numpy() for c in ("token", "key"))
+            if not len(t):
+                continue
+            new = np.ones(len(t), bool)
+            new[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1])
+            new[0] = last != (t[0], k[0])
+            last = (t[-1], k[-1])
+            yield batch.filter(pa.array(new))
+
+    before: dict | None = None
+    for batch in shared_keys(distinct(), ["token"], columns):
+        rows = {c: batch.column(c).to_numpy() for c in columns}
+        shifted = {c: np.concatenate([x[:1] if before is None else before[c], x[:-1]]) for c, x in rows.items()}
+        none = shifted["token"] != rows["token"]
+        none[0] |= before is None
+        before = {c: x[-1:] for c, x in rows.items()}
+        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(shifted[c], mask=none) for c in columns[1:])], names=[*columns, *(f"prev_{c}" for c in columns[1:])])
+
+
 def _lists(keys: DataFrame) -> DataFrame:
     """Rows (token, n, key, prev_n, prev_key) of tokens with several classes; prev: the neighbour before, if any."""
+    columns = ["token", "n", "key"]
+    dealt = keys.repartition(rows_per_task(keys), "token").sortWithinPartitions(*columns)
+    return dealt.mapInArrow(lambda batches: _neighbours(batches, columns), "token long, n int, key long, prev_n int, prev_key long")
+
+
+def _open_lists(lists: DataFrame, labels: DataFrame, keep) -> DataFrame:
+    """Rows (token, n, key, component) of lists whose classes lie in several components."""
+    apart = keep(lists.select("token", "n", "key").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key")))
+    several = keep(apart.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where(F.col("least") != F.col("most")).select("token"))
+    return keep(apart.join(several, "token", "left_semi"))
+
+
+def _mixed_neighbours(open_lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of neighbours from different components, in an order of each list's own."""
+    columns = ["token", "n", "key", "component"]
+    dealt = open_lists.repartition(rows_per_task(open_lists), "token").sortWithinPartitions("token", F.xxhash64("token", "key"), "key")
+    found = dealt.mapInArrow(lambda batches: _neighbours(batches, columns), "token long, n int, key long, component long, prev_n int, prev_key long, prev_component long")
+    return _pairs(found.where(F.col("component") != F.col("prev_component")), percent)
+
+
+def _pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Distinct (u, v), u < v, of rows and their neighbours, of sizes that may link."""
+    near = F.least("n", "prev_n") * 100 >= F.greatest("n", "prev_n") * percent
+    return rows.where(F.col("prev_key").isNotNull() & near).select(F.least("key", "prev_key").alias("u"), F.greatest("key", "prev_key").alias("v")).distinct()
+
+
+def _all_pairs(open_lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Distinct (u, v) from different components of one list whose sizes and bitmaps leave a link possible.
+
+    A long list is dealt over pairs of blocks: a task holds two blocks of it.
+    """
+    sizes = open_lists.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rows = open_lists.join(sizes.where("blocks > 1"), "token", "left").join(classes.drop("n", "least"), "key")
+    rows = rows.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumns({"a": F.least("mine", "other"), "b": F.greatest("mine", "other")})
+    x, y = rows.where("mine = a").alias("x"), rows.where("mine = b").alias("y")
+    meet = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("token", "a", "b")]
+    once = (F.col("x.a") != F.col("x.b")) | (F.col("x.key") < F.col("y.key"))
+    apart = F.col("x.component") != F.col("y.component")
+    alike = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
+    both = x.join(y, meet[0] & meet[1] & meet[2] & once & apart & alike & _may_link(percent, "x", "y"))
+    return both.select(F.least("x.key", "y.key").alias("u"), F.greatest("x.key", "y.key").alias("v")).distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def distinct() -> Iterator[pa.RecordBatch]:
-            last = None
-            for batch in batches:
-                t, k = (batch.column(c).to_numpy() for c in ("token", "key"))
-                if not len(t):
-                    continue
-                new = np.ones(len(t), bool)
-                new[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1])
-                new[0] = last != (t[0], k[0])
-                last = (t[-1], k[-1])
-                yield batch.filter(pa.array(new))
-
-        before: tuple = (None, 0, 0)
-        for batch in shared_keys(distinct(), ["token"], ["token", "n", "key"]):
-            t, n, k = (batch.column(c).to_numpy() for c in ("token", "n", "key"))
-            pt = np.concatenate([[t[0] if before[0] is None else before[0]], t[:-1]])
-            none = pt != t
-            none[0] |= before[0] is None
-            pn, pk = np.concatenate([[before[1]], n[:-1]]).astype(np.int32), np.concatenate([[before[2]], k[:-1]]).astype(np.int64)
-            before = (t[-1], n[-1], k[-1])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pn, mask=none), pa.array(pk, mask=none)], names=["token", "n", "key", "prev_n", "prev_key"])
-
-    # another order in each list: a class meets other neighbours in every list it is in
-    dealt = keys.repartition(rows_per_task(keys), "token").sortWithinPartitions("token", F.xxhash64("token", "key"), "key")
-    return dealt.mapInArrow(run, "token long, n int, key long, prev_n int, prev_key long")
-
-
-def _filter_of(keys: DataFrame) -> np.ndarray:
-    """A bit for each hash bucket that holds a key; 1 MB whatever the input."""
-    spark_bits = 1 << FILTER_BITS
+
+def _filter_of(classes: DataFrame) -> np.ndarray:
+    """A bit for each hash bucket that holds the first document of a class; 1 MB whatever the input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(spark_bits, bool)
+        bits = np.zeros(1 << FILTER_BITS, bool)
         for batch in batches:
-            bits[batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)] = True
+            bits[_bucket(batch.column("least").to_numpy())] = True
         at = np.flatnonzero(np.packbits(bits)).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.packbits(bits)[at].astype(np.int16))], names=["at", "byte"])
 
-    rows = keys.select("key").mapInArrow(run, "at int, byte short").groupBy("at").agg(F.bit_or("byte").alias("byte")).toArrow()
-    out = np.zeros(spark_bits // 8, np.uint8)
+    rows = classes.select("least").mapInArrow(run, "at int, byte short").groupBy("at").agg(F.bit_or("byte").alias("byte")).toArrow()
+    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
     out[rows["at"].to_numpy()] = rows["byte"].to_numpy().astype(np.uint8)
     return out
 
 
+def _bucket(doc: np.ndarray) -> np.ndarray:
+    return (mix(doc.view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
 def bitmap(x: np.ndarray) -> np.ndarray:
     """The parity bitmap of a set."""
     bits = np.bincount((mix(x) & np.uint64(64 * BITMAP_WORDS - 1)).astype(np.int64), minlength=64 * BITMAP_WORDS) & 1
     return np.packbits(bits.astype(bool)).view(np.int64)
 
 
-def _of_classes(docs: DataFrame, text: str, wanted: DataFrame, bits, with_text: bool) -> DataFrame:
-    """(key, bitmap) or (key, text) of one document of each wanted class; others stay out of the shuffle."""
-    names = ["key", "text"] if with_text else ["key", *_BITMAP]
+def _texts(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
+    """(key, text) of the first document of each wanted class (key, least); other texts stay out of the shuffle."""
+    bits = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = np.unpackbits(bits.value).astype(bool)
         for batch in batches:
             for part in chunks(batch, text):
-                sets = shingle_sets(part.column(text))
-                keys = np.array([set_key(x) for x in sets], np.int64)
-                first = np.zeros(len(keys), bool)
-                first[np.unique(keys, return_index=True)[1]] = True
-                full = np.array([len(x) > 0 for x in sets], bool)
-                take = np.flatnonzero(marked[(keys.view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] & full & first)
-                if with_text:
-                    rest = [part.column(text).take(pa.array(take))]
-                else:
-                    maps = np.array([bitmap(sets[i]) for i in take], np.int64).reshape(-1, BITMAP_WORDS)
-                    rest = [pa.array(maps[:, i]) for i in range(BITMAP_WORDS)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[take]), *rest], names=names)
-
-    schema = "key long, text string" if with_text else "key long, " + ", ".join(f"{b} long" for b in _BITMAP)
-    found = docs.select(text).mapInArrow(run, schema).join(wanted, "key", "left_semi")
-    return found.groupBy("key").agg(*(F.min(c).alias(c) for c in names[1:]))
-
-
-def _wanted(docs: DataFrame, text: str, wanted: DataFrame, *, with_text: bool) -> DataFrame:
-    bits = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted))
-    return _of_classes(docs, text, wanted, bits, with_text)
+                part = part.filter(pa.array(marked[_bucket(part.column("doc").to_numpy())]))
+                keys = np.array([set_key(x) for x in shingle_sets(part.column(text))], np.int64)
+                first = np.unique(keys, return_index=True)[1]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[first]), part.column(text).take(pa.array(first))], names=["key", "text"])
+
+    found = docs.select("doc", text).mapInArrow(run, "key long, text string").join(wanted.select("key"), "key", "left_semi")
+    return found.groupBy("key").agg(F.min("text").alias("text"))
 
 
 def _may_link(percent: int, x: str, y: str):
@@ -274,10 +321,6 @@ def _may_link(percent: int, x: str, y: str):
     return differ * (100 + percent) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (100 - percent)
 
 
-def _keys_in(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
-
-
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Those of pairs (u, v) whose sets link."""
 
@@ -295,6 +338,25 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long")
 
 
+def _links(tested: DataFrame, before: list[DataFrame], named: DataFrame, text: str, classes: DataFrame, percent: int, keep) -> tuple[DataFrame, DataFrame]:
+    """(candidates (u, v) that the bitmaps leave, those that link) of tested pairs; not the candidates from before."""
+    x, y = (classes.select(F.col("key").alias(end), F.struct("n", *_BITMAP).alias(f"of_{end}")) for end in "uv")
+    both = tested.join(x, "u").join(y, "v")
+    left = both.where(_may_link(percent, "of_u", "of_v")).select("u", "v")
+    for pairs in before:
+        left = left.join(pairs, ["u", "v"], "left_anti")
+    left = keep(left)
+    wanted = keep(classes.select("key", "least").join(left.select(F.explode(F.array("u", "v")).alias("key")).distinct(), "key", "left_semi"))
+    return left, keep(_verified(left, keep(_texts(named, text, wanted)), percent))
+
+
+def _shared_ids(sets: DataFrame) -> DataFrame:
+    """Edges between the sets of one id."""
+    named = sets.where(F.col("doc") != NO_ID).select("doc", "node")
+    several = named.groupBy("doc").agg(F.min("node").alias("u"), F.max("node").alias("most")).where(F.col("u") != F.col("most")).select("doc", "u")
+    return named.join(several, "doc").where(F.col("u") != F.col("node")).select("u", F.col("node").alias("v")).distinct()
+
+
 def groups(docs: DataFrame, *, percent: int = 80, text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs."""
     spark = docs.sparkSession
@@ -303,56 +365,37 @@ def groups(docs: DataFrame, *, percent: int = 80, text: str = "text") -> DataFra
     keep = scratch.write
     named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), text)
     first = keep(_sets_and_sketch(named, text))
-    sets = first.where(F.col("n").isNotNull()).select("doc", "n", "key")
     counts = _sketch(first.where(F.col("part").isNotNull()))
-    small = {r["n"]: r["count"] for r in sets.where(F.col("n").between(1, LARGEST_SMALL)).groupBy("n").count().collect()}
+    small = {r["n"]: r["count"] for r in first.where(F.col("n").between(1, LARGEST_SMALL)).groupBy("n").count().collect()}
     total = max(1, int(counts.sum()))
-    noise = total / len(counts)
-    list_length = float(np.clip((counts.astype(np.float64) ** 2).sum() / total - noise, 1, 64))
+    list_length = float(np.clip((counts.astype(np.float64) ** 2).sum() / total - total / len(counts), 1, 64))
     boundary = choose_boundary(small, list_length, percent)
     shared = spark.sparkContext.broadcast(np.minimum(counts, (1 << 31) - 1).astype(np.int32))
+    classes = keep(first.where("n > 0").groupBy("key").agg(F.min("n").alias("n"), F.min("doc").alias("least"), *(F.min(b).alias(b) for b in _BITMAP)))
 
     lists = keep(_lists(_keys(named, text, shared, boundary, percent)))
-    near = F.least("n", "prev_n") * 100 >= F.greatest("n", "prev_n") * percent
-    maps = keep(_wanted(named, text, keep(lists.select("key").distinct()), with_text=False))
-    end = lambda n: F.least("key", "prev_key") if n == "u" else F.greatest("key", "prev_key")
-    size = lambda n: F.when(end(n) == F.col("key"), F.col("n")).otherwise(F.col("prev_n"))
-    tested = lists.where(near).select(end("u").alias("u"), end("v").alias("v"), size("u").alias("nu"), size("v").alias("nv")).distinct()
-    x = maps.withColumnRenamed("key", "u").alias("x")
-    y = maps.withColumnRenamed("key", "v").alias("y")
-    both = tested.join(x, "u").join(y, "v").select("u", "v", F.struct(F.col("nu").alias("n"), *(F.col(f"x.{b}") for b in _BITMAP)).alias("p"), F.struct(F.col("nv").alias("n"), *(F.col(f"y.{b}") for b in _BITMAP)).alias("q"))
-    pairs = keep(both.where(_may_link(percent, "p", "q")).select("u", "v"))
-    texts = keep(_wanted(named, text, keep(_keys_in(pairs)), with_text=True))
-    links = keep(_verified(pairs, texts, percent))
-    labels = components(links)
-
-    # what still lies apart within a list
-    apart = lists.select("token", "n", "key").join(labels.withColumnRenamed("node", "key"), "key", "left").select("token", "n", "key", F.coalesce("component", "key").alias("component"))
-    apart = keep(apart)
-    several = apart.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where(F.col("least") != F.col("most")).select("token")
-    open_lists = keep(apart.join(several, "token", "left_semi").join(maps, "key"))
-    x, y = open_lists.alias("x"), open_lists.alias("y")
-    within = (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.key") < F.col("y.key"))
-    alike = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
-    more = x.join(y, within & alike & _may_link(percent, "x", "y")).select(F.col("x.key").alias("u"), F.col("y.key").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti")
-    more = keep(more)
-    texts = keep(_wanted(named, text, keep(_keys_in(more)), with_text=True))
-    found = _verified(more, texts, percent)
-    labels = components(keep(links.unionByName(found)))
-
-    classes = sets.where(F.col("n") > 0).groupBy("key").agg(F.min("doc").alias("least_doc"))
-    placed = keep(classes.join(labels.withColumnRenamed("node", "key"), "key", "left"))
-    least = placed.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("least_doc").alias("group_doc"))
-    by_class = placed.join(least, "component", "left").select("key", F.coalesce("group_doc", "least_doc").alias("component_id"))
-    # one id under several sets counts as one document
-    out = sets.where(F.col("n") > 0).join(by_class, "key").select("doc", "n", "component_id").unionByName(sets.where(F.col("n") == 0).select("doc", "n", F.col("doc").alias("component_id")))
+    first_pairs, links = _links(_pairs(lists, percent), [], named, text, classes, percent, keep)
+    open_lists = _open_lists(lists, components(links, scratch), keep)
+    more_pairs, more = _links(_mixed_neighbours(open_lists, percent), [first_pairs], named, text, classes, percent, keep)
+    links = keep(links.unionByName(more))
+    open_lists = _open_lists(open_lists, components(links, scratch), keep)
+    _, more = _links(_all_pairs(open_lists, classes, percent), [first_pairs, more_pairs], named, text, classes, percent, keep)
+
+    # a document without words is a node of its own; one id makes one document of its rows
+    sets = first.where(F.col("n").isNotNull()).select("doc", "n", F.when(F.col("n") > 0, F.col("key")).otherwise(F.xxhash64(F.lit("empty"), "doc")).alias("node"))
+    labels = components(keep(links.unionByName(more).unionByName(_shared_ids(sets))), scratch)
+    placed = keep(sets.groupBy("node").agg(F.min("doc").alias("least")).join(labels, "node", "left"))
+    least = keep(placed.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("least").alias("group_doc")))
+    # merge joins, whose large partitions Spark splits: one component or class may hold a third of all rows
+    by_node = keep(placed.join(least.hint("merge"), "component", "left").select("node", F.coalesce("group_doc", "least").alias("component_id")))
     nothing = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    result = written(out.select(nothing("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), nothing("component_id").alias("component_id")))
+    out = sets.join(by_node.hint("merge"), "node").select(nothing("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), nothing("component_id").alias("component_id"))
+    result = written(out)
     scratch.drop()
     return result
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs whose document is the smallest of its group."""
-    kept = groups(docs, **how).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"), F.lit(True).alias("_is")).distinct()
+    """The rows of docs whose document is the smallest of its group; rows without an id stay where their group has none."""
+    kept = groups(docs, **how).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept"]), "left_semi")

@@ -172,7 +172,8 @@ def near_duplicates(
     nonzero = F.coalesce(F.exists("embedding", lambda x: x != 0), F.lit(False))
     good = usable() & nonzero & F.col("vec_id").isNotNull()
     valid = rows.where(good)
-    classes = written(valid.groupBy("embedding").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("size")))
+    scratch = Scratch(spark)
+    classes = scratch.write(valid.groupBy("embedding").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("size")))
     shape = classes.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("width")).first()
     width = shape["width"] or 0
     # at most 8 million numbers
@@ -210,7 +211,6 @@ def near_duplicates(
                 yield pa.RecordBatch.from_arrays([part.column("node"), part.column("size"), part.column("embedding"), pa.ListArray.from_arrays(pa.array(ends), pa.array(leaf.astype(np.int32))), pa.array(core.astype(np.int32))], names=["node", "size", "embedding", "leaves", "core"])
 
     routed = classes.select("node", "size", "embedding").mapInArrow(route, "node long, size long, embedding array<float>, leaves array<int>, core int")
-    scratch = Scratch(spark)
     routed = scratch.write(routed.withColumn("embedding", F.col("embedding").cast(vectors.schema["embedding"].dataType)))
     # blocks of each leaf: a row for each leaf of the bounded forest and for each hub; what is no core of a hub meets only the core
     inner = (F.col("leaf") < first_hub) | (F.col("leaf") == F.col("core") + first_hub)
@@ -243,13 +243,14 @@ def near_duplicates(
         some = (links > 0) | (root != np.arange(len(node)))
         return pa.table({"node": node[some], "links": links[some].astype(np.int64), "root": node[root[some]]})
 
-    found = written(placed.groupBy("leaf", "x", "y").applyInArrow(compare, "node long, links long, root long"))
-    scratch.drop()
-    labels = components(found.where(F.col("node") != F.col("root")).select(F.col("node").alias("u"), F.col("root").alias("v")))
+    found = scratch.write(placed.groupBy("leaf", "x", "y").applyInArrow(compare, "node long, links long, root long"))
+    labels = components(found.where(F.col("node") != F.col("root")).select(F.col("node").alias("u"), F.col("root").alias("v")), scratch)
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     by_class = classes.join(counts, "node", "left").join(labels, "node", "left").select(
         "embedding", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")
     )
-    inside = valid.join(written(by_class), "embedding").select("vec_id", "n_links", "component_id")
+    by_class = written(by_class)
+    scratch.drop()
+    inside = valid.join(by_class, "embedding").select("vec_id", "n_links", "component_id")
     outside = rows.where(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return inside.unionByName(outside).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

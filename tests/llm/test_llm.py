@@ -103,7 +103,7 @@ def test_ngram_join_against_brute_force(awkward):
     for a in range(len(ids)):
         for b in range(a):
             x, y = ids[a][1], ids[b][1]
-            if x and y and 100 * len(x & y) >= 80 * len(x | y):
+            if x and y and 100 * len(x & y) >= 80 * len(x | y) or ids[a][0] == ids[b][0] is not None:
                 parent[root(a)] = root(b)
     groups = defaultdict(list)
     for k, (i, _) in enumerate(ids):
@@ -116,6 +116,33 @@ def test_ngram_join_against_brute_force(awkward):
     assert Counter(r.doc_id for r in kept.collect())[100] == 1 and not kept.where("doc_id = 101").count()
 
 
+def test_ngram_join_rows_of_one_id_are_one_document(spark):
+    rng = random.Random(4)
+    a, b = sentence(rng, 40), sentence(rng, 40)
+    rows = [(3, a), (5, a), (5, b), (5, None), (7, b), (8, None), (None, b), (None, "x y z"), (None, None)]
+    got = ngram_join.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(
+        [(3, 36, 3), (5, 36, 3), (5, 36, 3), (5, 0, 3), (7, 36, 3), (8, 0, 8), (None, 36, 3), (None, 1, None), (None, 0, None)]
+    )
+
+
+def test_ngram_join_long_lists_in_blocks(spark, monkeypatch):
+    """Chains in which every text links with the next ones only, and lists longer than a block."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    rng = random.Random(11)
+    words = sentence(rng, 400).split()
+    texts = [" ".join(words[2 * i : 2 * i + 44]) for i in range(60)] + [sentence(rng, 60) for _ in range(20)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = label[a], label[b]
+                label = [min(x, y) if z in (x, y) else z for z in label]
+    assert {r.doc_id: r.component_id for r in ngram_join.groups(docs).collect()} == dict(enumerate(label))
+
+
 @pytest.mark.parametrize("sizes", [(5, 6), (8, 10), (12, 15), (14, 14)])
 def test_small_sets_share_a_key_if_they_link(sizes):
     rng = random.Random(sum(sizes))
@@ -340,7 +367,7 @@ def test_factorisation_identity():
 
 
 def test_components(spark, monkeypatch):
-    from cubeleaf.llm import _components
+    from cubeleaf.llm import _components, _text
 
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(130)] + [(i, i + 1) for i in range(500, 540)]
@@ -358,7 +385,7 @@ def test_components(spark, monkeypatch):
             parent[max(x, y)] = min(x, y)
     for limit in (1 << 20, 40):
         monkeypatch.setattr(_components, "LOCAL_EDGES", limit)
-        got = {r.node: r.component for r in _components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+        got = {r.node: r.component for r in _components.components(spark.createDataFrame(edges, "u long, v long"), _text.Scratch(spark)).collect()}
         assert got == {x: root(x) for x in parent}
 
 
