@@ -12,10 +12,12 @@ packed each for itself.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -27,112 +29,147 @@ from pyspark.sql import types as T
 
 from ._text import Scratch, Words, bounded_batches, chunks, written
 
-#: Distinct words whose ids a worker keeps at once.
-CACHE_WORDS = 600_000
+#: Distinct words and parts whose ids a worker keeps at once.
+CACHE_WORDS = 1_000_000
 
-
-#: The tokenizer's own splitting rule, for the characters below.
+#: The tokenizer's own normalisers, splitting rule and mark of a word's end, and that rule for the
+#: characters of the class below, in lower case.
+_RULE = {
+    "normalizers": ["NFC", r"\s+", "Lowercase"],
+    "split": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+    "end": "</w>",
+}
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+_PLAIN = r"^[!-~À-ÖØ-öø-ÿ]+$"
+_LETTERS = r"^[a-zß-öø-ÿ]+$"
+
+
+def _has_rule(described: dict) -> bool:
+    """Whether a tokenizer file splits texts by _RULE."""
+    norm = (described.get("normalizer") or {}).get("normalizers", [])
+    pre = (described.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return (
+        [n.get("pattern", {}).get("Regex", n["type"]) for n in norm] == _RULE["normalizers"]
+        and [x["type"] for x in pre] == ["Split", "ByteLevel"]
+        and pre[0]["pattern"].get("Regex") == _RULE["split"]
+        and (pre[0]["behavior"], pre[0]["invert"], pre[1]["add_prefix_space"]) == ("Removed", True, False)
+        and described["model"].get("end_of_word_suffix") == _RULE["end"]
+    )
 
 
 class _Ragged:
-    """Lists of ids by the number of their entry, in one growing array."""
+    """Lists of ids by the number of their entry, in one growing array; entry 0 is the end of a text."""
 
-    def __init__(self):
+    def __init__(self, end_id: int):
         self.known: dict[str, int] = {}
-        self.flat = np.zeros(1 << 18, np.uint32)
+        self.flat = np.full(1 << 18, end_id, np.uint32)
         self.starts = np.zeros(1 << 16, np.int64)
+        self.starts[1] = 1
 
     def add(self, names: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        n = len(self.known)
-        ends = self.starts[n] + np.cumsum(sizes)
+        n = len(self.known) + 1
         while n + len(names) >= len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros(len(self.starts), np.int64)])
         while self.starts[n] + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
         self.flat[self.starts[n] : self.starts[n] + len(ids)] = ids
-        self.starts[n + 1 : n + 1 + len(names)] = ends
+        self.starts[n + 1 : n + 1 + len(names)] = self.starts[n] + np.cumsum(sizes)
         self.known.update(zip(names, range(n, n + len(names)), strict=True))
 
     def numbers(self, names: Iterable[str], count: int) -> np.ndarray:
         return np.fromiter(map(self.known.__getitem__, names), np.int64, count)
 
     def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the entries one after the other, and how many each has."""
-        sizes = self.starts[at + 1] - self.starts[at]
-        ends = np.cumsum(sizes)
-        inner = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
-        return self.flat[np.repeat(self.starts[at], sizes) + inner], sizes
+        """The ids of the entries one after the other, and where each begins (one more than entries)."""
+        begin = self.starts[at]
+        sizes = self.starts[at + 1] - begin
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        return self.flat[np.repeat(begin - ends[:-1], sizes) + np.arange(ends[-1])], ends
 
 
 class WordTokenizer:
-    """Token ids of words, each distinct word and each distinct part of words encoded once.
+    """Token ids of texts, each distinct word and each distinct part of words encoded once.
 
-    The tokenizer splits at white space and then into runs of letters, digits or other signs, and the last token
-    of each part ends with the mark of a word's end.  So a text's ids are those of its parts one after the other,
-    and many parts can be encoded as one text.  Words with other characters are encoded by themselves.
+    A tokenizer of the rule above splits at white space and then into runs of letters, digits or other signs, and
+    the last token of each part ends with the mark of a word's end.  So a text's ids are those of its parts one after
+    the other, and many parts can be encoded as one text.  Words with other characters are encoded by themselves.
+    With a file of any other rule every text is encoded as a whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks already use every core
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        self.by_words = _has_rule(json.loads(self.tokenizer.to_str()))
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        self._clear()
-
-    def _clear(self) -> None:
-        self.words, self.parts = _Ragged(), _Ragged()
+        self.ends[[i for token, i in vocab.items() if token.endswith(_RULE["end"])]] = True
+        self.words = _Ragged(end_id)
 
-    def _whole(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter(chain.from_iterable(ids), np.uint32, sizes.sum()), sizes
 
     def _learn_parts(self, parts: list[str]) -> None:
-        for i in range(0, len(parts), 2000):
-            some = parts[i : i + 2000]
+        for i in range(0, len(parts), 4000):
+            some = parts[i : i + 4000]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.ends[ids])
             if len(ends) == len(some) and ends[-1] == len(ids) - 1:
-                self.parts.add(some, ids, np.diff(ends, prepend=-1))
+                self.words.add(some, ids, np.diff(ends, prepend=-1))
             else:
-                self.parts.add(some, *self._whole(some))
-
-    def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if _PLAIN.fullmatch(w) and "<|" not in w]
-        split = [_PIECE.findall(w.lower()) for w in plain]
-        self._learn_parts([p for p in dict.fromkeys(chain.from_iterable(split)) if p not in self.parts.known])
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        ids, sizes = self.parts.gather(self.parts.numbers(chain.from_iterable(split), counts.sum()))
-        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
-        self.words.add(plain, ids, np.diff(ends))
-        other = [w for w in words if w not in self.words.known]
+                self.words.add(some, *self._whole(some))
+
+    def _learn(self, words: pa.Array, plain: pa.Array) -> None:
+        """words: those not known yet, the plain ones in lower case."""
+        letters = pc.match_substring_regex(words, _LETTERS)
+        mixed = words.filter(pc.and_not(plain, letters)).to_pylist()
+        split = [_PIECE.findall(w) for w in mixed]
+        known = self.words.known
+        parts = dict.fromkeys(words.filter(letters).to_pylist())
+        parts.update(dict.fromkeys(p for p in chain.from_iterable(split) if p not in known))
+        self._learn_parts(list(parts))
+        several = [(w, s) for w, s in zip(mixed, split, strict=True) if w not in known]  # a word may be one part
+        counts = np.fromiter((len(s) for _, s in several), np.int64, len(several))
+        ids, ends = self.words.gather(self.words.numbers(chain.from_iterable(s for _, s in several), counts.sum()))
+        self.words.add([w for w, _ in several], ids, np.diff(ends[np.concatenate([[0], np.cumsum(counts)])]))
+        other = words.filter(pc.invert(plain)).to_pylist()
         if other:
             self.words.add(other, *self._whole(other))
 
-    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, each text's followed by end_id; and the start of every text (one more than texts)."""
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, each text's followed by the end id; and the start of every text (one more than texts)."""
+        if not self.by_words:
+            ids, sizes = self._whole(pc.fill_null(texts, "").to_pylist())
+            first = np.concatenate([[0], np.cumsum(sizes + 1)])
+            out = np.full(first[-1], self.end_id, np.uint32)
+            out[np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes)] = ids
+            return out, first
         words = Words(texts)
         # the tokenizer lower-cases; a special token's own string must not come about by that
-        vocab = pc.if_else(pc.match_substring(words.vocab, "<|"), words.vocab, pc.ascii_lower(words.vocab)).to_pylist()
-        new = list(dict.fromkeys(w for w in vocab if w not in self.words.known))
-        if len(self.words.known) + len(new) > CACHE_WORDS:
-            self._clear()
-            new = list(dict.fromkeys(vocab))
-        for i in range(0, len(new), 20_000):
-            self._learn(new[i : i + 20_000])
-        ids, each = self.words.gather(self.words.numbers(vocab, len(vocab))[words.codes])
-        ends = np.concatenate([[0], np.cumsum(each)])
-        by_text = ends[words.starts]
-        first = by_text + np.arange(len(by_text))  # room for the end ids before
-        doc = words.doc_of()
-        out = np.full(first[-1], end_id, np.uint32)
-        out[np.arange(len(ids)) + np.repeat(doc, each)] = ids
-        return out, first
+        plain = pc.and_not(pc.match_substring_regex(words.vocab, _PLAIN), pc.match_substring(words.vocab, "<|"))
+        vocab = pc.if_else(plain, pc.utf8_lower(words.vocab), words.vocab)
+        names = vocab.to_pylist()
+        if len(self.words.known) + len(names) > CACHE_WORDS:
+            self.words = _Ragged(self.end_id)
+        known = self.words.known
+        new = pa.array([w not in known for w in names], pa.bool_())
+        fresh = pa.table({"word": vocab.filter(new), "plain": plain.filter(new)}).group_by("word", use_threads=False).aggregate([("plain", "min")])
+        if len(fresh):
+            self._learn(fresh["word"].combine_chunks(), fresh["plain_min"].combine_chunks())
+        numbers = np.append(self.words.numbers(names, len(names)), 0)
+        codes = np.full(len(words.codes) + len(words.lengths), len(names), np.int64)
+        codes[np.arange(len(words.codes)) + words.doc_of()] = words.codes
+        ids, ends = self.words.gather(numbers[codes])
+        return ids, ends[words.starts + np.arange(len(words.starts))]
+
+
+@lru_cache(maxsize=1)
+def _tokenizer(path: str, end_id: int) -> WordTokenizer:
+    """One for each worker process, which keeps what it has learnt from task to task."""
+    return WordTokenizer(path, end_id)
 
 
 PIECE_FIELDS = [T.StructField(n, t) for n, t in (("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()))]
@@ -148,10 +185,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, end_id
     names = [*(f.name for f in kept), *(f.name for f in fields)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(tokenizer_path)
+        tokenizer = _tokenizer(tokenizer_path, end_id)
         for batch in batches:
             for part in chunks(batch, text, 2 << 20):
-                ids, first = tokenizer.encode(part.column(text), end_id)
+                ids, first = tokenizer.encode(part.column(text))
                 lengths = np.diff(first)
                 counts = -(-lengths // capacity)
                 row = np.repeat(np.arange(len(lengths)), counts)
