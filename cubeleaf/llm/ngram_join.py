@@ -51,8 +51,10 @@ _BITMAP = [f"b{i}" for i in range(BITMAP_WORDS)]
 FILTER_BITS = 23
 #: Classes that a task remembers, so as not to give them twice.
 SEEN = 1 << 17
-#: Rows of a list that are compared with each other at once.
-BLOCK = 2048
+#: Rows of a list that are compared with each other at once, and of a list whose pairs are named before bitmaps are looked at.
+BLOCK, SHORT = 2048, 8
+#: Bits for each shingle of a class's long bitmap, at least.
+LONG_BITS = 4
 
 
 def shingle_sets(texts: pa.Array, width: int = 5) -> list[np.ndarray]:
@@ -251,23 +253,26 @@ def _pairs(rows: DataFrame, percent: int) -> DataFrame:
     return rows.where(F.col("prev_key").isNotNull() & near).select(F.least("key", "prev_key").alias("u"), F.greatest("key", "prev_key").alias("v")).distinct()
 
 
-def _all_pairs(open_lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Distinct (u, v) from different components of one list whose sizes and bitmaps leave a link possible.
+def _all_pairs(open_lists: DataFrame, classes: DataFrame, percent: int, keep) -> tuple[DataFrame, DataFrame]:
+    """Distinct (u, v) from different components of one list: of short lists, and of long ones where bitmaps leave a link possible.
 
-    A long list is dealt over pairs of blocks: a task holds two blocks of it.
+    A short list is paired with itself, which costs a few ids for each row.  In a long one the bitmaps go along, so
+    that only what passes them becomes a row; it is dealt over pairs of blocks, and a task holds two of them.
     """
-    sizes = open_lists.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rows = open_lists.join(sizes.where("blocks > 1"), "token", "left").join(classes.drop("n", "least"), "key")
-    rows = rows.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = keep(open_lists.join(open_lists.groupBy("token").agg(F.count(F.lit(1)).alias("rows")), "token"))
+    short = rows.where(F.col("rows") <= SHORT).groupBy("token").agg(F.collect_list(F.struct("n", "key", "component")).alias("list"))
+    short = short.select(F.explode("list").alias("x"), "list").select("x", F.explode("list").alias("y"))
+    apart = (F.col("x.component") != F.col("y.component")) & (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
+    ends = [F.least("x.key", "y.key").alias("u"), F.greatest("x.key", "y.key").alias("v")]
+    few = short.where(apart & (F.col("x.key") < F.col("y.key"))).select(*ends).distinct()
+
+    rows = rows.where(F.col("rows") > SHORT).withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int")).join(classes.drop("n", "least"), "key")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumns({"a": F.least("mine", "other"), "b": F.greatest("mine", "other")})
     x, y = rows.where("mine = a").alias("x"), rows.where("mine = b").alias("y")
-    meet = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("token", "a", "b")]
     once = (F.col("x.a") != F.col("x.b")) | (F.col("x.key") < F.col("y.key"))
-    apart = F.col("x.component") != F.col("y.component")
-    alike = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
-    both = x.join(y, meet[0] & meet[1] & meet[2] & once & apart & alike & _may_link(percent, "x", "y"))
-    return both.select(F.least("x.key", "y.key").alias("u"), F.greatest("x.key", "y.key").alias("v")).distinct()
+    both = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.a") == F.col("y.a")) & (F.col("x.b") == F.col("y.b")) & once & apart & _may_link(percent, "x", "y"))
+    return few, both.select(*ends).distinct()
 
 
 def _filter_of(classes: DataFrame) -> np.ndarray:
@@ -296,8 +301,21 @@ def bitmap(x: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(bool)).view(np.int64)
 
 
-def _texts(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """(key, text) of the first document of each wanted class (key, least); other texts stay out of the shuffle."""
+def long_bitmap(x: np.ndarray) -> bytes:
+    """The parity bitmap of a set, of LONG_BITS bits a shingle or more: a power of two."""
+    size = 1 << max(9, (LONG_BITS * len(x) - 1).bit_length())
+    bits = np.bincount((mix(x) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(bits.astype(bool)).tobytes()
+
+
+def differing_bits(a: bytes, b: bytes) -> int:
+    """Bits in which two long bitmaps differ, once the longer is folded to the shorter; the sets differ in as many shingles at least."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
+def _of_classes(docs: DataFrame, text: str, wanted: DataFrame, *, with_text: bool) -> DataFrame:
+    """(key, value) of the first document of each wanted class (key, least): its text or its long bitmap; others stay out of the shuffle."""
     bits = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,12 +323,14 @@ def _texts(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             for part in chunks(batch, text):
                 part = part.filter(pa.array(marked[_bucket(part.column("doc").to_numpy())]))
-                keys = np.array([set_key(x) for x in shingle_sets(part.column(text))], np.int64)
+                sets = shingle_sets(part.column(text))
+                keys = np.array([set_key(x) for x in sets], np.int64)
                 first = np.unique(keys, return_index=True)[1]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[first]), part.column(text).take(pa.array(first))], names=["key", "text"])
+                value = part.column(text).take(pa.array(first)) if with_text else pa.array([long_bitmap(sets[i]) for i in first], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(keys[first]), value], names=["key", "value"])
 
-    found = docs.select("doc", text).mapInArrow(run, "key long, text string").join(wanted.select("key"), "key", "left_semi")
-    return found.groupBy("key").agg(F.min("text").alias("text"))
+    found = docs.select("doc", text).mapInArrow(run, "key long, value " + ("string" if with_text else "binary")).join(wanted.select("key"), "key", "left_semi")
+    return found.groupBy("key").agg(F.min("value").alias("value"))
 
 
 def _may_link(percent: int, x: str, y: str):
@@ -321,6 +341,25 @@ def _may_link(percent: int, x: str, y: str):
     return differ * (100 + percent) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (100 - percent)
 
 
+def _with_values(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """pairs with the values tu and tv of both classes."""
+    for end in "uv":
+        pairs = pairs.join(values.select(F.col("key").alias(end), F.col("value").alias(f"t{end}")), end)
+    return pairs
+
+
+def _not_ruled_out(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs (u, v, nu, nv) whose long bitmaps leave a link possible."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("nu").to_numpy().astype(np.int64) + batch.column("nv").to_numpy()
+            differ = np.array([differing_bits(a.as_py(), b.as_py()) for a, b in zip(batch.column("tu"), batch.column("tv"), strict=True)], np.int64)
+            yield batch.select(["u", "v"]).filter(pa.array(differ * (100 + percent) <= n * (100 - percent)))
+
+    return _with_values(pairs, maps).select("u", "v", "nu", "nv", "tu", "tv").mapInArrow(run, "u long, v long")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Those of pairs (u, v) whose sets link."""
 
@@ -334,20 +373,21 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                     good.append(100 * common >= percent * (len(x) + len(y) - common))
                 yield part.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    both = pairs.join(texts.select(F.col("key").alias("u"), F.col("text").alias("tu")), "u").join(texts.select(F.col("key").alias("v"), F.col("text").alias("tv")), "v")
-    return both.select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long")
+    return _with_values(pairs, texts).select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long")
 
 
 def _links(tested: DataFrame, before: list[DataFrame], named: DataFrame, text: str, classes: DataFrame, percent: int, keep) -> tuple[DataFrame, DataFrame]:
-    """(candidates (u, v) that the bitmaps leave, those that link) of tested pairs; not the candidates from before."""
+    """(candidates (u, v) that the short bitmaps leave, those that link) of tested pairs; not the candidates from before."""
     x, y = (classes.select(F.col("key").alias(end), F.struct("n", *_BITMAP).alias(f"of_{end}")) for end in "uv")
-    both = tested.join(x, "u").join(y, "v")
-    left = both.where(_may_link(percent, "of_u", "of_v")).select("u", "v")
+    left = tested.join(x, "u").join(y, "v").where(_may_link(percent, "of_u", "of_v")).select("u", "v", F.col("of_u.n").alias("nu"), F.col("of_v.n").alias("nv"))
     for pairs in before:
         left = left.join(pairs, ["u", "v"], "left_anti")
     left = keep(left)
-    wanted = keep(classes.select("key", "least").join(left.select(F.explode(F.array("u", "v")).alias("key")).distinct(), "key", "left_semi"))
-    return left, keep(_verified(left, keep(_texts(named, text, wanted)), percent))
+    values = lambda pairs, with_text: keep(_of_classes(named, text, keep(classes.select("key", "least").join(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct(), "key", "left_semi")), with_text=with_text))
+    # the short bitmaps of long texts are full of bits and tell little
+    long = F.col("nu") + F.col("nv") > 64 * BITMAP_WORDS
+    possible = keep(_not_ruled_out(left.where(long), values(left.where(long), False), percent).unionByName(left.where(~long).select("u", "v")))
+    return left.select("u", "v"), keep(_verified(possible, values(possible, True), percent))
 
 
 def _shared_ids(sets: DataFrame) -> DataFrame:
@@ -379,7 +419,8 @@ def groups(docs: DataFrame, *, percent: int = 80, text: str = "text") -> DataFra
     more_pairs, more = _links(_mixed_neighbours(open_lists, percent), [first_pairs], named, text, classes, percent, keep)
     links = keep(links.unionByName(more))
     open_lists = _open_lists(open_lists, components(links, scratch), keep)
-    _, more = _links(_all_pairs(open_lists, classes, percent), [first_pairs, more_pairs], named, text, classes, percent, keep)
+    few, many = _all_pairs(open_lists, classes, percent, keep)
+    _, more = _links(keep(few.unionByName(many)).distinct(), [first_pairs, more_pairs], named, text, classes, percent, keep)
 
     # a document without words is a node of its own; one id makes one document of its rows
     sets = first.where(F.col("n").isNotNull()).select("doc", "n", F.when(F.col("n") > 0, F.col("key")).otherwise(F.xxhash64(F.lit("empty"), "doc")).alias("node"))
