@@ -10,7 +10,13 @@ language with the largest proportion, and the score is that proportion.
 
 The model is fitted on a bounded sample: at most ``per_language`` documents of each language, those with the
 smallest hash of doc_id.  Every language that a row is labelled with is learnt; counts are held sparse, so a rare
-language takes little memory.  All words of each text are scored.  Null texts and texts without a letter are ``und`` with score 0; so is everything if nothing was learnt.
+language takes little memory.  All words of each text are scored, however long it is.
+
+Null texts and texts without a letter, empty ones too, are ``und`` with score 0; so is everything if nothing was
+learnt, as from an empty table.  A row labelled ``und`` teaches that name like any other.  Rows without an id are
+ranked last in the sample.  Repeated rows are scored each, alike; in the sample, rows of one id and language come in
+together.  Of languages with equal proportions the first by name is predicted.  Columns of docs named like the
+results give way to them.
 """
 
 from __future__ import annotations
@@ -30,6 +36,8 @@ BITS = 16
 ORDERS = (1, 2, 3, 4)
 #: Counts that are looked up at once, languages whose counts a task holds, and bytes of text times languages that are scored at once.
 CHUNK, HELD, SCORED = 1 << 22, 64, 1 << 27
+#: Parts that a language's rows are ranked in.
+SALTS = 256
 
 
 @dataclass(frozen=True)
@@ -91,10 +99,13 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", per_language
     names = sorted(r[lang] for r in labelled.select(lang).distinct().collect())
     if not names:
         return LanguageModel([], np.zeros((len(ORDERS), 0)), np.zeros((len(ORDERS) << BITS) + 1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32))
-    first = Window.partitionBy(lang).orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = labelled.select("doc_id", lang).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_language)
+    ids = labelled.select("doc_id", F.col(lang).alias("_lang")).withColumn("_salt", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS)))
+    # the first of each language are among the first of each salt, so that no task ranks a whole language
+    for keys in (["_lang", "_salt"], ["_lang"]):
+        first = Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id")
+        ids = ids.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_language)
     # at most per_language rows of an id and a name for each language
-    ids = ids.select("doc_id", F.col(lang).alias("_lang")).distinct()
+    ids = ids.select("doc_id", "_lang").distinct()
     picked = labelled.select("doc_id", text, lang).join(F.broadcast(ids) if len(names) <= HELD else ids, (labelled["doc_id"] == ids["doc_id"]) & (F.col(lang) == F.col("_lang"))).select("_lang", text)
 
     def count(batches):

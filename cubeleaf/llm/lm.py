@@ -3,7 +3,7 @@
 Tokens are ASCII lower-cased words and one end for each text.  Word counts cover all training documents.  The
 ``vocabulary`` most frequent tokens have embeddings of their own; all others are drawn in two steps, first one of
 ``CLASSES`` classes by the word's last letters, then the word within the class by its smoothed count.  So the
-model gives a normalised distribution over the same events as the base: every known token and one unseen one.
+model gives a normalised distribution over every known token and, in each class, one unseen one.
 
 The score of token w after token h is r_h . q_w + b_w.  Training maximises the NCE objective with noise shared by
 a minibatch (matrix products in numpy): each partition trains on all of its training text from the same
@@ -14,8 +14,11 @@ product of all contexts with all targets gives the log normalisers, which are br
 Counts: the ``HEAD`` most frequent words (a bound) go to every worker; the other words of a document are joined
 to the table of counts by a shuffle, so nothing that grows with the corpus is broadcast.
 
-Null texts are empty: one end.  Rows are scored each for itself, repeated ones too.  Without training documents
-all counts are 0 and the model gives what its untrained parameters give.
+Null, empty and blank texts are one end.  Rows are scored each for itself, repeated ones and those without an id
+too.  Words that tie at the vocabulary's edge are taken in the order of their hashes.  Texts are never cut: a batch
+holds one at least, however long.  Without training documents all counts are 0 and the model gives what its
+untrained parameters give; an empty table to score gives an empty result.  Only doc_id, the text and what ``extra``
+names are read, so columns named like the results don't matter.
 """
 
 from __future__ import annotations

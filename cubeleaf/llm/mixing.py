@@ -10,7 +10,7 @@ in a seeded hash order until the fraction is met: a document is in if the middle
 order is that of md5(seed, doc_id), found by prefix sums over hash buckets, so a hot source is never sorted in
 one task: its buckets are summed where the rows lie, and only the bucket that holds the threshold is ordered.
 
-Null text has size 0.  Rows with the same doc_id share one place in the order and are taken alike.  Where all
+Null, empty and blank texts have size 0; an empty table gives an empty result.  Rows with the same doc_id share one place in the order and are taken alike.  Where all
 sizes are 0 nothing is taken.  Columns named like the results give way to them.
 """
 

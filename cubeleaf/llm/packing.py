@@ -3,11 +3,13 @@
 Texts become token ids (plus an end id); what is longer than a sequence is cut into whole sequences and a rest.
 Pieces are dealt over shards of about ``shard_rows``.  In a shard, longest first, each piece goes to the open
 sequence after which the sum over residual gaps of (number of open sequences with that gap) squared is smallest;
-ties go to the smallest gap, and a new sequence is opened only where none fits.  Sequences that stay emptier than ``good_fill`` are opened again and packed once more in wider shards, so
-that nearly all waste of the shards' ends is gone.  Cost and memory of a task are those of a shard.
+ties go to the smallest gap, and a new sequence is opened only where none fits.  Sequences that stay emptier than
+``good_fill`` are opened again and packed once more in wider shards, so that nearly all waste of the shards' ends is
+gone.  Cost and memory of a task are those of a shard.
 
-Null texts count as empty: they are one end id.  Rows are independent of each other: repeated rows and ids are
-packed each for itself.  An empty table gives an empty result.
+Null texts count as empty: they are one end id.  Rows are independent of each other: repeated rows and ids, and
+rows without an id, are packed each for itself.  Pieces of one length go in the order of the rows.  An empty table
+gives an empty result.  Columns of docs named like the results give way to them.
 """
 
 from __future__ import annotations
@@ -255,7 +257,7 @@ def _packed(rows: DataFrame, shards: int, capacity: int, base: int) -> DataFrame
 def pack(cut: DataFrame, *, capacity: int = 2048, shard_rows: int = 8192, good_fill: float = 0.98) -> DataFrame:
     """Pieces (with a length column) plus sequence_id and offset."""
     scratch = Scratch(cut.sparkSession)
-    cut = scratch.write(cut.drop("sequence_id", "offset", "fill"))
+    cut = scratch.write(cut.drop("sequence_id", "offset", "fill", "_shard"))
     shards = max(1, -(-cut.count() // shard_rows))
     first = _packed(cut, shards, capacity, 0)
     if shards == 1:

@@ -8,7 +8,14 @@ standardised statistics of the text (letters, capitals, digits, signs, lines, re
 
 Fitted by AdaGrad on a bounded sample: at most ``per_class`` labelled documents of each class, those with the
 smallest hash of doc_id, weighted back to the classes' shares.  Scoring reads whole texts in a map over the
-rows.  Null and empty texts have the statistics of an empty text and no words; null metadata counts as 0.
+rows.  What comes to the driver is the sampled documents' distinct buckets with their counts: 8 bytes for each, and
+2**16 at most a document.
+
+Null and empty texts have the statistics of an empty text and no words; null metadata counts as 0, and so does a
+column that is missing.  Rows without an id are never in the sample, but are scored.  Repeated rows of a sampled id
+count once in learning and are scored each, alike.  Texts are never cut: a batch holds one at least, however long.
+Without labelled documents every score is 0.5; an empty table gives an empty result.  Columns of docs named like
+the score give way to it.
 """
 
 from __future__ import annotations
@@ -87,7 +94,9 @@ def features(part: pa.RecordBatch, text: str, metadata: tuple[str, ...]) -> tupl
     owner = pairs >> 32
     value = np.sqrt(counts)
     norm = np.sqrt(np.bincount(owner, value * value, n))
-    extra = [np.log1p(np.maximum(pc.fill_null(part.column(m).cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False), 0)) for m in metadata]
+    absent = pa.array(np.zeros(part.num_rows))
+    extra = [part.column(m).cast(pa.float64()) if m in part.schema.names else absent for m in metadata]
+    extra = [np.log1p(np.maximum(pc.fill_null(x, 0.0).to_numpy(zero_copy_only=False), 0)) for x in extra]
     stats = np.column_stack([statistics(texts, words, distinct), *extra])
     return np.searchsorted(owner, np.arange(n + 1)), bucket, value / np.maximum(norm[owner], 1e-9), stats
 
@@ -127,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", text: str
     bounded_batches(docs.sparkSession)
     labels = labels.select("doc_id", label)
     sample = sample_of(labels, label, per_class)
-    picked = docs.select("doc_id", text, *metadata).join(F.broadcast(sample), "doc_id").where(F.col(text).isNotNull())
+    picked = docs.select("doc_id", text, *(m for m in metadata if m in docs.columns)).join(F.broadcast(sample), "doc_id").where(F.col(text).isNotNull())
 
     def of(part: pa.RecordBatch) -> list[pa.Array]:
         starts, bucket, value, stats = features(part, text, metadata)
@@ -158,14 +167,12 @@ def score(docs: DataFrame, model: QualityModel, *, text: str = "text", metadata:
     """docs with a score between 0 and 1."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**16 buckets of rank + 1 numbers
-    known = tuple(m for m in metadata if m in docs.columns)
-
     def make():
         m = shared.value
         size = 1 << BITS
 
         def of(part: pa.RecordBatch) -> list[pa.Array]:
-            starts, bucket, value, stats = features(part, text, known)
+            starts, bucket, value, stats = features(part, text, metadata)
             y = m.intercept + _sums(m.weight[bucket] * value, starts)
             x = value[:, None].astype(np.float32) * m.factors[bucket]
             total, squares = _sums(x, starts), _sums(x * x, starts)

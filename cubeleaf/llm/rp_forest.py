@@ -16,8 +16,11 @@ is dealt over pairs of blocks, so the memory of a task is that of two blocks how
 leaf.  A pair that several leaves find counts in the smallest of them, which both rows' leaf lists tell; so link
 counts are summed and spanning edges given out where the leaf is, and pairs are never shuffled.
 
-Vectors that are null, zero or hold null or non-finite components link with nothing; shorter vectors count as
-filled with zeros.  Rows without an id take no part.  Rows repeated under one id count as vectors each.
+Vectors that are null, empty, zero or hold null or non-finite components link with nothing, and rows without an id
+neither; shorter vectors count as filled with zeros.  Components may be floats or doubles; cosines are computed in
+doubles.  Rows repeated under one id count as vectors each.  A cosine equal to the threshold links; of the ids that
+tie for a component the smallest names it.  An empty table gives an empty result.  Only vec_id and embedding are
+read, so other columns don't matter.
 """
 
 from __future__ import annotations
@@ -210,8 +213,8 @@ def near_duplicates(
                 ends = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column("node"), part.column("size"), part.column("embedding"), pa.ListArray.from_arrays(pa.array(ends), pa.array(leaf.astype(np.int32))), pa.array(core.astype(np.int32))], names=["node", "size", "embedding", "leaves", "core"])
 
-    routed = classes.select("node", "size", "embedding").mapInArrow(route, "node long, size long, embedding array<float>, leaves array<int>, core int")
-    routed = scratch.write(routed.withColumn("embedding", F.col("embedding").cast(vectors.schema["embedding"].dataType)))
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    routed = scratch.write(classes.select("node", "size", "embedding").mapInArrow(route, f"node long, size long, embedding {kind}, leaves array<int>, core int"))
     # blocks of each leaf: a row for each leaf of the bounded forest and for each hub; what is no core of a hub meets only the core
     inner = (F.col("leaf") < first_hub) | (F.col("leaf") == F.col("core") + first_hub)
     leaves = routed.withColumn("leaf", F.explode("leaves")).withColumn("inner", inner)
@@ -251,6 +254,7 @@ def near_duplicates(
     )
     by_class = written(by_class)
     scratch.drop()
-    inside = valid.join(by_class, "embedding").select("vec_id", "n_links", "component_id")
+    # a merge join, whose large partitions Spark splits: one vector may be that of a third of all rows
+    inside = valid.join(by_class.hint("merge"), "embedding").select("vec_id", "n_links", "component_id")
     outside = rows.where(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return inside.unionByName(outside).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

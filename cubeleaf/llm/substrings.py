@@ -13,7 +13,8 @@ Hot groups: a worker first settles what repeats within its own batch (there only
 earliest), so a hash has at most one row for each batch of text in the shuffle.  Groups are found by streaming
 over sorted partitions and are never held in memory.
 
-Null text has no words.  Null ids count as the largest.  Rows with the same doc_id are told apart and ordered
+Null, empty and blank texts have no words; an empty table gives an empty result.  Texts are never cut: a batch holds
+one at least, however long.  Null ids count as the largest.  Rows with the same doc_id are told apart and ordered
 by a 32-bit hash of the text; rows equal in both are judged alike and are not earlier than each other.
 Columns of docs named like the results give way to them.
 """

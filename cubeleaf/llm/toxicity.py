@@ -6,7 +6,14 @@ are exactly zero; the few others are broadcast.  Scoring gathers weights for all
 drops the zeros and counts each remaining feature once.
 
 The model is fitted on a bounded sample of labelled rows: at most ``per_class`` documents of each label, those
-with the smallest hash of doc_id.  Null and empty texts have no features and get the score of the intercept.
+with the smallest hash of doc_id.  What comes to the driver is each sampled document's distinct buckets: 4 bytes for each, and
+2**20 at most, so the sample bounds it.
+
+Null and empty texts have no features and get the score of the intercept.  Rows without an id are never in the
+sample, but are scored.  An id labelled several times counts with its largest label, repeated rows of a sampled id
+with the first text; repeated rows are scored each, alike, and equal scores are no matter.  Texts are never cut:
+a batch holds one at least, however long.  Without labelled documents every score is 0.5; an empty table gives an
+empty result.  Columns of docs named like the score give way to it.
 """
 
 from __future__ import annotations

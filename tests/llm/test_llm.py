@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cubeleaf.llm import language, lm, mixing, ngram_join, packing, quality, rp_forest, substrings, topk, toxicity
+from cubeleaf.llm import _text, language, lm, mixing, ngram_join, packing, quality, queries, rp_forest, substrings, topk, toxicity
 from cubeleaf.llm.queries import tokenizer_path
 
 WORDS = [f"w{i}" for i in range(300)]
@@ -249,6 +249,55 @@ def test_topk_against_brute_force(spark):
     assert got == expected
 
 
+def test_topk_beyond_64_bits(spark):
+    rows = [(0, [1e17, 1.0]), (1, [1e17, 2.0]), (2, [1e17, 3.0]), (3, [-1e30, 0.0]), (4, [1e30, 0.0]), (5, [3e30, 0.0]), (6, [3e30, 0.0])]
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=6).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [5, 6, 4, 2, 1, 3]
+    assert [r.score for r in got] == [(1 << 63) - 1] * 5 + [-1 << 63]
+
+
+def test_embedding_dedup_of_doubles(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 1e-12]), (3, [0.0, 1.0]), (4, [])]
+    got = rp_forest.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4)}
+
+
+def test_texts_of_megabytes(spark):
+    """Longer than a chunk, twice, beside short ones: nothing is cut, dropped or shifted."""
+    rng = random.Random(3)
+    long = " ".join(rng.choice(WORDS) for _ in range(1_100_000))
+    assert len(long) > _text.CHUNK_BYTES
+    rows = [(1, "a b c", "en", "s", 5), (2, long, "en", "s", 1), (3, None, None, None, None), (4, long + " end", "en", "s", 1), (5, "a b c", "en", "s", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    n = {1: 3, 2: 1_100_000, 3: 0, 4: 1_100_001, 5: 3}
+    assert {r.doc_id: r.size for r in mixing.mixed(docs).collect()} == n
+    cut = {r.doc_id: (r.n_words, r.n_removed) for r in substrings.deduplicate(docs).select("doc_id", "n_words", "n_removed").collect()}
+    assert {i: w for i, (w, _) in cut.items()} == n and cut[4][1] >= 1_100_000 and cut[1][1] == 0
+    joined = {r.doc_id: r.component_id for r in ngram_join.groups(docs).collect()}
+    assert joined == {1: 1, 2: 2, 3: 3, 4: 2, 5: 1}
+    pieces = packing.pack(packing.pieces(docs, tokenizer_path())).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("start").alias("last"), F.count("piece").alias("pieces")).collect()
+    assert all(r.pieces == -(-r.n // 2048) and r["last"] == (r.pieces - 1) * 2048 for r in pieces) and len({r.doc_id for r in pieces}) == 5
+    model, counts = lm.fit(docs, vocabulary=16, rounds=1)
+    assert {r.doc_id: (r.n_tokens, r.n_known) for r in lm.score(docs, model, counts).collect()} == {i: (x + 1, x + 1) for i, x in n.items()}
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.score(docs, toxicity.fit(docs, labels)).where("score between 0 and 1").count() == 5
+    assert quality.score(docs.drop("n_chars"), quality.fit(docs, labels)).where("score between 0 and 1").count() == 5
+    assert language.identify(docs, language.fit(docs)).where("lang_pred in ('en', 'und')").count() == 5
+
+
+def test_held_out_accuracy_of_the_registered_queries(spark):
+    """Rows that the queries have not learnt from, against their labels."""
+    sf = "/root/testdata/sf0.1"  # smaller tables have a few dozen toxic documents to learn from
+    labels, docs = spark.read.parquet(f"{sf}/labels.parquet"), spark.read.parquet(f"{sf}/documents.parquet")
+    toxic = queries.op1_toxicity(spark, sf).where("held_out").join(labels, "doc_id").collect()
+    found, clean = [r.predicted for r in toxic if r.toxic], [r.predicted for r in toxic if r.toxic == 0]
+    assert sum(found) >= 0.8 * len(found) and sum(clean) <= 0.02 * len(clean)
+    good = queries.op10_quality(spark, sf).where("held_out").join(labels, "doc_id").where("quality is not null").collect()
+    assert sum(r.predicted == r.quality for r in good) >= 0.85 * len(good)
+    lang = queries.op9_language(spark, sf).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").where("lang is not null and lang_pred <> 'und'").collect()
+    assert sum(r.lang_pred == r.lang for r in lang) >= 0.97 * len(lang)
+
+
 def test_embedding_dedup_against_brute_force(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(60, 16))
