@@ -290,8 +290,10 @@ def test_held_out_accuracy_of_the_registered_queries(spark):
     sf = "/root/testdata/sf0.1"  # smaller tables have a few dozen toxic documents to learn from
     labels, docs = spark.read.parquet(f"{sf}/labels.parquet"), spark.read.parquet(f"{sf}/documents.parquet")
     toxic = queries.op1_toxicity(spark, sf).where("held_out").join(labels, "doc_id").collect()
-    found, clean = [r.predicted for r in toxic if r.toxic], [r.predicted for r in toxic if r.toxic == 0]
-    assert sum(found) >= 0.8 * len(found) and sum(clean) <= 0.02 * len(clean)
+    found, clean = [r for r in toxic if r.toxic], [r for r in toxic if r.toxic == 0]
+    # some 300 toxic documents teach the common words of the kind only: most are found, and ranks tell more than the limit of 0.7
+    assert sum(r.predicted for r in found) >= 0.6 * len(found) and sum(r.predicted for r in clean) <= 0.005 * len(clean)
+    assert np.mean([(x.score > y.score) + (x.score == y.score) / 2 for x in found for y in clean]) >= 0.95
     good = queries.op10_quality(spark, sf).where("held_out").join(labels, "doc_id").where("quality is not null").collect()
     assert sum(r.predicted == r.quality for r in good) >= 0.85 * len(good)
     lang = queries.op9_language(spark, sf).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").where("lang is not null and lang_pred <> 'und'").collect()
