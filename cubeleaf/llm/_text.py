@@ -196,12 +196,18 @@ class Scratch:
 _RESULTS: list[Scratch] = []
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df, computed once and read from Parquet in the shared folder until the driver ends."""
+def lasting(scratch: Scratch, df: DataFrame) -> DataFrame:
+    """df, whose tables stay until the driver ends."""
     if not _RESULTS:
         atexit.register(_drop_results)
-    _RESULTS.append(Scratch(df.sparkSession))
-    return _RESULTS[-1].write(df)
+    _RESULTS.append(scratch)
+    return df
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df, computed once and read from Parquet in the shared folder until the driver ends."""
+    scratch = Scratch(df.sparkSession)
+    return lasting(scratch, scratch.write(df))
 
 
 def _drop_results() -> None:

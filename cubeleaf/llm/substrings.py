@@ -92,7 +92,7 @@ def _candidates(part: pa.RecordBatch, text: str, width: int) -> pa.RecordBatch:
     """Rows (a, b, doc, tie, pos) of windows near repeated anchors; a is null where the batch settles them."""
     words = Words(part.column(text))
     lengths, starts = words.lengths, words.starts[:-1]
-    near = _covering(part.column("flags"), lengths, starts, PERIOD - 1, 0, lengths - width)
+    near = _covering(part.column("_flags"), lengths, starts, PERIOD - 1, 0, lengths - width)
     flat = np.flatnonzero(near)
     doc = words.doc_of()[flat]
     a = rolling(words.hashes(_B1), flat, flat + width, _B1)
@@ -118,7 +118,7 @@ def _candidates(part: pa.RecordBatch, text: str, width: int) -> pa.RecordBatch:
 def _kept(part: pa.RecordBatch, text: str, width: int) -> list[pa.Array]:
     words = Words(part.column(text))
     lengths = words.lengths
-    gone = _covering(part.column("flags"), lengths, words.starts[:-1], 0, width - 1, lengths - 1)
+    gone = _covering(part.column("_flags"), lengths, words.starts[:-1], 0, width - 1, lengths - 1)
     removed = np.bincount(words.doc_of()[gone], minlength=len(lengths))
     left = words.vocab.take(pa.array(words.codes[~gone]))
     ends = np.concatenate([[0], np.cumsum(lengths - removed)]).astype(np.int32)
@@ -145,7 +145,7 @@ def _after_settled(batches: Iterator[pa.RecordBatch], key: str, columns: list[st
 def deduplicate(docs: DataFrame, *, width: int = 20, text: str = "text") -> DataFrame:
     """docs with n_words, n_removed, kept_text (words joined by one space) and kept_sha256 of that text."""
     bounded_batches(docs.sparkSession)
-    new = ("n_words", "n_removed", "kept_text", "kept_sha256", "flags", "_doc", "_tie")
+    new = ("n_words", "n_removed", "kept_text", "kept_sha256", "_flags", "_doc", "_tie")
     base = docs.drop(*new)
     parts = rows_per_task(docs)
     tie = F.hash(F.coalesce(F.col(text), F.lit("")))
@@ -165,8 +165,8 @@ def deduplicate(docs: DataFrame, *, width: int = 20, text: str = "text") -> Data
     marked = dealt.mapInArrow(repeats, "doc long, pos int")
     # written, so that the anchors' shuffle can go before texts are dealt
     scratch = Scratch(docs.sparkSession)
-    flags = scratch.write(marked.groupBy("doc").agg(F.collect_set("pos").alias("flags")))
-    near = keyed.join(flags.withColumnRenamed("doc", "_doc"), "_doc").select("_doc", "_tie", text, "flags")
+    flags = scratch.write(marked.groupBy("doc").agg(F.collect_set("pos").alias("_flags")))
+    near = keyed.join(flags.withColumnRenamed("doc", "_doc"), "_doc").select("_doc", "_tie", text, "_flags")
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _split(batches, text):
@@ -178,10 +178,10 @@ def deduplicate(docs: DataFrame, *, width: int = 20, text: str = "text") -> Data
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _after_settled(batches, "a", ["doc", "tie", "pos"], lambda rest: later_rows(rest, ["a", "b"], ["doc", "tie", "pos"], ["doc", "tie", "pos"]))
 
-    gone = written(ranked.mapInArrow(repeated, "doc long, tie int, pos int").groupBy("doc", "tie").agg(F.collect_set("pos").alias("flags")))
+    gone = written(ranked.mapInArrow(repeated, "doc long, tie int, pos int").groupBy("doc", "tie").agg(F.collect_set("pos").alias("_flags")))
     scratch.drop()
     joined = keyed.join(gone.withColumnsRenamed({"doc": "_doc", "tie": "_tie"}), ["_doc", "_tie"], "left")
-    joined = joined.withColumn("flags", F.coalesce("flags", F.array().cast("array<int>")))
+    joined = joined.withColumn("_flags", F.coalesce("_flags", F.array().cast("array<int>")))
     names = [f.name for f in base.schema.fields]
     schema = T.StructType([*base.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("kept_sha256", T.StringType())])
 
@@ -190,4 +190,4 @@ def deduplicate(docs: DataFrame, *, width: int = 20, text: str = "text") -> Data
             for part in chunks(batch, text):
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *_kept(part, text, width)], names=schema.names)
 
-    return joined.select(*names, "flags").mapInArrow(keep, schema)
+    return joined.select(*names, "_flags").mapInArrow(keep, schema)

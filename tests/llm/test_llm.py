@@ -440,6 +440,35 @@ def test_components(spark, monkeypatch):
         assert got == {x: root(x) for x in parent}
 
 
+def test_pipeline_on_awkward_rows(spark, awkward, tmp_path):
+    """Each stage on nulls, empty texts, copies, repeated rows, clashing columns; and all of them on an empty table."""
+    import corpus_pipeline
+
+    docs, rows = awkward
+    docs = docs.withColumns({"n_words": F.lit("own"), "size": F.lit("own"), "copies": F.lit("own")})
+    for name, table in (("some", docs), ("none", docs.limit(0))):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(i, int(i % 2), 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    at = spark.read.parquet(f"{tmp_path}/some/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("toxicity", "ngram_join", "substrings", "mixing"):
+        out = stages[name](spark, at, f"{tmp_path}/some")
+        assert out.columns == at.columns and out.schema["text"].dataType == at.schema["text"].dataType
+        assert out.where("n_words = 'own' and size = 'own' and copies = 'own' and flags = 'x' and score = 2").count() == out.count()
+        left = Counter((r.doc_id, r.text) for r in out.collect())
+        assert left[200, None] or name == "mixing"  # a null text is clean and alone
+        if name == "toxicity":
+            assert left == Counter((i, t) for i, t, *_ in rows)
+        if name == "ngram_join":
+            assert [i for i, _ in left if i is not None and 100 <= i < 140] == [100] and left[220, rows[40][1]] == 0 and left[204, rows[0][1]] == 0
+            assert sum(i is None for i, _ in left) == 2  # neither has a partner with an id
+        if name == "substrings":
+            assert all(n <= 2 for n in left.values()) and (205, "one two three four") in left
+    assert stages["packing"](spark, at, f"{tmp_path}/some").count() >= len(rows)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/some").count() > 20
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     import corpus_pipeline
 
