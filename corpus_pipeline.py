@@ -10,6 +10,14 @@ folder and reads again for the next one.  All but the last return the columns of
    that loses every word goes.
 4. mixing: documents are repeated or left out, so that sources come near their target weights.
 5. packing: sequences of at most 2048 tokens; one row per piece.
+
+In every stage: null, empty and blank texts are documents without words (not toxic unless the model's intercept says
+so, in a group of their own, nothing to remove, of size 0 and so taken as often as their source's target says, one
+end id).  Texts are never cut before packing, however long.  Rows that share an id are one document for the second
+stage, which keeps all of them or none, and rows each for the others; exact copies under different ids are one group.
+Rows without an id are kept by the second stage only if their group has no id at all.  Ties go to the smaller id.
+Further columns of documents are carried along, also those named like an operator's results; an empty table passes
+through all stages.
 """
 
 from __future__ import annotations
@@ -18,10 +26,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cubeleaf.llm import mixing, ngram_join, packing, substrings, toxicity
-from cubeleaf.llm._text import Scratch, crc_mod
+from cubeleaf.llm._text import Scratch, crc_mod, lasting
 from cubeleaf.llm.queries import tokenizer_path
 
 
+def _own(docs: DataFrame, taken: set[str]) -> tuple[DataFrame, list]:
+    """docs with other names for the columns that an operator names its results like; and the columns of docs again."""
+    names = {c: f"_own_{c}" for c in docs.columns if c in taken}
+    return docs.withColumnsRenamed(names), [F.col(names.get(c, c)).alias(c) for c in docs.columns]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below 0.7."""
     train = crc_mod("doc_id", 3) != 1
@@ -36,16 +50,18 @@ def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the windows that start earlier too."""
-    cut = substrings.deduplicate(docs)
+    named, columns = _own(docs, {"n_words", "n_removed", "kept_text", "kept_sha256"})
+    cut = substrings.deduplicate(named)
     left = cut.where((F.col("n_removed") < F.col("n_words")) | (F.col("n_words") == 0))
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     chars = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
-    return left.withColumns({"text": text, "n_chars": chars}).select(*docs.columns)
+    return left.withColumns({"text": text, "n_chars": chars}).select(*columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    return mixing.repeated(docs)
+    named, columns = _own(docs, {"size", "source_size", "target", "copies", "whole", "threshold"})
+    return mixing.repeated(named).select(*columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,9 +86,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     done = Scratch(spark)
-    for _, stage in STAGES[:-1]:
+    for _, stage in STAGES:
         following = Scratch(spark)
         docs = following.write(stage(spark, docs, sf_dir))
         done.drop()
         done = following
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return lasting(done, docs)
