@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from ._text import Scratch, Words, bounded_batches, chunks, written
 
 #: Distinct words and parts whose ids a worker keeps at once.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 
 #: The tokenizer's own normalisers, splitting rule and mark of a word's end, and that rule for the
 #: characters of the class below, in lower case.
@@ -107,7 +107,10 @@ class WordTokenizer:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith(_RULE["end"])]] = True
-        self.words = _Ragged(end_id)
+        self.forget()
+
+    def forget(self) -> None:
+        self.words = _Ragged(self.end_id)
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -155,7 +158,7 @@ class WordTokenizer:
         vocab = pc.if_else(plain, pc.utf8_lower(words.vocab), words.vocab)
         names = vocab.to_pylist()
         if len(self.words.known) + len(names) > CACHE_WORDS:
-            self.words = _Ragged(self.end_id)
+            self.forget()
         known = self.words.known
         new = pa.array([w not in known for w in names], pa.bool_())
         fresh = pa.table({"word": vocab.filter(new), "plain": plain.filter(new)}).group_by("word", use_threads=False).aggregate([("plain", "min")])
@@ -170,7 +173,7 @@ class WordTokenizer:
 
 @lru_cache(maxsize=1)
 def _tokenizer(path: str, end_id: int) -> WordTokenizer:
-    """One for each worker process, which keeps what it has learnt from task to task."""
+    """One for each worker process, read once; the words it has learnt go with the task, as other tasks need the memory."""
     return WordTokenizer(path, end_id)
 
 
@@ -188,23 +191,26 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, end_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(tokenizer_path, end_id)
-        for batch in batches:
-            for part in chunks(batch, text, 2 << 20):
-                ids, first = tokenizer.encode(part.column(text))
-                lengths = np.diff(first)
-                counts = -(-lengths // capacity)
-                row = np.repeat(np.arange(len(lengths)), counts)
-                piece = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                start = piece * capacity
-                length = np.minimum(lengths[row] - start, capacity)
-                at = first[:-1][row] + start
-                raw = memoryview(np.ascontiguousarray(ids.astype("<u4")).tobytes())
-                crc = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(at.tolist(), length.tolist(), strict=True)]
-                arrays = [part.column(f.name).take(pa.array(row)) for f in kept]
-                arrays += [pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-                if with_ids:
-                    arrays.append(pa.ListArray.from_arrays(pa.array(np.append(at, at[-1] + length[-1]) if len(at) else [0], pa.int32()), pa.array(ids.astype(np.int32))))
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+        try:
+            for batch in batches:
+                for part in chunks(batch, text, 2 << 20):
+                    ids, first = tokenizer.encode(part.column(text))
+                    lengths = np.diff(first)
+                    counts = -(-lengths // capacity)
+                    row = np.repeat(np.arange(len(lengths)), counts)
+                    piece = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                    start = piece * capacity
+                    length = np.minimum(lengths[row] - start, capacity)
+                    at = first[:-1][row] + start
+                    raw = memoryview(np.ascontiguousarray(ids.astype("<u4")).tobytes())
+                    crc = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(at.tolist(), length.tolist(), strict=True)]
+                    arrays = [part.column(f.name).take(pa.array(row)) for f in kept]
+                    arrays += [pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+                    if with_ids:
+                        arrays.append(pa.ListArray.from_arrays(pa.array(np.append(at, at[-1] + length[-1]) if len(at) else [0], pa.int32()), pa.array(ids.astype(np.int32))))
+                    yield pa.RecordBatch.from_arrays(arrays, names=names)
+        finally:
+            tokenizer.forget()
 
     return docs.select(*(f.name for f in kept), text).mapInArrow(run, T.StructType([*kept, *fields]))
 
