@@ -1,17 +1,21 @@
-"""Selections of an observation's main table: ids, names, baselines and distances as predicates.
+"""Selections of an observation's main table as predicates.
 
-A selection is text such as ``'1~3,>7'`` or ``'ANT1&&ANT2;!3'``.  It becomes a predicate over the id columns of the
-main table, so it is pushed down like any other filter; names are looked up once in their (small) tables.
+``cubeleaf.plans.selection`` parses a selection to a tree; here the tree becomes a predicate over the main table's
+columns, so that it is pushed down like any other filter.  What names, windows or positions mean is read once from
+their dimension tables, which are small and are checked to be; it goes into the plan as literals.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..plans import selection as tree
 from ..plans.lower import ROW
 from ..plans.parser import LanguageError
 from ..plans.patterns import regex_of
@@ -19,32 +23,26 @@ from ..plans.values import Value
 from ..table import Table
 from .scalar import C_LIGHT
 
-#: A table of names has at most so many rows; they are held on the driver.
+#: A dimension table has at most so many rows; they are held on the driver.
 MOST_NAMES = 100_000
-#: Units of distances, and whether they count wavelengths.
-_DISTANCE = {"m": (1.0, False), "km": (1e3, False), "lambda": (1.0, True), "klambda": (1e3, True), "mlambda": (1e6, True)}
-
-
-@dataclass(frozen=True)
-class Names:
-    """Names by id, and the ids that are flagged."""
-
-    names: tuple[str, ...] = ()
-    flagged: frozenset[int] = frozenset()
-
-    @classmethod
-    def of(cls, t: Table | None, column: str = "NAME") -> Names:
-        if t is None or column not in t.columns:
-            return cls()
-        flag = [F.col("FLAG_ROW").alias("f")] if "FLAG_ROW" in t.columns else [F.lit(False).alias("f")]
-        rows = t.df.select(F.col(ROW).alias("i"), F.col(column).alias("n"), *flag).limit(MOST_NAMES + 1).collect()
-        if len(rows) > MOST_NAMES:
-            raise LanguageError(f"more than {MOST_NAMES} names")
-        rows.sort(key=lambda r: r["i"])
-        return cls(tuple(r["n"] for r in rows), frozenset(r["i"] for r in rows if r["f"]))
-
-    def ids(self, accept) -> list[int]:
-        return [i for i, n in enumerate(self.names) if accept(n) and i not in self.flagged]
+#: Metres, and hertz, of a unit.
+METRES = {"": 1.0, "m": 1.0, "km": 1e3}
+WAVES = {"lambda": 1.0, "klambda": 1e3, "mlambda": 1e6}
+HERTZ = {"hz": 1.0, "khz": 1e3, "mhz": 1e6, "ghz": 1e9, "thz": 1e12}
+#: Names of polarisation products, numbered from 1.
+PRODUCTS = (
+    "I Q U V RR RL LR LL XX XY YX YY RX RY LX LY XR XL YR YL PP PQ QP QQ "
+    "RCIRCULAR LCIRCULAR LINEAR PTOTAL PLINEAR PFTOTAL PFLINEAR PANGLE"
+).split()
+#: Main column and dimension table of what is selected by ids alone.
+BY_ID = {
+    "scan": ("SCAN_NUMBER", None, None),
+    "array": ("ARRAY_ID", None, None),
+    "obs": ("OBSERVATION_ID", None, None),
+    "field": ("FIELD_ID", "FIELD", "NAME"),
+    "state": ("STATE_ID", "STATE", "OBS_MODE"),
+}
+_DAY, _EPOCH = 86400.0, datetime(1858, 11, 17)
 
 
 def small_rows(t: Table, *columns: str) -> list:
@@ -55,187 +53,286 @@ def small_rows(t: Table, *columns: str) -> list:
     return sorted(rows, key=lambda r: r["i"])
 
 
-def parts_of(text: str, mark: str = ",") -> list[str]:
-    """The parts at commas outside of /../ and [..]."""
-    out, depth, regex, start = [], 0, False, 0
-    for i, c in enumerate(text):
-        if c == "/" and not depth:
-            regex = not regex
-        elif c == "[" and not regex:
-            depth += 1
-        elif c == "]" and not regex:
-            depth = max(0, depth - 1)
-        elif c == mark and not regex and not depth:
-            out.append(text[start:i])
-            start = i + 1
-    return [p.strip() for p in [*out, text[start:]] if p.strip()]
-
-
-def one_of(c: Column, text: str, names: Names) -> Column:
-    """Whether an id is in a set: ``3``, ``1~4``, ``>7``, a name, a glob or /a regular expression/."""
-    out = F.lit(False)
-    for term in parts_of(text):
-        if m := re.fullmatch(r"(\d+)\s*~\s*(\d+)", term):
-            test = c.between(int(m[1]), int(m[2]))
-        elif m := re.fullmatch(r"(>=|<=|>|<)\s*(-?\d+)", term):
-            n = int(m[2])
-            test = {">": c > n, ">=": c >= n, "<": c < n, "<=": c <= n}[m[1]]
-            if names.flagged:
-                test = test & ~c.isin(*sorted(names.flagged))
-        elif re.fullmatch(r"-?\d+", term):
-            test = c == int(term)
-        else:
-            if len(term) >= 2 and term[0] == term[-1] == "/":
-                inner = re.compile(term[1:-1])
-                ids = names.ids(lambda n, r=inner: r.search(n) is not None)
-            elif re.search(r"[*?\[\]]", term):
-                glob = re.compile(regex_of("p", term).removeprefix("(?d)").replace(r"\z", r"\Z"))
-                ids = names.ids(lambda n, r=glob: r.match(n) is not None)
-            else:
-                ids = names.ids(lambda n, t=term: n == t)
-            test = c.isin(*ids) if ids else F.lit(False)
-        out = out | test
-    return out
-
+@dataclass(frozen=True)
+class Names:
+    """Names by id, and the ids that are flagged: names and open ranges leave those out."""
 
-def baseline(a: Column, b: Column, text: str, names: Names, length: Column | None = None) -> Column:
-    """Pairs of antennas: ``A & B`` (cross), ``A && B`` (with autos), ``A &&& `` (autos), a list (cross with any).
+    names: tuple[str, ...] = ()
+    flagged: frozenset[int] = frozenset()
 
-    Terms at semicolons are joined: plain ones add, those with ``!`` take away.
+    @classmethod
+    def of(cls, t: Table | None, column: str = "NAME") -> Names:
+        if t is None or column not in t.columns:
+            return cls()
+        flag = "FLAG_ROW" in t.columns
+        rows = small_rows(t, column, *(["FLAG_ROW"] if flag else []))
+        return cls(tuple(r[column] for r in rows), frozenset(r["i"] for r in rows if flag and r["FLAG_ROW"]))
+
+    def matching(self, name: tree.Name) -> list[int]:
+        pattern = {"name": re.escape(name.text), "regex": name.text}.get(name.kind)
+        if pattern is None:
+            pattern = regex_of("p", name.text).removeprefix("(?d)").replace(r"\z", r"\Z")
+        test = re.compile(pattern).search if name.kind == "regex" else re.compile(pattern, re.S).fullmatch
+        return [i for i, n in enumerate(self.names) if i not in self.flagged and test(n)]
+
+    def contains(self, c: Column, term: tree.Range | tree.Name) -> Column:
+        """Whether an id is meant by a term."""
+        if isinstance(term, tree.Name):
+            found = self.matching(term)
+            return c.isin(*found) if found else F.lit(False)
+        if not term.open:
+            return c.between(term.low, term.high) if term.low != term.high else c == term.low
+        test = within(c, term)
+        return test & ~c.isin(*sorted(self.flagged)) if self.flagged else test
+
+    def any_of(self, c: Column, terms: tuple) -> Column:
+        return any_of(self.contains(c, t) for t in terms)
+
+
+def any_of(tests) -> Column:
+    return reduce(lambda a, b: a | b, tests, F.lit(False))
+
+
+def within(c: Column, r: tree.Range, scale: float = 1.0, share: float = 0.0) -> Column:
+    """Whether a number lies in a range, whose ends are widened by a share."""
+    tests = []
+    if r.low is not None:
+        low = r.low * scale * (1 - share)
+        tests.append(c > low if r.strict else c >= low)
+    if r.high is not None:
+        high = r.high * scale * (1 + share)
+        tests.append(c < high if r.strict else c <= high)
+    return reduce(lambda a, b: a & b, tests)
+
+
+def scale_of(unit: str, units: dict[str, float]) -> float:
+    if unit.lower() not in units:
+        raise LanguageError(f"unknown unit {unit!r}")
+    return units[unit.lower()]
+
+
+def pairs(a: Column, b: Column, text: str, names: Names, *, length: Column | None = None, alone_is_cross: bool = True) -> Column:
+    """Pairs of ids: ``A & B`` between different ids, ``A && B`` with equal ones too, ``A &&& `` equal ones only.
+
+    A list alone means all pairs with any of it, between different ids unless told otherwise; a list of lengths, pairs
+    so far apart; one of regular expressions with an ampersand, pairs whose names joined by one match.  Items at
+    semicolons add up in their order, and those with ``!`` take away.
     """
-
-    def term(t: str) -> Column:
-        pairs = parts_of(t)
-        if pairs and all(len(p) > 2 and p[0] == p[-1] == "/" and "&" in p for p in pairs):
-            good = set()
-            for p in pairs:
-                inner = p[1:-1]
-                negated = inner.startswith("^")
-                r = re.compile(inner.removeprefix("^"))
-                for i, x in enumerate(names.names):
-                    good |= {(i, j) for j, y in enumerate(names.names) if (r.fullmatch(f"{x}&{y}") is not None) != negated}
-            keys = sorted(i * MOST_NAMES + j for i, j in good)
-            return (a.cast("bigint") * MOST_NAMES + b).isin(*keys) if keys else F.lit(False)
-        if length is not None and "&" not in t and re.fullmatch(r"(?:[<>]=?\s*[\d.]+\s*(?:k?m)?|.*[-~]\s*[\d.]+\s*k?m)\s*", t, re.I):
-            return distances(length, t)
-        for mark in ("&&&", "&&", "&"):
-            if mark in t:
-                left, right = (x.strip() for x in t.split(mark, 1))
-                inside = lambda c, s: one_of(c, s, names)
-                if mark == "&&&":
-                    return (a == b) & inside(a, left)
-                right = right or left
-                both = (inside(a, left) & inside(b, right)) | (inside(a, right) & inside(b, left))
-                return both if mark == "&&" else (a != b) & both
-        return (a != b) & (one_of(a, t, names) | one_of(b, t, names))
+    inside = lambda c, terms: names.any_of(c, terms)
+
+    def of_names(term: tree.Name) -> Column:
+        out = term.text.startswith("^")
+        name = lambda c: F.get(F.array(*(F.lit(n) for n in names.names)), c)
+        found = F.concat(name(a), F.lit("&"), name(b)).rlike(rf"\A(?:{term.text.removeprefix('^')})\z")
+        return F.coalesce(~found if out else found, F.lit(False))
+
+    def is_length(term) -> bool:
+        return isinstance(term, tree.Range) and (term.open or bool(term.unit))
+
+    def test(item: tree.Pair) -> Column:
+        if item.mark == "&&&":
+            return (a == b) & inside(a, item.left)
+        if item.mark:
+            both = (inside(a, item.left) & inside(b, item.right)) | (inside(a, item.right) & inside(b, item.left))
+            return both if item.mark == "&&" else (a != b) & both
+        if item.left and all(isinstance(t, tree.Name) and t.kind == "regex" and "&" in t.text for t in item.left):
+            return any_of(map(of_names, item.left))
+        if length is not None and item.left and all(map(is_length, item.left)):
+            # the ends of a length count
+            return any_of(within(length, tree.Range(t.low, t.high), scale_of(t.unit, METRES)) for t in item.left)
+        either = inside(a, item.left) | inside(b, item.left)
+        return (a != b) & either if alone_is_cross else either
 
     out = None
-    for t in [p.strip() for p in text.split(";") if p.strip()]:
-        negated = t.startswith("!")
-        test = term(t[1:].strip()) if negated else term(t)
-        test = ~test if negated else test
-        out = test if out is None else out & test if negated else out | test
+    for item in tree.pairs(text):
+        found = ~test(item) if item.negated else test(item)
+        out = found if out is None else out & found if item.negated else out | found
     return F.lit(False) if out is None else out
 
 
-def distances(d: Column, text: str) -> Column:
-    """Whether a length in metres lies in one of ``a~b``, ``>a`` or ``<b``, with m or km."""
-    out = F.lit(False)
-    for t in parts_of(text):
-        m = re.fullmatch(r"(.*?)(k?m)?", t.strip(), re.I | re.S)
-        scale = 1e3 if m[2] and m[2].lower() == "km" else 1.0
-        body = m[1].strip()
-        if body[0] in "<>":
-            x = float(body.lstrip("<>=")) * scale
-            out = out | (d >= x if body[0] == ">" else d <= x)
+def channel_mask(frequencies: list[float], channels: tuple[tree.Range, ...] | None) -> list[bool]:
+    """Which channels of a window a list of ranges means."""
+    n = len(frequencies)
+    if channels is None:
+        return [True] * n
+    out = [False] * n
+    for r in channels:
+        if r.unit:
+            scale = scale_of(r.unit, HERTZ)
+            low, high = (float("-inf") if r.low is None else r.low * scale), (float("inf") if r.high is None else r.high * scale)
+            hit = [low <= f <= high for f in frequencies]
         else:
-            r = re.fullmatch(r"(.+?)\s*[-~]\s*(.+)", body)
-            if not r:
-                raise LanguageError(f"{t!r} is no range of lengths")
-            out = out | d.between(float(r[1]) * scale, float(r[2]) * scale)
+            first = 0 if r.low is None else int(r.low) + r.strict
+            last = n - 1 if r.high is None else min(n - 1, int(r.high) - r.strict * r.open)
+            hit = [first <= i <= last and (i - first) % r.step == 0 for i in range(n)]
+        out = [x or y for x, y in zip(out, hit, strict=True)]
     return out
 
 
 class Selections:
-    """Resolves ``mscal.<name>('...')`` for a main table whose dimension tables are given by name."""
+    """Resolves ``mscal.<name>('...')`` for a main table whose dimension tables are given by name; MAIN is that table itself."""
 
     def __init__(self, tables: dict[str, Table]):
         self.tables, self._names = tables, {}
 
-    def names(self, table: str, column: str = "NAME") -> Names:
-        if table not in self._names:
-            self._names[table] = Names.of(self.tables.get(table), column)
-        return self._names[table]
+    def table(self, name: str, why: str) -> Table:
+        if name not in self.tables:
+            raise LanguageError(f"{why} needs the table {name}")
+        return self.tables[name]
+
+    def names(self, table: str | None, column: str | None = "NAME") -> Names:
+        if table is None:
+            return Names()
+        if (table, column) not in self._names:
+            self._names[table, column] = Names.of(self.tables.get(table), column)
+        return self._names[table, column]
 
     def __call__(self, name: str, args: list) -> Value | None:
-        if not name.startswith("mscal."):
+        space, _, what = name.partition(".")
+        if space != "mscal":
             return None
-        what = name.removeprefix("mscal.")
         if len(args) != 1 or args[0][0] != "lit" or not isinstance(args[0][1], str):
             raise LanguageError(f"{name} takes one text")
         text = args[0][1]
-        simple = {"scan": ("SCAN_NUMBER", None), "array": ("ARRAY_ID", None), "obs": ("OBSERVATION_ID", None), "field": ("FIELD_ID", "FIELD"), "state": ("STATE_ID", "STATE")}
-        if what in simple:
-            column, table = simple[what]
-            names = self.names(table, "OBS_MODE" if table == "STATE" else "NAME") if table else Names()
-            return Value(one_of(F.col(column), text, names), "bool")
-        if what == "baseline":
-            return Value(baseline(F.col("ANTENNA1"), F.col("ANTENNA2"), text, self.names("ANTENNA"), self._length()), "bool")
-        if what == "feed":
-            a, b = F.col("FEED1"), F.col("FEED2")
-            plain = "&" not in text
-            test = one_of(a, text, Names()) | one_of(b, text, Names()) if plain else baseline(a, b, text, Names())
-            return Value(test, "bool")
-        if what == "uvdist":
-            return Value(self._uvdist(text), "bool")
-        raise LanguageError(f"no function {name!r}")
+        if what in BY_ID:
+            column, table, of = BY_ID[what]
+            return Value(self.names(table, of).any_of(F.col(column), tree.ids(text)), "bool")
+        make = {"baseline": self.baseline, "feed": self.feed, "uvdist": self.uvdist, "spw": self.spw, "chan": self.chan, "corr": self.corr, "time": self.time}.get(what)
+        if make is None:
+            raise LanguageError(f"no function {name!r}")
+        return make(text)
+
+    def baseline(self, text: str) -> Value:
+        return Value(pairs(F.col("ANTENNA1"), F.col("ANTENNA2"), text, self.names("ANTENNA"), length=self._length()), "bool")
+
+    def feed(self, text: str) -> Value:
+        return Value(pairs(F.col("FEED1"), F.col("FEED2"), text, Names(), alone_is_cross=False), "bool")
 
     def _length(self) -> Column | None:
-        """The distance between the two antennas, from a table of positions that is sent along as a literal."""
+        """The distance between the two antennas, from their positions as a literal."""
         t = self.tables.get("ANTENNA")
         if t is None or "POSITION" not in t.columns:
             return None
-        rows = small_rows(t, "POSITION")
-        at = F.array(*(F.array(*(F.lit(float(x)) for x in r["POSITION"])) for r in rows))
-        p, q = F.get(at, F.col("ANTENNA1")), F.get(at, F.col("ANTENNA2"))
-        return F.sqrt(sum((F.get(p, F.lit(k)) - F.get(q, F.lit(k))) * (F.get(p, F.lit(k)) - F.get(q, F.lit(k))) for k in range(3)))
-
-    def _uvdist(self, text: str) -> Column:
-        u, v = (F.get(F.col("UVW"), F.lit(k)).cast("double") for k in (0, 1))
-        d, kinds, ranges = F.hypot(u, v), set(), []
-        for t in parts_of(text):
-            share = 0.0
-            if m := re.fullmatch(r"(.*?)\s*:\s*(\d+(?:\.\d+)?)\s*%\s*", t):
-                t, share = m[1].strip(), float(m[2]) / 100
-            m = re.fullmatch(r"(.*?)([a-zA-Z]*)\s*", t, re.S)
-            unit = (m[2] or "m").lower()
-            if unit not in _DISTANCE:
-                raise LanguageError(f"unknown unit {unit!r}")
-            scale, waves = _DISTANCE[unit]
-            kinds.add(waves)
-            body = m[1].strip()
-            if body[:1] == ">":
-                ranges.append((float(body[1:]) * scale * (1 - share), float("inf")))
-            elif body[:1] == "<":
-                ranges.append((float("-inf"), float(body[1:]) * scale * (1 + share)))
-            elif r := re.fullmatch(r"(.+?)\s*(?:~|(?<![eE])-)\s*(.+)", body):
-                ranges.append((float(r[1]) * scale * (1 - share), float(r[2]) * scale * (1 + share)))
-            else:
-                x = float(body) * scale
-                ranges.append((x * (1 - share), x * (1 + share)))
-        if len(kinds) > 1:
-            raise LanguageError("distances and wavelengths in one selection")
-        if kinds == {True}:
+        at = F.array(*(F.array(*(F.lit(float(x)) for x in r["POSITION"])) for r in small_rows(t, "POSITION")))
+        apart = F.zip_with(F.get(at, F.col("ANTENNA1")), F.get(at, F.col("ANTENNA2")), lambda p, q: (p - q) * (p - q))
+        return F.sqrt(F.aggregate(apart, F.lit(0.0), lambda s, x: s + x))
+
+    def uvdist(self, text: str) -> Value:
+        """The length of the first two coordinates, in metres or wavelengths of the window's reference frequency."""
+        ranges = tree.lengths(text)
+        waves = {r.unit.lower() in WAVES for r, _ in ranges}
+        if len(waves) > 1:
+            raise LanguageError("metres and wavelengths in one selection")
+        d = F.hypot(*(F.get(F.col("UVW"), F.lit(k)).cast("double") for k in (0, 1)))
+        if waves == {True}:
             d = d * self._reference_frequency() / C_LIGHT
-        out = F.lit(False)
-        for low, high in ranges:
-            out = out | d.between(low, high)
-        return out
+        units = WAVES if waves == {True} else METRES
+        # ends count
+        return Value(any_of(within(d, tree.Range(r.low, r.high), scale_of(r.unit, units), share) for r, share in ranges), "bool")
+
+    def _windows_of_rows(self, why: str) -> Column:
+        """The window of a row, through its data description."""
+        rows = small_rows(self.table("DATA_DESCRIPTION", why), "SPECTRAL_WINDOW_ID")
+        return F.get(F.array(*(F.lit(int(r["SPECTRAL_WINDOW_ID"])) for r in rows)), F.col("DATA_DESC_ID"))
 
     def _reference_frequency(self) -> Column:
-        dd, spw = self.tables.get("DATA_DESCRIPTION"), self.tables.get("SPECTRAL_WINDOW")
-        if dd is None or spw is None:
-            raise LanguageError("wavelengths need DATA_DESCRIPTION and SPECTRAL_WINDOW")
-        first = small_rows(dd, "SPECTRAL_WINDOW_ID")
-        freq = {r["i"]: r["REF_FREQUENCY"] for r in small_rows(spw, "REF_FREQUENCY")}
-        return F.get(F.array(*(F.lit(float(freq[r["SPECTRAL_WINDOW_ID"]])) for r in first)), F.col("DATA_DESC_ID"))
+        window = self._windows_of_rows("a length in wavelengths")
+        rows = small_rows(self.table("SPECTRAL_WINDOW", "a length in wavelengths"), "REF_FREQUENCY")
+        return F.get(F.array(*(F.lit(float(r["REF_FREQUENCY"])) for r in rows)), window)
+
+    def _masks(self, text: str) -> list[list[bool]]:
+        """The channels that a selection means, by window."""
+        t = self.table("SPECTRAL_WINDOW", "a selection of channels")
+        names = self.names("SPECTRAL_WINDOW")
+        meant = []
+        for w in tree.windows(text):
+            (term,) = w.ids
+            found = set(names.matching(term)) if isinstance(term, tree.Name) else None
+            meant.append((term, found, w.channels))
+        out = []
+        for r in small_rows(t, "CHAN_FREQ"):
+            frequencies = [float(x) for x in r["CHAN_FREQ"]]
+            mask = [False] * len(frequencies)
+            for term, found, channels in meant:
+                if r["i"] in found if found is not None else _holds(term, r["i"], names):
+                    mask = [x or y for x, y in zip(mask, channel_mask(frequencies, channels), strict=True)]
+            out.append(mask)
+        return out
+
+    def spw(self, text: str) -> Value:
+        window = self._windows_of_rows("spw")
+        if ":" not in text:
+            return Value(self.names("SPECTRAL_WINDOW").any_of(window, tree.ids(text)), "bool")
+        good = [i for i, mask in enumerate(self._masks(text)) if any(mask)]
+        return Value(window.isin(*good) if good else F.lit(False), "bool")
+
+    def chan(self, text: str) -> Value:
+        masks = self._masks(text)
+        each = F.array(*(F.array(*(F.lit(x) for x in mask)).cast("array<boolean>") for mask in masks))
+        return Value(F.get(each, self._windows_of_rows("chan")), "bool", 1)
+
+    def corr(self, text: str) -> Value:
+        """Rows whose polarisation setup has one of the products."""
+        wanted = set()
+        for term in tree.ids(text):
+            if isinstance(term, tree.Name) and term.text.upper() in PRODUCTS:
+                wanted.add(PRODUCTS.index(term.text.upper()) + 1)
+            elif isinstance(term, tree.Range) and term.low == term.high:
+                wanted.add(int(term.low))
+            else:
+                raise LanguageError(f"{text!r} is no list of polarisation products")
+        if not wanted:
+            raise LanguageError("no polarisation product")
+        good = {r["i"] for r in small_rows(self.table("POLARIZATION", "corr"), "CORR_TYPE") if wanted & set(r["CORR_TYPE"])}
+        setups = small_rows(self.table("DATA_DESCRIPTION", "corr"), "POLARIZATION_ID")
+        rows = [r["i"] for r in setups if r["POLARIZATION_ID"] in good]
+        return Value(F.col("DATA_DESC_ID").isin(*rows) if rows else F.lit(False), "bool")
+
+    def time(self, text: str) -> Value:
+        """Times; what a calendar time leaves out is that of the first row that isn't flagged, and so is the tolerance."""
+        main = self.table("MAIN", "time").df
+        has = lambda c: c in main.columns
+        exposure = F.col("EXPOSURE").cast("double") if has("EXPOSURE") else F.lit(0.1)
+        flag = F.col("FLAG_ROW") if has("FLAG_ROW") else F.lit(False)
+        # the smallest (flagged, row): one aggregation, without a sort
+        first = main.agg(F.min(F.struct(flag.alias("f"), F.col(ROW).alias("i"), F.col("TIME").cast("double").alias("t"), exposure.alias("e"))).alias("r")).first()["r"]
+        if first is None:
+            return Value(F.lit(False), "bool")
+        at, buffer = first["t"], first["e"] / 2
+        c = F.col("TIME").cast("double")
+        tests = []
+        for r in tree.times(text):
+            low = seconds_of(r.first, at)
+            high = None if r.second is None else seconds_of(r.second, low if r.kind != "lasting" else 0.0)
+            if r.kind == "at":
+                tests.append(F.abs(c - low) <= buffer)
+            elif r.kind == "within":
+                near = buffer if r.buffer is None else r.buffer
+                tests.append(((c > low) | (F.abs(c - low) < near)) & ((c < high) | (F.abs(c - high) < near)))
+            elif r.kind == "after":
+                tests.append(c >= low)
+            elif r.kind == "before":
+                tests.append(c <= low)
+            else:
+                tests.append(c.between(low, high if r.kind == "between" else low + high))
+        return Value(any_of(tests), "bool")
+
+
+def _holds(r: tree.Range, i: int, names: Names) -> bool:
+    if r.open and i in names.flagged:
+        return False
+    low = r.low is None or (i > r.low if r.strict else i >= r.low)
+    return low and (r.high is None or (i < r.high if r.strict else i <= r.high))
+
+
+def seconds_of(t: tree.Time, default: float) -> float:
+    """Seconds since the epoch of MJD; parts that are left out are those of the default."""
+    if t.days is not None:
+        return t.days * _DAY
+    d = _EPOCH + timedelta(seconds=default)
+    given = [x if x is not None else y for x, y in zip(t.parts, (d.year, d.month, d.day, d.hour, d.minute, d.second), strict=True)]
+    try:
+        day = datetime(*(int(x) for x in given[:5]))
+    except ValueError as e:
+        raise LanguageError(f"a time is out of range: {e}") from e
+    return (day - _EPOCH) / timedelta(seconds=1) + given[5]

@@ -29,13 +29,55 @@ def observation(spark):
     [
         ("mscal.scan('1~2,4')", 18), ("mscal.scan('>3')", 6), ("mscal.field('x*')", 6), ("mscal.field('1')", 12), ("mscal.field('/y/')", 6),
         ("mscal.baseline('A0')", 8), ("mscal.baseline('A0&A1')", 4), ("mscal.baseline('A*&&A*')", 12), ("mscal.baseline('2&&&')", 4), ("mscal.baseline('0&&1,2;!A1')", 4),
-        ("mscal.baseline('>500m')", 8), ("mscal.uvdist('50~150m')", 8), ("mscal.uvdist('<0.15klambda')", 12), ("mscal.scan('1') AND mscal.baseline('!0')", 4),
+        ("mscal.baseline('>500m')", 8), ("mscal.baseline('/A.&B./,/^.*&.*/')", 8), ("mscal.baseline('0.05-0.5km')", 4), ("mscal.uvdist('50~150m')", 8), ("mscal.uvdist('<0.15klambda')", 12), ("mscal.scan('1') AND mscal.baseline('!0')", 4),
     ],
 )
 def test_selections(observation, where, n):
     assert observation(where) == n
 
 
+@pytest.fixture(scope="module")
+def channels(spark):
+    table = lambda r: Table.of(spark.createDataFrame(r).coalesce(1)).numbered()
+    day = 4_900_000_000 // 86400 * 86400.0
+    rows = [Row(DATA_DESC_ID=i % 3, TIME=day + 10.0 * i, EXPOSURE=4.0, FLAG_ROW=i == 0, FEED1=i % 2, FEED2=0) for i in range(12)]
+    main = Table.of(spark.createDataFrame(rows).coalesce(1)).numbered()
+    tables = {
+        "MAIN": main,
+        "DATA_DESCRIPTION": table([Row(SPECTRAL_WINDOW_ID=1, POLARIZATION_ID=0), Row(SPECTRAL_WINDOW_ID=0, POLARIZATION_ID=1), Row(SPECTRAL_WINDOW_ID=2, POLARIZATION_ID=0)]),
+        "SPECTRAL_WINDOW": table([Row(NAME="a0", CHAN_FREQ=[1e9 + 1e6 * k for k in range(8)]), Row(NAME="a1", CHAN_FREQ=[2e9 + 1e6 * k for k in range(4)]), Row(NAME="b", CHAN_FREQ=[3e9])]),
+        "POLARIZATION": table([Row(CORR_TYPE=[9, 12]), Row(CORR_TYPE=[5, 8])]),
+    }
+    return lambda what: execute(f"SELECT {what}", main, resolve=Selections(tables)).data()
+
+
+@pytest.mark.parametrize(
+    ("where", "n"),
+    [
+        ("mscal.spw('0')", 4), ("mscal.spw('a*')", 8), ("mscal.spw('>=1')", 8), ("mscal.spw('0:9')", 0), ("mscal.spw('1~2:3,b')", 8), ("mscal.spw('*:2.0005~2.1GHz')", 4),
+        ("mscal.corr('XX')", 8), ("mscal.corr('ll,YY')", 12), ("mscal.corr('5')", 4), ("mscal.feed('0&&&')", 6), ("mscal.feed('1')", 6),
+        ("mscal.time('*/*/*/0:0:30~*/*/*/0:0:50')", 3), ("mscal.time('*/*/*/0:1:0')", 1), ("mscal.time('>*/*/*/0:1:40')", 2), ("mscal.time('*/*/*/0:0:20+0:0:30')", 4),
+        ("mscal.time('15[*/*/*/0:0:40~*/*/*/0:0:50]')", 4), ("mscal.time('<1e4, 2014/1/1')", 0),
+    ],
+)
+def test_windows_products_times(channels, where, n):
+    assert channels(f"TIME FROM $1 WHERE {where}").count() == n
+
+
+def test_channel_masks(channels):
+    rows = channels("DATA_DESC_ID, mscal.chan('0:1~6^2;>6,a1:<2MHz;^3,2') AS m FROM $1").distinct().collect()
+    t, f = True, False
+    assert {r.DATA_DESC_ID: r.m for r in rows} == {1: [f, t, f, t, f, t, f, t], 0: [t, f, f, t], 2: [t]}
+
+
+@pytest.mark.parametrize("text", ["1~x", "1~", ">a", "&", "0:1:2", "0:x~y"])
+def test_what_is_no_selection(channels, text):
+    from cubeleaf.plans.parser import LanguageError
+
+    with pytest.raises(LanguageError):
+        channels(f"TIME FROM $1 WHERE mscal.spw('{text}')").count()
+
+
 def test_frames(spark):
     t = Table.of(spark.createDataFrame([Row(X=[-1601185.365, -5041977.547, 3554875.870])]))
     r = execute("SELECT meas.epoch('TAI', 5e9, 'UTC') - 5e9 AS a, meas.epoch('UTC', meas.epoch('TT', 5e9), 'TT') AS b, meas.wgs(X)[3] AS h, meas.wgs(meas.itrfxyz(0.3, 0.7, 1234)) AS w FROM $1", t).data().first()
