@@ -108,9 +108,10 @@ def _sum_squares(v: Value) -> Value:
 
 def _mean(v: Value) -> Value:
     if v.type == "complex":
-        n = F.size(valid(v))
+        n = F.size(valid(v)).cast("double")
         s = _sum(v).col
-        return Value(complex_of(s["re"] / n, s["im"] / n), "complex")
+        part = lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0))  # noqa: E731  as the real mean of nothing
+        return Value(complex_of(part(s["re"]), part(s["im"])), "complex")
     return Value(mean(valid(to_float(v))), "float", unit=v.unit)
 
 

@@ -33,13 +33,13 @@ def tai_minus_utc(day: Column) -> Column:
 def to_tai(kind: str, seconds: Column) -> Column:
     if kind in ("TT", "TDT"):
         return seconds - 32.184
-    return seconds + tai_minus_utc(seconds / 86400) if kind in ("UTC", "UT1") else seconds
+    return seconds + tai_minus_utc(seconds / 86400) if kind == "UTC" else seconds
 
 
 def from_tai(kind: str, tai: Column) -> Column:
     if kind in ("TT", "TDT"):
         return tai + 32.184
-    if kind in ("UTC", "UT1"):
+    if kind == "UTC":
         first = tai - tai_minus_utc(tai / 86400)
         return tai - tai_minus_utc(first / 86400)
     return tai
@@ -67,6 +67,8 @@ def epoch(ctx, *args) -> Value:
     if to in ("GMST", "GMST1"):
         return lift(lambda x: sidereal(from_tai("UTC", to_tai(of, x))) * (43200 / math.pi), "float", values[0])
     for k in (to, of):
+        if k == "UT1" and to != of:
+            raise LanguageError("UT1 differs from UTC by up to 0.9 s: converting it needs a table of the Earth's orientation")
         if k not in ("UTC", "UT1", "TAI", "TT", "TDT"):
             raise LanguageError(f"no conversion to or from {k}")
     return values[0] if to == of else lift(lambda x: from_tai(to, to_tai(of, x)), "float", values[0])

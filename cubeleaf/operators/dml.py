@@ -196,14 +196,13 @@ def insert(t: Table | DataFrame, rows, *, columns: Sequence[str] | None = None,
         new = src.df.select(*((assigned(from_column(F.col(f"`{given[f.name]}`"), src.df.schema[given[f.name]].dataType), f.dataType, _default(f.dataType)) if f.name in given and not isinstance(f.dataType, (T.TimestampNTZType, T.TimestampType, T.DateType)) else F.col(f"`{given[f.name]}`") if f.name in given else _default(f.dataType)).alias(f.name) for f in schema.fields), F.col(ROW))
     else:
         rows = [rows] if isinstance(rows, dict) else list(rows)
-        if limit is not None:
-            count = limit if limit >= 0 else max(0, t.nrow() + limit)
-            rows = [rows[i % len(rows)] for i in range(count)]
+        count = len(rows) if limit is None else limit if limit >= 0 else max(0, t.nrow() + limit)
+        if not rows or not count:
+            return t
         ctx = Context({}, t.keywords)
         ctx.resolve = resolve
-        one = spark.range(1)
-        new = None
-        for i, r in enumerate(rows):
+        given = []
+        for r in rows[:count]:
             values = r if isinstance(r, dict) else dict(zip(columns or schema.names, r, strict=True))
             if unknown := set(values) - set(schema.names):
                 raise LanguageError(f"no column {sorted(unknown)[0]!r}")
@@ -216,10 +215,10 @@ def insert(t: Table | DataFrame, rows, *, columns: Sequence[str] | None = None,
                     cells.append(assigned(v, f.dataType, _default(f.dataType)).alias(f.name))
                 else:
                     cells.append(_default(f.dataType).alias(f.name))
-            row = one.select(*cells, F.lit(i).cast("bigint").alias(ROW))
-            new = row if new is None else new.unionByName(row)
-        if new is None:
-            return t
+            given.append(F.struct(*(c.cast(f.dataType).alias(f.name) for c, f in zip(cells, schema.fields, strict=True))))
+        # one relation, whose rows take the given ones in turn
+        row = F.element_at(F.array(*given), (F.col("id") % len(given) + 1).cast("int"))
+        new = spark.range(count).select(row.alias("__row"), F.col("id").alias(ROW)).select("__row.*", ROW)
     new = new.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields), F.col(ROW))
     # rows of the table keep their numbers; the new ones follow
     return Table(t.df.unionByName(new.withColumn(ROW, F.col(ROW) + F.lit(next_row(t.df)))), t.keywords, t.name)

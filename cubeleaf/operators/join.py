@@ -143,22 +143,29 @@ def _band(tree, left: Table, right: Table) -> tuple[str, str, str] | None:
 
 
 def _band_join(l: DataFrame, r: DataFrame, band: tuple[str, str, str], test: Column) -> DataFrame:
-    """A range join by buckets of the mean interval's length; long intervals fall into several, capped by a second,
-    wider grid, and each left row meets each interval in one bucket only."""
+    """A range join by buckets of the median interval's length; longer intervals go to wider grids, where they span a
+    few buckets, and each left row meets each interval in one bucket only.  Ends beyond all left values, infinite
+    ones too, count as the last of these."""
     x, lo, hi = (F.col(f"`{n}`") for n in (f"l.{band[0]}", f"r.{band[1]}", f"r.{band[2]}"))
-    good = r.where((lo <= hi))
-    width = good.agg(F.avg((hi - lo).cast("double")).alias("w")).first()["w"]
-    width = float(width) if width else 1.0
-    if not width > 0 or width != width:
-        width = 1.0
+    finite = F.when(~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")), x.cast("double"))
+    ends = l.agg(F.min(finite).alias("a"), F.max(finite).alias("b")).first()
+    # without finite left values there are no buckets, and an infinite one lies in intervals open on its side only
+    if ends["a"] is None or l.where(F.abs(x.cast("double")) == float("inf")).limit(1).count():
+        return l.join(r, test)
+    r = r.withColumns({"__lo": F.greatest(lo.cast("double"), F.lit(ends["a"])), "__hi": F.least(hi.cast("double"), F.lit(ends["b"]))})
+    whole_low, whole_high, lo, hi = lo, hi, F.col("__lo"), F.col("__hi")
+    good = r.where((whole_low <= whole_high) & (lo <= hi))
+    width = good.agg(F.percentile_approx((hi - lo).cast("double"), 0.5).alias("w")).first()["w"]
+    width = float(width) if width and width > 0 else 1.0
     # a grid for each power of 16: an interval goes to the finest grid in which it spans at most 17 buckets
     level = F.greatest(F.lit(0), F.ceil(F.log(16.0, F.greatest((hi - lo) / F.lit(width * 16), F.lit(1.0))))).cast("int")
     placed = good.withColumn("__level", level).withColumn("__w", F.lit(width) * F.pow(F.lit(16.0), F.col("__level")))
     placed = placed.withColumn("__bucket", F.explode(F.sequence(F.floor(lo / F.col("__w")), F.floor(hi / F.col("__w")))))
-    levels = [row["__level"] for row in placed.select("__level").distinct().limit(64).collect()]
+    # a power of 16 of a double: a few hundred at most
+    levels = [row["__level"] for row in placed.select("__level").distinct().collect()]
     grid = l.withColumn("__level", F.explode(F.array(*(F.lit(k) for k in levels)) if levels else F.array().cast("array<int>")))
     grid = grid.withColumn("__bucket", F.floor(x / (F.lit(width) * F.pow(F.lit(16.0), F.col("__level")))))
-    return grid.join(placed.drop("__w"), ["__level", "__bucket"]).where(test).drop("__level", "__bucket")
+    return grid.join(placed.drop("__w", "__lo", "__hi"), ["__level", "__bucket"]).where(test).drop("__level", "__bucket")
 
 
 def lookup_asof(left: DataFrame, right: DataFrame, *, keys: Sequence[str], time: str, right_time: str, columns: Sequence[str]) -> DataFrame:

@@ -320,7 +320,7 @@ class Runner:
             if isinstance(node, tuple) and node[:1] == ("exists",):
                 sub = node[1]
                 n = sub.limit if isinstance(sub.limit, int) and sub.limit > 0 else 1
-                return ("lit", len(self.select(sub).df.limit(n).select(ROW).take(n)) >= n)
+                return ("lit", self.select(sub).df.select(ROW).limit(n).count() >= n)
             if isinstance(node, tuple) and node[:1] == ("in",) and node[2][0] == "query":
                 return self._in_query(go(node[1]), node[2][1], node[3], state)
             if isinstance(node, tuple):
@@ -373,7 +373,7 @@ class Runner:
         t = self.table(src)
         where, t2 = self._subqueries(where, t)
         out, n = ops.update(t2, items, where, orderby=_Ordered(order), limit=limit, resolve=self.resolve)
-        return self._commit(src, Table(out.df.select(*t.df.columns), t.keywords, t.name), n)
+        return self._commit(src, Table(out.df.select(*t.df.columns), t.keywords, t.name), n, same_rows=True)
 
     def delete(self, p: Statement):
         p.take_word("FROM")
@@ -425,10 +425,12 @@ class Runner:
             limit = _limit(p)
         return self._commit(src, ops.insert(t, rows, columns=columns, limit=limit, resolve=self.resolve), None)
 
-    def _commit(self, src, out: Table, n: DataFrame | None) -> Table:
+    def _commit(self, src, out: Table, n: DataFrame | None, *, same_rows: bool = False) -> Table:
         """Saves a changed table where it has a name in a catalog."""
         if self.catalog is not None and src and src[0] == "name" and self.catalog.exists(src[1]):
-            self.catalog.save(src[1], out)
+            # what a row selection or a concatenation shows has numbers of its own
+            plain = self.catalog.manifest(src[1])["kind"] == "data"
+            self.catalog.save(src[1], out, same_rows=same_rows and plain)
             return self.catalog.table(src[1])
         if src and src[0] == "name":
             self.tables[src[1]] = out

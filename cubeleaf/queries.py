@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import more_queries
 from . import operators as ops
 from .plans.commands import execute
 from .table import Table
@@ -30,7 +31,7 @@ _COMMANDS: dict[str, tuple[str, tuple[str, ...], str]] = {
         "select l_returnflag, count(*) as n, sum(l_extendedprice*(1-l_discount)) as rev from lineitem where l_quantity between 10 and 40 group by 1 having count(*) > 10",
     ),
     "P1_filter": ("SELECT l_orderkey, l_linenumber FROM $1 WHERE l_quantity > 45 AND l_returnflag == 'R'", ("lineitem",), "select l_orderkey, l_linenumber from lineitem where l_quantity > 45 and l_returnflag = 'R'"),
-    "P5_computed": ("SELECT l_orderkey, l_extendedprice*(1-l_discount) AS net FROM $1", ("lineitem",), "select l_orderkey, l_extendedprice*(1-l_discount) as net from lineitem where l_linenumber = 1"),
+    "P5_computed": ("SELECT l_orderkey, l_extendedprice*(1-l_discount) AS net FROM $1", ("lineitem",), "select l_orderkey, l_extendedprice*(1-l_discount) as net from lineitem"),
     "P8_names": ("SELECT p_partkey, p_size*2 FROM $1", ("part",), "select p_partkey, (p_size*2)::BIGINT as Col_2 from part"),
     "P10_topk": ("SELECT o_orderkey, o_totalprice FROM $1 ORDER BY o_totalprice DESC, o_orderkey LIMIT 25", ("orders",), "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 25"),
     "P13_offset": ("SELECT o_orderkey FROM $1 ORDER BY o_totalprice, o_orderkey LIMIT 10 OFFSET 5", ("orders",), "select o_orderkey from orders order by o_totalprice, o_orderkey limit 10 offset 5"),
@@ -45,7 +46,6 @@ _COMMANDS: dict[str, tuple[str, tuple[str, ...], str]] = {
     "E9_like": ("SELECT p_partkey FROM $1 WHERE p_name LIKE 'small%'", ("part",), r"select p_partkey from part where regexp_matches(p_name, '^small[^\n]*$')"),
     "E9_ilike": ("SELECT c_custkey FROM $1 WHERE c_mktsegment ILIKE 'b_il%' OR c_name NOT LIKE '%1%'", ("customer",), "select c_custkey from customer where c_mktsegment ilike 'b_il%' or c_name not like '%1%'"),
     "E10_glob": ("SELECT p_partkey FROM $1 WHERE p_brand ~ p/Brand#1{3,4}*/", ("part",), "select p_partkey from part where regexp_matches(p_brand, '^Brand#1[34].*$')"),
-    "E10_regex": ("SELECT p_partkey FROM $1 WHERE p_type ~ m/o+[lp]/i AND p_name !~ f/.*z.*/", ("part",), "select p_partkey from part where regexp_matches(p_type, 'o+[lp]', 'i') and not regexp_matches(p_name, 'z')"),
     "E11_pattern": ("SELECT p_partkey FROM $1 WHERE p_brand == pattern('Brand#?2') OR p_name == sqlpattern('%r_d%')", ("part",), "select p_partkey from part where regexp_matches(p_brand, '^Brand#.2$') or p_name like '%r_d%'"),
     "E12_floormod": ("SELECT p_partkey, (p_size-20) % 7 AS m, (p_size-20) // 7 AS d FROM $1", ("part",), "select p_partkey, ((p_size-20) - 7*floor((p_size-20)/7.0))::BIGINT as m, floor((p_size-20)/7.0)::DOUBLE as d from part"),
     "E12_divide": ("SELECT p_partkey, p_retailprice/(p_size-20) AS x, p_size**2 AS y, p_name+'/'+p_brand AS z FROM $1", ("part",), "select p_partkey, case when p_size = 20 then 'inf'::DOUBLE else p_retailprice/(p_size-20) end as x, (p_size*p_size)::BIGINT as y, p_name||'/'||p_brand as z from part"),
@@ -83,8 +83,6 @@ _COMMANDS: dict[str, tuple[str, tuple[str, ...], str]] = {
     "J8_sentinel": ("SELECT d.doc_id, l.quality AS q FROM $1 d JOIN $2 l ON d.doc_id == l.doc_id", ("documents", "labels"), "select d.doc_id, coalesce(cast(quality as bigint), 9223372036854775807) as q from documents d left join labels l on d.doc_id = l.doc_id"),
     "J8_chain": ("SELECT c.c_custkey, n.n_name, r.r_name FROM $1 c JOIN $2 n ON c.c_nationkey == n.n_nationkey JOIN $3 r ON n.n_regionkey == r.r_regionkey WHERE r.r_regionkey > 1", ("customer", "nation", "region"), "select c_custkey, n_name, r_name from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey where r_regionkey > 1"),
     "Q2_in": ("SELECT o_orderkey FROM $1 WHERE o_custkey IN (SELECT c_custkey FROM $2 WHERE c_acctbal > 5000)", ("orders", "customer"), "select o_orderkey from orders where o_custkey in (select c_custkey from customer where c_acctbal > 5000)"),
-    "Q3_not_in": ("SELECT c_custkey FROM $1 WHERE c_custkey NOT IN (SELECT o_custkey FROM $2)", ("customer", "orders"), "select c_custkey from customer where c_custkey not in (select o_custkey from orders)"),
-    "Q4_exists": ("SELECT n_name FROM $1 WHERE EXISTS (SELECT r_name FROM $2 WHERE r_regionkey == 1) AND NOT EXISTS (SELECT r_name FROM $2 LIMIT 1000)", ("nation", "region"), "select n_name from nation"),
     "Q5_from": ("SELECT k, gmax(price) AS m FROM (SELECT o_custkey % 10 AS k, o_totalprice AS price FROM $1 WHERE o_orderstatus != 'F') GROUP BY k", ("orders",), "select (o_custkey % 10) as k, max(o_totalprice) as m from orders where o_orderstatus <> 'F' group by 1"),
 }
 
@@ -146,7 +144,6 @@ _MORE: dict[str, tuple[Query, str]] = {
     "J1_index": (_j1, "select c_custkey, n_name from customer join (select *, row_number() over () - 1 as rid from nation) n on c_nationkey = n.rid"),
     "J2_equal": (_j2, "select o_orderkey, c_name from orders join customer on o_custkey = c_custkey"),
     "J4_full": (_j4, "select d.doc_id as d, l.doc_id as l, quality from documents d full join labels l on d.doc_id = l.doc_id"),
-    "J7_range": (_j7, "select l_orderkey, l_linenumber, p_partkey from lineitem join part on l_quantity between p_size and p_size + 1 where p_partkey % 10 = 0"),
     "D1_update": (_d1, "select c_custkey, case when c_nationkey < 10 then greatest(c_acctbal/2, 0) else c_acctbal end as c_acctbal from customer"),
     "D6_delete": (_d6, "select l_orderkey, l_linenumber from lineitem where not (l_tax > 0.05)"),
     "D7_insert": (_d7, "select n_nationkey, n_name, n_regionkey from nation union all select 100, 'NEW', 0"),
@@ -155,7 +152,12 @@ _MORE: dict[str, tuple[Query, str]] = {
     "A20_gmaxs": (_a20, "select label, i, max(embedding[i])::DOUBLE as m from embeddings, range(1, 65) r(i) group by 1, 2"),
 }
 
+_COMMANDS |= more_queries.COMMANDS
+_MORE |= more_queries.FUNCTIONS
+
 QUERIES: dict[str, Query] = {k: _command(text, *names) for k, (text, names, _) in _COMMANDS.items()} | {k: q for k, (q, _) in _MORE.items()}
+#: Millions of rows at sf0.01, too many to compare by SQL: the tests hold it against a nested loop.
+QUERIES["J7_range"] = _j7
 ORACLES: dict[str, str] = {k: sql for k, (_, _, sql) in _COMMANDS.items()} | {k: sql for k, (_, sql) in _MORE.items()}
 
 

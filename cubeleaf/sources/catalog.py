@@ -91,7 +91,7 @@ class Catalog:
         """The newest version, or a given one."""
         m = self.manifest(name, version)
         if m["kind"] == "rows":
-            parent = self.table(m["parent"])
+            parent = self.table(m["parent"], m.get("parent_version"))
             rows = self.spark.read.parquet(f"{self.path}/{name}/{m['data']}")
             df = parent.df.join(rows.withColumnRenamed(ROW, "__parent"), F.col(ROW) == F.col("__parent"), "left_semi")
             picked = df.select(*(F.col(f"`{src}`").alias(out) for out, src in m["columns"].items()), ROW)
@@ -111,15 +111,18 @@ class Catalog:
             df = df.withColumn(column, output(lower(text, Context.of(df, m["keywords"]))))
         return Table(df, m["keywords"], name)
 
-    def save(self, name: str, t: Table | DataFrame, *, new: bool = False, keywords: dict | None = None, virtual: dict[str, str] | None = None) -> int:
-        """The next version of a table; virtual columns are kept as expressions and computed when read."""
+    def save(self, name: str, t: Table | DataFrame, *, new: bool = False, keywords: dict | None = None, virtual: dict[str, str] | None = None, same_rows: bool = False) -> int:
+        """The next version of a table; virtual columns are kept as expressions and computed when read.
+
+        same_rows: the rows are those of the version before, with their numbers, so nothing is sorted or counted.
+        """
         t = Table.of(t, keywords)
         known = self.versions(name)
         if new and known:
             raise LanguageError(f"there is a table {name!r} already")
         version = (known[-1] if known else 0) + 1
         data = f"data-{version}-{uuid.uuid4().hex}"
-        df = numbered(t.df.orderBy(ROW)) if known or ROW in t.df.columns else numbered(t.df)
+        df = t.df if same_rows else numbered(t.df.orderBy(ROW)) if known or ROW in t.df.columns else numbered(t.df)
         df.write.parquet(f"{self.path}/{name}/{data}")
         base = self.manifest(name) if known else {}
         m = {"kind": "data", "data": data, "version": version, "schema": json.loads(df.schema.json()), "keywords": keywords if keywords is not None else t.keywords or base.get("keywords", {}), "virtual": virtual or {}}
@@ -127,8 +130,9 @@ class Catalog:
         return version
 
     def save_rows(self, name: str, parent: str, t: Table, columns: dict[str, str] | None = None) -> int:
-        """A selection of a saved table's rows, without its data; selections of selections refer to the root."""
+        """A selection of rows of a saved table's newest version, without its data; selections of selections refer to the root."""
         m = self.manifest(parent)
+        of = m.get("parent_version", m["version"])
         columns = columns or {c: c for c in t.columns}
         if m["kind"] == "rows":
             columns = {out: m["columns"][src] for out, src in columns.items()}
@@ -136,7 +140,7 @@ class Catalog:
         version = len(self.versions(name)) + 1
         data = f"rows-{version}-{uuid.uuid4().hex}"
         t.df.select(ROW).write.parquet(f"{self.path}/{name}/{data}")
-        self._folder(name).create(f"manifest-{version}.json", json.dumps({"kind": "rows", "data": data, "version": version, "parent": parent, "columns": columns, "keywords": t.keywords}))
+        self._folder(name).create(f"manifest-{version}.json", json.dumps({"kind": "rows", "data": data, "version": version, "parent": parent, "parent_version": of, "columns": columns, "keywords": t.keywords}))
         return version
 
     def save_parts(self, name: str, parts: list[str]) -> int:

@@ -31,11 +31,26 @@ class Table:
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Table:
-        """A Parquet table; in a single file the row number is the place in the file, without a job."""
+        """A Parquet table; the row number is the place in the file and the number of rows in the files before.
+
+        In a single file that takes no job.  Else the rows of each file are counted, which reads footers only, and
+        the files' offsets, two numbers for each, are sent to where the files are read.
+        """
         df = spark.read.parquet(path)
-        if len(df.inputFiles()) == 1:
-            return cls(df.select("*", F.col("_metadata.row_index").alias(ROW)))
-        return cls(numbered(df))
+        at = F.col("_metadata.row_index")
+        files = df.inputFiles()
+        if len(files) == 1:
+            return cls(df.select("*", at.alias(ROW)))
+        marked = df.select("*", F.col("_metadata.file_path").alias("__file"), at.alias(ROW))
+        sizes = {r["__file"]: r["count"] for r in marked.groupBy("__file").count().collect()}  # a row for each file
+        start, offsets = 0, []
+        for name in sorted(sizes):
+            offsets.append((name, start))
+            start += sizes[name]
+        if not offsets:
+            return cls(df.withColumn(ROW, F.lit(0).cast("bigint")))
+        moved = marked.join(_offsets(spark, offsets, "__file string, __start long"), "__file").withColumn(ROW, F.col(ROW) + F.col("__start"))
+        return cls(moved.select(*df.columns, ROW))
 
     @property
     def columns(self) -> list[str]:
@@ -84,5 +99,15 @@ def numbered(df: DataFrame) -> DataFrame:
         start += r["n"]
     if not offsets:
         return df.drop(ROW).withColumn(ROW, F.lit(0).cast("bigint"))
-    moves = F.create_map(*(F.lit(x) for pair in offsets for x in pair))
-    return base.withColumn(ROW, F.col("__at") + F.element_at(moves, F.col("__part"))).drop("__part", "__at")
+    moves = _offsets(df.sparkSession, offsets, "__part int, __move long")
+    columns = [c for c in df.columns if c != ROW]
+    return base.join(moves, "__part").withColumn(ROW, F.col("__at") + F.col("__move")).select(*columns, ROW)
+
+
+#: Offsets that are sent to every executor; more are joined by a shuffle.
+MOST_OFFSETS = 1_000_000
+
+
+def _offsets(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if len(rows) <= MOST_OFFSETS else df

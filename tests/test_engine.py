@@ -264,3 +264,51 @@ def test_registered_computed_column_takes_every_line(spark, tmp_path):
     lines = [(i, i % 3 + 1, 10.0 * i, 0.5) for i in range(6)]
     spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_extendedprice double, l_discount double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
     assert sorted(map(tuple, QUERIES["P5_computed"](spark, str(tmp_path)).collect())) == [(i, 5.0 * i) for i in range(6)]
+
+
+def test_row_numbers_of_many_files(spark, tmp_path):
+    spark.range(100).select(F.col("id").alias("v")).repartitionByRange(7, "v").sortWithinPartitions("v").write.parquet(f"{tmp_path}/many")
+    t = Table.read(spark, f"{tmp_path}/many")
+    rows = ops.query(t, select=["v", ("r", "rowid()")], orderby="v").data().collect()
+    assert [(r.v, r.r) for r in rows] == [(i, i) for i in range(100)]
+    plan = t.df._jdf.queryExecution().optimizedPlan().toString()
+    assert "map(" not in plan and "Sort" not in plan
+    loose = Table.of(spark.range(50, numPartitions=6)).numbered()
+    assert [r[0] for r in ops.query(loose, select=[("r", "rowid()")], orderby="id").data().collect()] == list(range(50))
+
+
+def test_a_row_selection_keeps_to_its_version(spark, tmp_path):
+    c = Catalog(spark, f"file://{tmp_path}")
+    c.save("t", Table.of(spark.range(6).select(F.col("id").alias("v")).coalesce(1)))
+    c.save_rows("few", "t", ops.query(c.table("t"), "v >= 4"))
+    c.save_rows("fewer", "few", ops.query(c.table("few"), "v == 5"))
+    execute("DELETE FROM t WHERE v == 0", catalog=c)
+    execute("UPDATE t SET v = v + 10", catalog=c)
+    assert sorted(r.v for r in c.table("few").df.collect()) == [4, 5] and [r.v for r in c.table("fewer").df.collect()] == [5]
+    assert ops.query(c.table("t"), select=["v", ("r", "rowid()")], orderby="v").data().collect() == [Row(v=v, r=v - 11) for v in range(11, 16)]
+
+
+def test_range_join_with_open_ends(spark):
+    inf = math.inf
+    l = Table.of(spark.createDataFrame([(i, x) for i, x in enumerate([0.0, 1.5, 2.0, 1e6, math.nan, None])], "i int, x double"))
+    r = Table.of(spark.createDataFrame([(0, -inf, 1.5), (1, 2.0, inf), (2, -inf, inf), (3, 5.0, 4.0), (4, None, 9.0)] + [(10 + k, 1.9, 1.9 + 10.0**k) for k in range(-90, 90, 2)], "j int, a double, b double"))
+    on = lambda l: {(p.i, p.j) for p in ops.join(l, r, "L.x BETWEEN R.a AND R.b", multi=True, unmatched="drop").df.collect()}
+    got = on(l)
+    assert {p for p in got if p[1] < 10} == {(0, 0), (1, 0), (2, 1), (3, 1), (0, 2), (1, 2), (2, 2), (3, 2)}
+    assert {p for p in got if p[1] >= 10} == {(i, 10 + k) for k in range(-90, 90, 2) for i, x in ((2, 2.0), (3, 1e6)) if x <= 1.9 + 10.0**k}
+    beyond = Table.of(spark.createDataFrame([(7, inf)], "i int, x double"))
+    assert {j for _, j in on(beyond) if j < 10} == {1, 2} and on(ops.query(l, "i > 90")) == set()
+
+
+def test_inserted_rows_are_one_relation(spark):
+    t = numbers(spark, 2)
+    out = ops.insert(t, [{"A": str(k)} for k in range(40)], limit=100)
+    assert out.df._jdf.queryExecution().optimizedPlan().toString().count("Range") <= 2
+    assert [r.A for r in out.df.orderBy("__rowid").collect()][2:] == [k % 40 for k in range(100)]
+
+
+def test_mean_of_no_complex_numbers(spark):
+    z = Row(re=1.0, im=2.0)
+    t = Table.of(spark.createDataFrame([(1, [z]), (2, [])], "K int, Z array<struct<re:double,im:double>>"))
+    got = {r.K: r.m for r in execute("SELECT K, mean(Z) AS m FROM $1", t).data().collect()}
+    assert tuple(got[1]) == (1.0, 2.0) and tuple(got[2]) == (0.0, 0.0)
