@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import re
 from collections.abc import Callable, Iterator
 
@@ -20,6 +21,8 @@ from pyspark.sql import types as T
 
 #: Bytes of text that are worked on at once: this bounds the temporary arrays of a Python worker.
 CHUNK_BYTES = 4 << 20
+#: Bytes of strings that are hashed at once.
+HASH_BYTES = 1 << 19
 
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -67,7 +70,16 @@ def hash_strings(strings: pa.Array, base: int = _B1) -> np.ndarray:
     data = strings.buffers()[2]
     flat = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
     at = offsets - offsets[0]
-    return mix(rolling(flat.astype(np.uint64) + np.uint64(1), at[:-1], at[1:], base) + np.diff(at).astype(np.uint64))
+    out = np.empty(len(strings), np.uint64)
+    # some strings at once, so that neither the powers nor the copies of the bytes grow with the batch
+    first = 0
+    while first < len(out):
+        last = max(first + 1, int(np.searchsorted(at, at[first] + HASH_BYTES, "right")) - 1)
+        some = flat[at[first] : at[last]].astype(np.uint64) + np.uint64(1)
+        here = at[first : last + 1] - at[first]
+        out[first:last] = mix(rolling(some, here[:-1], here[1:], base) + np.diff(here).astype(np.uint64))
+        first = last
+    return out
 
 
 class Words:
@@ -115,6 +127,20 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
         yield batch.slice(a, b - a)
 
 
+def returning(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the worker gives the memory that it has freed back to the machine: it may idle for long."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError, OSError):  # where the C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def add_columns(
     docs: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], fields: list[T.StructField], text: str = "text"
 ) -> DataFrame:
@@ -135,7 +161,7 @@ def add_columns(
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *of(part)], names=[*names, *(f.name for f in fields)])
 
     # the text goes to the worker even where a new column replaces it
-    return docs.mapInArrow(run, T.StructType([*kept, *fields]))
+    return docs.mapInArrow(returning(run), T.StructType([*kept, *fields]))
 
 
 def crc_mod(column: str, n: int) -> Column:

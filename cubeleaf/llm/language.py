@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._text import Words, add_columns, bounded_batches, mix
+from ._text import Words, add_columns, bounded_batches, mix, returning
 
 BITS = 16
 ORDERS = (1, 2, 3, 4)
@@ -134,7 +134,7 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", per_language
         yield from rows()
 
     number = F.array_position(F.lit(names), F.col("lang")).cast("int") - 1
-    rows = picked.mapInArrow(count, "at int, lang string, n double").groupBy("at", "lang").agg(F.sum("n").alias("n")).select("at", number.alias("k"), "n").toArrow()
+    rows = picked.mapInArrow(returning(count), "at int, lang string, n double").groupBy("at", "lang").agg(F.sum("n").alias("n")).select("at", number.alias("k"), "n").toArrow()
     at, k, n = (rows[c].to_numpy() for c in ("at", "k", "n"))
     order = np.lexsort((k, at))
     at, k, n = at[order], k[order], n[order]

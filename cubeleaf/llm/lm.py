@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._text import Words, bounded_batches, chunks, hash_strings, mix, rows_per_task, written
+from ._text import Words, bounded_batches, chunks, hash_strings, mix, returning, rows_per_task, written
 
 CLASSES = 64
 #: Words whose counts every worker gets: at most so many.
@@ -109,7 +109,7 @@ def _counted(texts: DataFrame, text: str) -> DataFrame:
                 s = slice(at, at + 100_000)
                 yield pa.RecordBatch.from_arrays([pa.array(u[s].view(np.int64)), pa.array(c[s]), pa.array(n[s])], names=["hash", "class", "n"])
 
-    return texts.mapInArrow(run, "hash long, class long, n long").groupBy("hash").agg(F.min("class").alias("class"), F.sum("n").alias("n"))
+    return texts.mapInArrow(returning(run), "hash long, class long, n long").groupBy("hash").agg(F.min("class").alias("class"), F.sum("n").alias("n"))
 
 
 def _untrained(counts: DataFrame, vocabulary: int, width: int, seed: int) -> LanguageModel:
@@ -243,7 +243,7 @@ def _round(texts: DataFrame, model: LanguageModel, text: str, rate: float) -> No
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x[0] for x in total.values()]), pa.array([x[1].astype(np.float32).tobytes() for x in total.values()], pa.binary())], names=names)
 
-    summed = texts.mapInArrow(learn, schema).repartition(min(_PARTS, rows_per_task(texts)), "part").mapInArrow(add, schema)
+    summed = texts.mapInArrow(returning(learn), schema).repartition(min(_PARTS, rows_per_task(texts)), "part").mapInArrow(add, schema)
     rows = {r["part"]: np.frombuffer(r["data"], np.float32) / np.float32(r["weight"]) for r in summed.collect()}  # the size of the parameters
     if rows:
         flat = np.concatenate([rows[i] for i in range(_PARTS)])
@@ -312,7 +312,7 @@ def score(docs: DataFrame, model: LanguageModel, counts: DataFrame, *, text: str
                 arrays += [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (tail, tf.astype(np.int64))]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), *arrays], names=names)
 
-    first = written(rows.mapInArrow(run, schema)).withColumn("_row", F.monotonically_increasing_id())
+    first = written(rows.mapInArrow(returning(run), schema)).withColumn("_row", F.monotonically_increasing_id())
     tail = first.select("_row", F.explode(F.arrays_zip("tail_hash", "tail_n")).alias("t")).select("_row", F.col("t.tail_hash").alias("hash"), F.col("t.tail_n").alias("tf"))
     met = tail.join(counts.select("hash", "n"), "hash", "left")
     by_row = met.groupBy("_row").agg(

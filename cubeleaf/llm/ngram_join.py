@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ._components import components
 from ._runs import shared_keys
-from ._text import Scratch, Words, bounded_batches, chunks, mix, rolling, rows_per_task, written
+from ._text import Scratch, Words, bounded_batches, chunks, mix, returning, rolling, rows_per_task, written
 
 NO_ID = (1 << 63) - 1
 SKETCH_BITS = 20
@@ -153,7 +153,7 @@ def _sets_and_sketch(docs: DataFrame, text: str) -> DataFrame:
             )
 
     maps = ", ".join(f"{b} long" for b in _BITMAP)
-    return docs.select("doc", text).mapInArrow(run, f"doc long, n int, key long, {maps}, part int, counts binary")
+    return docs.select("doc", text).mapInArrow(returning(run), f"doc long, n int, key long, {maps}, part int, counts binary")
 
 
 def _sketch(rows: DataFrame) -> np.ndarray:
@@ -197,7 +197,7 @@ def _keys(docs: DataFrame, text: str, counts, boundary: int, percent: int) -> Da
                         names=["token", "n", "key"],
                     )
 
-    return docs.select(text).mapInArrow(run, "token long, n int, key long")
+    return docs.select(text).mapInArrow(returning(run), "token long, n int, key long")
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +285,7 @@ def _filter_of(classes: DataFrame) -> np.ndarray:
         at = np.flatnonzero(np.packbits(bits)).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.packbits(bits)[at].astype(np.int16))], names=["at", "byte"])
 
-    rows = classes.select("least").mapInArrow(run, "at int, byte short").groupBy("at").agg(F.bit_or("byte").alias("byte")).toArrow()
+    rows = classes.select("least").mapInArrow(returning(run), "at int, byte short").groupBy("at").agg(F.bit_or("byte").alias("byte")).toArrow()
     out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
     out[rows["at"].to_numpy()] = rows["byte"].to_numpy().astype(np.uint8)
     return out
@@ -329,7 +329,7 @@ def _of_classes(docs: DataFrame, text: str, wanted: DataFrame, *, with_text: boo
                 value = part.column(text).take(pa.array(first)) if with_text else pa.array([long_bitmap(sets[i]) for i in first], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(keys[first]), value], names=["key", "value"])
 
-    found = docs.select("doc", text).mapInArrow(run, "key long, value " + ("string" if with_text else "binary")).join(wanted.select("key"), "key", "left_semi")
+    found = docs.select("doc", text).mapInArrow(returning(run), "key long, value " + ("string" if with_text else "binary")).join(wanted.select("key"), "key", "left_semi")
     return found.groupBy("key").agg(F.min("value").alias("value"))
 
 
@@ -357,7 +357,7 @@ def _not_ruled_out(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame
             differ = np.array([differing_bits(a.as_py(), b.as_py()) for a, b in zip(batch.column("tu"), batch.column("tv"), strict=True)], np.int64)
             yield batch.select(["u", "v"]).filter(pa.array(differ * (100 + percent) <= n * (100 - percent)))
 
-    return _with_values(pairs, maps).select("u", "v", "nu", "nv", "tu", "tv").mapInArrow(run, "u long, v long")
+    return _with_values(pairs, maps).select("u", "v", "nu", "nv", "tu", "tv").mapInArrow(returning(run), "u long, v long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -373,7 +373,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                     good.append(100 * common >= percent * (len(x) + len(y) - common))
                 yield part.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    return _with_values(pairs, texts).select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long")
+    return _with_values(pairs, texts).select("u", "v", "tu", "tv").mapInArrow(returning(run), "u long, v long")
 
 
 def _links(tested: DataFrame, before: list[DataFrame], named: DataFrame, text: str, classes: DataFrame, percent: int, keep) -> tuple[DataFrame, DataFrame]:

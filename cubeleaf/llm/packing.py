@@ -19,7 +19,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._text import Scratch, Words, bounded_batches, chunks, written
+from ._text import Scratch, Words, bounded_batches, chunks, returning, written
 
 #: Distinct words and parts whose ids a worker keeps at once.
 CACHE_WORDS = 600_000
@@ -171,12 +170,6 @@ class WordTokenizer:
         return ids, ends[words.starts + np.arange(len(words.starts))]
 
 
-@lru_cache(maxsize=1)
-def _tokenizer(path: str, end_id: int) -> WordTokenizer:
-    """One for each worker process, read once; the words it has learnt go with the task, as other tasks need the memory."""
-    return WordTokenizer(path, end_id)
-
-
 PIECE_FIELDS = [T.StructField(n, t) for n, t in (("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()))]
 
 
@@ -190,29 +183,26 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, end_id
     names = [*(f.name for f in kept), *(f.name for f in fields)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(tokenizer_path, end_id)
-        try:
-            for batch in batches:
-                for part in chunks(batch, text, 2 << 20):
-                    ids, first = tokenizer.encode(part.column(text))
-                    lengths = np.diff(first)
-                    counts = -(-lengths // capacity)
-                    row = np.repeat(np.arange(len(lengths)), counts)
-                    piece = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                    start = piece * capacity
-                    length = np.minimum(lengths[row] - start, capacity)
-                    at = first[:-1][row] + start
-                    raw = memoryview(np.ascontiguousarray(ids.astype("<u4")).tobytes())
-                    crc = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(at.tolist(), length.tolist(), strict=True)]
-                    arrays = [part.column(f.name).take(pa.array(row)) for f in kept]
-                    arrays += [pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-                    if with_ids:
-                        arrays.append(pa.ListArray.from_arrays(pa.array(np.append(at, at[-1] + length[-1]) if len(at) else [0], pa.int32()), pa.array(ids.astype(np.int32))))
-                    yield pa.RecordBatch.from_arrays(arrays, names=names)
-        finally:
-            tokenizer.forget()
-
-    return docs.select(*(f.name for f in kept), text).mapInArrow(run, T.StructType([*kept, *fields]))
+        tokenizer = WordTokenizer(tokenizer_path, end_id)
+        for batch in batches:
+            for part in chunks(batch, text, 2 << 20):
+                ids, first = tokenizer.encode(part.column(text))
+                lengths = np.diff(first)
+                counts = -(-lengths // capacity)
+                row = np.repeat(np.arange(len(lengths)), counts)
+                piece = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                start = piece * capacity
+                length = np.minimum(lengths[row] - start, capacity)
+                at = first[:-1][row] + start
+                raw = memoryview(np.ascontiguousarray(ids.astype("<u4")).tobytes())
+                crc = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(at.tolist(), length.tolist(), strict=True)]
+                arrays = [part.column(f.name).take(pa.array(row)) for f in kept]
+                arrays += [pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+                if with_ids:
+                    arrays.append(pa.ListArray.from_arrays(pa.array(np.append(at, at[-1] + length[-1]) if len(at) else [0], pa.int32()), pa.array(ids.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return docs.select(*(f.name for f in kept), text).mapInArrow(returning(run), T.StructType([*kept, *fields]))
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

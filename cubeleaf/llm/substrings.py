@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._runs import later_rows, shared_keys
-from ._text import _B1, _B2, Scratch, Words, bounded_batches, chunks, rolling, rows_per_task, written
+from ._text import Scratch, Words, _B1, _B2, bounded_batches, chunks, returning, rolling, rows_per_task, written
 
 PERIOD, COVER = 13, (0, 1, 3, 9)
 #: Rows of a batch are settled among themselves in pieces of so much text.
@@ -156,13 +156,13 @@ def deduplicate(docs: DataFrame, *, width: int = 20, text: str = "text") -> Data
         for part in _split(batches, text):
             yield _anchors(part, text, width)
 
-    found = keyed.select("_doc", text).mapInArrow(anchors, "hash long, doc long, pos int")
+    found = keyed.select("_doc", text).mapInArrow(returning(anchors), "hash long, doc long, pos int")
     dealt = found.repartition(parts, F.coalesce("hash", F.xxhash64("doc", "pos"))).sortWithinPartitions("hash")
 
     def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _after_settled(batches, "hash", ["doc", "pos"], lambda rest: shared_keys(rest, ["hash"], ["doc", "pos"]))
 
-    marked = dealt.mapInArrow(repeats, "doc long, pos int")
+    marked = dealt.mapInArrow(returning(repeats), "doc long, pos int")
     # written, so that the anchors' shuffle can go before texts are dealt
     scratch = Scratch(docs.sparkSession)
     flags = scratch.write(marked.groupBy("doc").agg(F.collect_set("pos").alias("_flags")))
@@ -172,13 +172,13 @@ def deduplicate(docs: DataFrame, *, width: int = 20, text: str = "text") -> Data
         for part in _split(batches, text):
             yield _candidates(part, text, width)
 
-    windows = near.mapInArrow(candidates, "a long, b int, doc long, tie int, pos int")
+    windows = near.mapInArrow(returning(candidates), "a long, b int, doc long, tie int, pos int")
     ranked = windows.repartition(parts, F.coalesce("a", F.xxhash64("doc", "pos"))).sortWithinPartitions("a", "b", "doc", "tie", "pos")
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _after_settled(batches, "a", ["doc", "tie", "pos"], lambda rest: later_rows(rest, ["a", "b"], ["doc", "tie", "pos"], ["doc", "tie", "pos"]))
 
-    gone = written(ranked.mapInArrow(repeated, "doc long, tie int, pos int").groupBy("doc", "tie").agg(F.collect_set("pos").alias("_flags")))
+    gone = written(ranked.mapInArrow(returning(repeated), "doc long, tie int, pos int").groupBy("doc", "tie").agg(F.collect_set("pos").alias("_flags")))
     scratch.drop()
     joined = keyed.join(gone.withColumnsRenamed({"doc": "_doc", "tie": "_tie"}), ["_doc", "_tie"], "left")
     joined = joined.withColumn("_flags", F.coalesce("_flags", F.array().cast("array<int>")))
@@ -190,4 +190,4 @@ def deduplicate(docs: DataFrame, *, width: int = 20, text: str = "text") -> Data
             for part in chunks(batch, text):
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *_kept(part, text, width)], names=schema.names)
 
-    return joined.select(*names, "_flags").mapInArrow(keep, schema)
+    return joined.select(*names, "_flags").mapInArrow(returning(keep), schema)
