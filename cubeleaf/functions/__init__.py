@@ -19,7 +19,7 @@ def call(ctx, name: str, args: list) -> Value:
     if name.startswith("meas.doppler") or name in doppler.NAMES:
         return doppler.call(ctx, name, args)
     if name not in TABLE:
-        if ctx.resolve is not None and (found := ctx.resolve(name, args)) is not None:
+        if ctx.resolve is not None and (found := ctx.resolve(name, args, ctx)) is not None:
             return found
         raise LanguageError(f"no function {name!r}")
     least, most, f = TABLE[name]

@@ -71,14 +71,64 @@ def _angdist(*vs: Value) -> Value:
 
 #: Geocentric positions of observatories, in metres.
 OBSERVATORIES = {
-    "ALMA": (2225142.180268967, -5440307.370348562, -2481029.851873547),
+    "ACA": (2225066.246, -5440107.534, -2481532.701),
+    "ALMA": (2225142.180, -5440307.370, -2481029.852),
+    "AMI-LA": (3911868.736, 5037665.689, 6542.364),
+    "APEX": (2225035.295, -5441203.575, -2479295.528),
+    "ARECIBO": (2390453.918, -5564823.910, 1994645.864),
+    "ASKAP": (-2558266.718, 5095672.177, -2849020.838),
+    "ASTE": (2230809.332, -5440193.145, -2475719.544),
+    "ATA": (-2524087.896, -4123458.942, 4147779.692),
+    "ATCA": (-4750915.837, 2792906.182, -3200483.747),
+    "ATF": (-1601322.656, -5042206.592, 3554529.675),
+    "BIMA": (-2523862.038, -4123592.799, 4147750.369),
+    "CARMA": (-2397389.652, -4482068.563, 3843528.415),
+    "CLRO": (-2358329.000, -4773813.000, 3503132.000),
+    "DRAO": (-2019457.524, -3643335.279, 4814486.489),
+    "DSA2000": (-2213052.895, -4485368.237, 3947303.822),
+    "DWL": (3839243.707, 430428.149, 5058010.560),
+    "EOVSA": (-2409879.570, -4478074.657, 3838758.218),
+    "EVLA": (-1601156.673, -5041988.986, 3554879.237),
+    "EFFELSBERG": (4033947.697, 486990.503, 4900430.644),
+    "FAST": (-1668557.206, 5506838.527, 2744934.965),
+    "GB": (882838.012, -4924481.883, 3944157.371),
+    "GBT": (882590.375, -4924873.657, 3943729.069),
+    "GMRT": (1657069.565, 5797969.000, 2073044.092),
+    "HERA": (5109700.537, 2005356.584, -3240144.370),
+    "IRAM PDB": (4524009.323, 468046.370, 4460320.529),
+    "IRAM_PDB": (4523998.400, 468045.240, 4460309.760),
+    "JCMT": (-5464591.766, -2492693.980, 2150963.055),
+    "KAT-7": (5109207.818, 2006793.903, -3239127.738),
+    "LWA1": (-1602199.957, -5042310.014, 3553970.000),
+    "MERLIN2": (3834492.015, -173905.311, 5068199.884),
+    "MOPRA": (-4682767.900, 2802617.500, -3291765.600),
+    "MOST": (-4483189.535, 2648887.219, -3671990.767),
+    "MUSER": (-2018698.604, 4280059.873, 4263974.852),
+    "MWA": (-2559454.080, 5095372.146, -2849057.186),
+    "MWA32T": (-2559453.959, 5095372.205, -2849057.190),
+    "MEERKAT": (5109217.421, 2006797.675, -3239133.867),
+    "NOEMA": (4523932.577, 468134.733, 4460286.496),
+    "NRAO12M": (-1995960.489, -5037404.779, 3357054.606),
+    "NRAO_GBT": (882587.973, -4924860.403, 3943718.437),
+    "NRO": (-3862451.858, 3420134.194, 3740234.903),
+    "OSF": (2202229.615, -5445184.762, -2485382.116),
+    "OVRO-LWA": (-2409247.204, -4477889.562, 3839327.828),
+    "PAPER_GB": (881663.872, -4925025.380, 3943718.410),
+    "PAPER_SA": (5109700.537, 2005356.584, -3240144.370),
+    "PKS": (-4554231.650, 2816759.097, -3454036.085),
+    "SAO SMA": (-5462448.938, -2491969.937, 2164446.110),
+    "SKA-LOW": (-2565044.430, 5085763.697, -2861062.440),
+    "SKA-MID": (5109272.111, 2006809.134, -3239131.128),
+    "SMA": (-5462448.949, -2491969.917, 2164446.105),
+    "SMT": (-1828782.656, -5054436.839, 3427878.905),
     "VLA": (-1601185.365, -5041977.547, 3554875.870),
-    "WSRT": (3828445.659, 445223.600, 5064921.568),
+    "WSRT": (3828488.864, 443253.420, 5064977.777),
+    "E-MERLIN": (3834492.015, -173905.311, 5068199.884),
 }
 
 
 def _observatory(v: Value) -> Value:
-    xyz = OBSERVATORIES.get(str(v.literal).upper())
+    xyz = OBSERVATORIES.get(str(v.literal).strip().upper())
     if xyz is None:
         raise LanguageError(f"unknown observatory {v.literal!r}")
     return Value(F.array(*(F.lit(x) for x in xyz)), "float", 1)

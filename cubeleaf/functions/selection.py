@@ -1,4 +1,4 @@
-"""Selections of an observation's main table as predicates.
+"""Selections of an observation's main table as predicates, and what its dimension tables make of its columns.
 
 ``cubeleaf.plans.selection`` parses a selection to a tree; here the tree becomes a predicate over the main table's
 columns, so that it is pushed down like any other filter.  What names, windows or positions mean is read once from
@@ -16,11 +16,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..plans import selection as tree
-from ..plans.lower import ROW
+from ..plans.lower import ROW, lower
 from ..plans.parser import LanguageError
 from ..plans.patterns import regex_of
 from ..plans.values import Value
 from ..table import Table
+from . import polarisation
+from .polarisation import PRODUCTS
 from .scalar import C_LIGHT
 
 #: A dimension table has at most so many rows; they are held on the driver.
@@ -29,11 +31,6 @@ MOST_NAMES = 100_000
 METRES = {"": 1.0, "m": 1.0, "km": 1e3}
 WAVES = {"lambda": 1.0, "klambda": 1e3, "mlambda": 1e6}
 HERTZ = {"hz": 1.0, "khz": 1e3, "mhz": 1e6, "ghz": 1e9, "thz": 1e12}
-#: Names of polarisation products, numbered from 1.
-PRODUCTS = (
-    "I Q U V RR RL LR LL XX XY YX YY RX RY LX LY XR XL YR YL PP PQ QP QQ "
-    "RCIRCULAR LCIRCULAR LINEAR PTOTAL PLINEAR PFTOTAL PFLINEAR PANGLE"
-).split()
 #: Main column and dimension table of what is selected by ids alone.
 BY_ID = {
     "scan": ("SCAN_NUMBER", None, None),
@@ -187,10 +184,16 @@ class Selections:
             self._names[table, column] = Names.of(self.tables.get(table), column)
         return self._names[table, column]
 
-    def __call__(self, name: str, args: list) -> Value | None:
+    def __call__(self, name: str, args: list, ctx) -> Value | None:
         space, _, what = name.partition(".")
         if space != "mscal":
             return None
+        if what == "stokes":
+            return self.stokes(args, ctx)
+        if what in ("uvwwvl", "uvwwvls"):
+            if args:
+                raise LanguageError(f"{name} takes no arguments")
+            return self.wavelengths(each=what == "uvwwvls")
         if len(args) != 1 or args[0][0] != "lit" or not isinstance(args[0][1], str):
             raise LanguageError(f"{name} takes one text")
         text = args[0][1]
@@ -271,6 +274,27 @@ class Selections:
         each = F.array(*(F.array(*(F.lit(x) for x in mask)).cast("array<boolean>") for mask in masks))
         return Value(F.get(each, self._windows_of_rows("chan")), "bool", 1)
 
+    def stokes(self, args: list, ctx) -> Value:
+        """Cells of products as other products; the first polarisation setup says what they are."""
+        kinds = [str, bool]
+        if not 1 <= len(args) <= 3 or any(a[0] != "lit" or not isinstance(a[1], k) for a, k in zip(args[1:], kinds, strict=False)):
+            raise LanguageError("mscal.stokes takes a cell, a text of products and whether to rescale")
+        setups = small_rows(self.table("POLARIZATION", "mscal.stokes"), "CORR_TYPE")
+        if not setups:
+            raise LanguageError("there is no polarisation setup")
+        return polarisation.stokes(lower(args[0], ctx), [int(x) for x in setups[0]["CORR_TYPE"]], *(a[1] for a in args[1:]))
+
+    def wavelengths(self, each: bool) -> Value:
+        """The coordinates in wavelengths of the window's reference frequency, or of each of its channels."""
+        uvw = F.col("UVW").cast("array<double>")
+        if not each:
+            per_metre = self._reference_frequency() / C_LIGHT
+            return Value(F.transform(uvw, lambda x: x * per_metre), "float", 1)
+        rows = small_rows(self.table("SPECTRAL_WINDOW", "lengths in wavelengths"), "CHAN_FREQ")
+        all_windows = F.array(*(F.array(*(F.lit(float(x) / C_LIGHT) for x in r["CHAN_FREQ"])).cast("array<double>") for r in rows))
+        window = F.get(all_windows, self._windows_of_rows("lengths in wavelengths"))
+        return Value(F.flatten(F.transform(window, lambda f: F.transform(uvw, lambda x: x * f))), "float", 2, F.array(F.lit(3), F.size(window)))
+
     def corr(self, text: str) -> Value:
         """Rows whose polarisation setup has one of the products."""
         wanted = set()

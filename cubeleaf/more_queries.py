@@ -256,6 +256,20 @@ def _selection(where: str) -> Query:
     return run
 
 
+def _products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as a cell of four linear products by 16 channels."""
+    cell = F.transform("embedding", lambda x, i: F.struct(x.cast("double").alias("re"), F.get(F.col("embedding"), 63 - i).cast("double").alias("im")))
+    main = Table(_table(spark, sf_dir, "embeddings").df.withColumn("DATA", F.struct(F.array(F.lit(4), F.lit(16)).alias("shape"), cell.alias("data"))))
+    setups = Table.of(spark.createDataFrame([([9, 10, 11, 12],)], "CORR_TYPE array<int>").coalesce(1))
+    found = execute("SELECT vec_id, mscal.stokes(DATA) AS s FROM $1", main, resolve=Selections({"POLARIZATION": setups})).data()
+    return found.select("vec_id", F.posexplode("s.data").alias("i", "z")).select("vec_id", "i", F.col("z.re").alias("re"), F.col("z.im").alias("im"))
+
+
+def _wavelengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    main, tables = _observation(spark, sf_dir)
+    return execute("SELECT l_orderkey, l_linenumber, mscal.uvwwvl()[1] AS u, mscal.uvwwvls()[1,4] AS u4 FROM $1", main, resolve=Selections(tables)).data()
+
+
 _LINES = "select l_orderkey, l_linenumber from (select *, l_suppkey % 25 as a, l_partkey % 25 as b, sqrt(power(l_quantity*10, 2) + power(l_tax*1000, 2)) as d from lineitem) where "
 _MANY = "select l.doc_id as l, d.doc_id as d, source from (select * from labels where quality = 1) l {} join (select * from documents where n_chars > 500) d on l.doc_id = d.doc_id"
 
@@ -282,6 +296,8 @@ FUNCTIONS: dict[str, tuple[Query, str]] = {
     "D7_insert_select": (_insert_rows, "select n_nationkey, n_name, n_regionkey from nation union all select n_nationkey + 100, n_name, n_regionkey from nation where n_regionkey = 1"),
     "W1_stored": (_stored, "select n_nationkey, n_name as name, n_regionkey + case when n_nationkey > 9 then 7 else 0 end as n_regionkey from nation where n_nationkey <> 24"),
     "W9_rows": (_rows_reference, "select o_orderkey as key, o_totalprice as price from orders where o_totalprice > 400000"),
+    "M14_stokes": (_products, "select vec_id, (4*k + o)::INTEGER as i, case o when 0 then r1 + r4 when 1 then r1 - r4 when 2 then r2 + r3 else i2 - i3 end as re, case o when 0 then i1 + i4 when 1 then i1 - i4 when 2 then i2 + i3 else r3 - r2 end as im from (select vec_id, k, embedding[4*k + 1]::DOUBLE as r1, embedding[4*k + 2]::DOUBLE as r2, embedding[4*k + 3]::DOUBLE as r3, embedding[4*k + 4]::DOUBLE as r4, embedding[64 - 4*k]::DOUBLE as i1, embedding[63 - 4*k]::DOUBLE as i2, embedding[62 - 4*k]::DOUBLE as i3, embedding[61 - 4*k]::DOUBLE as i4 from embeddings, range(0, 16) t(k)), range(0, 4) u(o)"),
+    "M7_wavelengths": (_wavelengths, "select l_orderkey, l_linenumber, l_quantity*10 * (1e9*((l_partkey % 4) % 3 + 1) / 299792458.0) as u, l_quantity*10 * ((1e9*((l_partkey % 4) % 3 + 1) + 3e6) / 299792458.0) as u4 from lineitem"),
     "W10_concatenation": (_concatenation, "select * from nation where n_regionkey < 2 or n_regionkey > 3"),
 }
 FUNCTIONS |= {name: (_cells(expression, table, key), sql) for name, (expression, table, key, sql) in CELLS.items()}

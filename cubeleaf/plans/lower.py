@@ -25,7 +25,7 @@ class Context:
     keys: dict[str, Value] | None = None  # grouped: the keys; other columns give the group's last row
     row: Column | None = None
     grouping: Callable[[str], Column] | None = None
-    resolve: Callable[[str, list], Value | None] | None = None  # for functions of other namespaces
+    resolve: Callable[[str, list, Context], Value | None] | None = None  # for functions of other namespaces
     hide: Callable[[Column], str] | None = None  # grouped: puts a column below the aggregation, gives its name
     per_element: Callable[[Value, Column], tuple[Column, Column | None]] | None = None  # grouped: cells (and shapes) of an aggregate of each position, whose elements are __e.x and __e.m
 

@@ -112,3 +112,79 @@ def test_too_many_rows_of_a_small_table_are_an_error(spark, monkeypatch):
             selection.Selections(tables)._reference_frequency()
     with pytest.raises(LanguageError):
         selection.Selections({"ANTENNA": antennas})._length()
+
+
+@pytest.fixture(scope="module")
+def products(spark):
+    """A function of a Stokes expression over two rows of cells (4 products, 2 channels) and their numpy twins."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    cells = [rng.normal(size=(2, 4)) + 1j * rng.normal(size=(2, 4)) for _ in range(2)]
+    weights = [[1.0, 2.0, 3.0, 4.0], [5.0, 6.0, 0.0, 1.0]]
+    flags = [[True, False, False, False], [False, True, False, False]]
+    data = [(k, {"shape": [4, 2], "data": [{"re": float(z.real), "im": float(z.imag)} for z in x.ravel()]}, w, f, [1.0, 2.0, 3.0], 0) for k, (x, w, f) in enumerate(zip(cells, weights, flags, strict=True))]
+    schema = "k int, DATA struct<shape:array<int>,data:array<struct<re:double,im:double>>>, W array<double>, FL array<boolean>, UVW array<double>, DATA_DESC_ID int"
+    main = Table.of(spark.createDataFrame(data, schema).coalesce(1)).numbered()
+    table = lambda r: Table.of(spark.createDataFrame(r).coalesce(1)).numbered()
+
+    def run(what, codes=(5, 6, 7, 8)):
+        tables = {
+            "POLARIZATION": table([Row(CORR_TYPE=list(codes))]), "DATA_DESCRIPTION": table([Row(SPECTRAL_WINDOW_ID=0)]),
+            "SPECTRAL_WINDOW": table([Row(REF_FREQUENCY=2.99792458e8, CHAN_FREQ=[2.99792458e8, 5.99584916e8])]),
+        }
+        rows = sorted(execute(f"SELECT k, {what} AS x FROM $1", main, resolve=Selections(tables)).data().collect())
+        return [r.x for r in rows]
+
+    return run, cells
+
+
+def test_products_of_circular_feeds(products):
+    run, cells = products
+    for got, x in zip(run("mscal.stokes(DATA, 'i,U, v,Ptotal,PFlinear,PANGLE')"), cells, strict=True):
+        rr, rl, lr, ll = x.T
+        q, u, v = rl + lr, 1j * (lr - rl), rr - ll
+        import numpy as np
+
+        linear = np.sqrt(abs(q) ** 2 + abs(u) ** 2)
+        want = np.stack([rr + ll, u, v, np.sqrt(linear**2 + abs(v) ** 2), linear / abs(rr + ll), np.arctan2(u.real, q.real) / 2], axis=1)
+        assert list(got.shape) == [6, 2]
+        assert [z.re + 1j * z.im for z in got.data] == pytest.approx(list(want.ravel()))
+
+
+def test_products_there_and_back(products):
+    run, cells = products
+    for codes in ((5, 6, 7, 8), (9, 10, 11, 12), (1, 2, 3, 4)):
+        same = {5: "CIRC", 9: "linear", 1: "IQUV"}[codes[0]]
+        for got, x in zip(run(f"mscal.stokes(DATA, '{same}', true)", codes), cells, strict=True):
+            assert [z.re + 1j * z.im for z in got.data] == pytest.approx(list(x.ravel()))
+    half, whole = run("mscal.stokes(DATA, 'I', true)"), run("mscal.stokes(DATA, 'I')")
+    assert [2 * z.re for r in half for z in r.data] == pytest.approx([z.re for r in whole for z in r.data])
+
+
+def test_products_of_flags_and_weights(products):
+    run, _ = products
+    assert run("mscal.stokes(FL, 'I,Q,XX')") == [[True, False, True], [False, True, True]]
+    assert run("mscal.stokes(W, 'I,Q')") == [pytest.approx([0.8, 1.2]), [0.0, 0.0]]
+
+
+def test_coordinates_in_wavelengths(products):
+    run, _ = products
+    assert run("mscal.uvwwvl()") == [pytest.approx([1.0, 2.0, 3.0])] * 2
+    got = run("mscal.uvwwvls()")[0]
+    assert list(got.shape) == [3, 2] and list(got.data) == pytest.approx([1.0, 2.0, 3.0, 2.0, 4.0, 6.0])
+
+
+@pytest.mark.parametrize("what", ["mscal.stokes(DATA, 'RX')", "mscal.stokes(FL, 'PTOTAL')", "mscal.stokes()", "mscal.stokes(DATA, 'I', 1)", "mscal.stokes(DATA, W)", "mscal.stokes(k)", "mscal.stokes(DATA, ',')"])
+def test_what_is_no_polarisation(products, what):
+    from cubeleaf.plans.parser import LanguageError
+
+    with pytest.raises(LanguageError):
+        products[0](what)
+
+
+def test_mixed_frames_are_an_error(products):
+    from cubeleaf.plans.parser import LanguageError
+
+    with pytest.raises(LanguageError):
+        products[0]("mscal.stokes(DATA, 'I')", (5, 9, 7, 8))
