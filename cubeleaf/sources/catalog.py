@@ -1,6 +1,6 @@
 """A catalog of versioned tables in a folder that Spark can reach.
 
-A table is a folder with data versions (Parquet, row numbers included), or a definition (a row selection of
+A table is a folder with data versions (Parquet in order; an UPDATE's row numbers included), or a definition (a row selection of
 another table, or a concatenation), and manifests ``manifest-<n>.json`` with the schema's metadata, keywords and
 the version's data.  A save writes data first and then creates the next manifest, which fails if another writer
 has created it meanwhile; readers take the manifest with the highest number.  So a crash leaves the version
@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..plans.lower import ROW
 from ..plans.parser import LanguageError
-from ..table import Table, numbered
+from ..table import Table
 
 
 class Conflict(RuntimeError):
@@ -102,8 +102,9 @@ class Catalog:
             out = concat(*(self.table(p) for p in m["parts"]))
             return Table(out.df, m["keywords"], name)
         schema = T.StructType.fromJson(m["schema"])
-        df = self.spark.read.schema(schema).parquet(f"{self.path}/{name}/{m['data']}")
-        df = df.select(*(F.col(f"`{f.name}`").alias(f.name, metadata=f.metadata) for f in schema.fields))
+        at = f"{self.path}/{name}/{m['data']}"
+        df = self.spark.read.schema(schema).parquet(at) if ROW in schema.names else Table.read(self.spark, at, schema).df
+        df = df.select(*(F.col(f"`{f.name}`").alias(f.name, metadata=f.metadata) for f in schema.fields if f.name != ROW), ROW)
         for column, text in m.get("virtual", {}).items():
             from ..plans.lower import Context, lower
             from ..plans.values import output
@@ -114,7 +115,7 @@ class Catalog:
     def save(self, name: str, t: Table | DataFrame, *, new: bool = False, keywords: dict | None = None, virtual: dict[str, str] | None = None, same_rows: bool = False) -> int:
         """The next version of a table; virtual columns are kept as expressions and computed when read.
 
-        same_rows: the rows are those of the version before, with their numbers, so nothing is sorted or counted.
+        same_rows: the rows are those of the version before, with their numbers, so nothing is sorted.
         """
         t = Table.of(t, keywords)
         known = self.versions(name)
@@ -122,7 +123,8 @@ class Catalog:
             raise LanguageError(f"there is a table {name!r} already")
         version = (known[-1] if known else 0) + 1
         data = f"data-{version}-{uuid.uuid4().hex}"
-        df = t.df if same_rows else numbered(t.df.orderBy(ROW)) if known or ROW in t.df.columns else numbered(t.df)
+        # in order, so that a row's number is its place in the files; no second run of the sort would cut partitions alike
+        df = t.df if same_rows else t.df.orderBy(ROW).drop(ROW)
         df.write.parquet(f"{self.path}/{name}/{data}")
         base = self.manifest(name) if known else {}
         m = {"kind": "data", "data": data, "version": version, "schema": json.loads(df.schema.json()), "keywords": keywords if keywords is not None else t.keywords or base.get("keywords", {}), "virtual": virtual or {}}

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .plans.lower import ROW
 
@@ -30,13 +32,13 @@ class Table:
         return cls(out, keywords or {})
 
     @classmethod
-    def read(cls, spark: SparkSession, path: str) -> Table:
+    def read(cls, spark: SparkSession, path: str, schema: T.StructType | None = None) -> Table:
         """A Parquet table; the row number is the place in the file and the number of rows in the files before.
 
         In a single file that takes no job.  Else the rows of each file are counted, which reads footers only, and
         the files' offsets, two numbers for each, are sent to where the files are read.
         """
-        df = spark.read.parquet(path)
+        df = spark.read.parquet(path) if schema is None else spark.read.schema(schema).parquet(path)
         at = F.col("_metadata.row_index")
         files = df.inputFiles()
         if len(files) == 1:
@@ -91,6 +93,7 @@ class Table:
 
 def numbered(df: DataFrame) -> DataFrame:
     """df with contiguous row numbers in the order of its partitions: the sizes of partitions are counted first."""
+    df = _kept(df)
     base = df.drop(ROW).withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()})
     sizes = base.groupBy("__part").agg(F.count(F.lit(1)).alias("n"), F.min("__at").alias("first")).collect()  # a row for each partition
     start, offsets = 0, []
@@ -104,6 +107,18 @@ def numbered(df: DataFrame) -> DataFrame:
     return base.join(moves, "__part").withColumn(ROW, F.col("__at") + F.col("__move")).select(*columns, ROW)
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """df, so that every job sees the same rows in the same partitions.
+
+    What a shuffle gives may be cut into other partitions in each job: their bounds are sampled, and small ones are
+    put together by the size of the columns that the job asks for.  So that is written first.
+    """
+    if not re.search(r"(?<!Broadcast)Exchange", df._jdf.queryExecution().executedPlan().toString()):
+        return df
+    shared = df.sparkSession.sparkContext.getCheckpointDir() is not None
+    return df.checkpoint() if shared else df.localCheckpoint()
+
+
 #: Offsets that are sent to every executor; more are joined by a shuffle.
 MOST_OFFSETS = 1_000_000
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cubeleaf import operators as ops
 from cubeleaf.plans.commands import execute
+from cubeleaf.plans.lower import ROW
 from cubeleaf.plans.parser import LanguageError
 from cubeleaf.sources import Catalog
 from cubeleaf.sources.catalog import Conflict
@@ -312,3 +313,23 @@ def test_mean_of_no_complex_numbers(spark):
     t = Table.of(spark.createDataFrame([(1, [z]), (2, [])], "K int, Z array<struct<re:double,im:double>>"))
     got = {r.K: r.m for r in execute("SELECT K, mean(Z) AS m FROM $1", t).data().collect()}
     assert tuple(got[1]) == (1.0, 2.0) and tuple(got[2]) == (0.0, 0.0)
+
+
+def test_rows_keep_their_numbers_when_partitions_are_cut_anew(spark, tmp_path):
+    wide = Table.of(spark.range(60000, numPartitions=3).select((F.col("id") * 7919 % 60000).alias("v"), F.sha2(F.col("id").cast("string"), 256).alias("s")))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.parallelismFirst")}
+    for k, v in zip(before, ("40", "200k", "false"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        c = Catalog(spark, f"file://{tmp_path}")
+        c.save("t", wide)
+        c.save_rows("few", "t", ops.query(c.table("t"), "v % 3 == 0"), {"x": "v"})
+        execute("DELETE FROM t WHERE v < 100", catalog=c)
+        assert sorted(r.x for r in c.table("few").df.collect()) == list(range(0, 60000, 3))
+        for t, n in ((c.table("t", 1), 60000), (c.table("t"), 59900), (ops.query(wide, orderby="v").numbered(), 60000)):
+            assert t.df.agg(F.count("*"), F.count_distinct(ROW), F.min(ROW), F.max(ROW)).first() == (n, n, 0, n - 1)
+        assert ops.query(wide, orderby="v").numbered().df.where(F.col(ROW) != F.col("v")).count() == 0
+        assert c.table("t").df.join(c.table("t", 1).df.withColumnRenamed(ROW, "old"), ["v", "s"]).orderBy("old").select(ROW).limit(500).collect() == [Row(**{ROW: i}) for i in range(500)]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
