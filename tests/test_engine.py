@@ -333,3 +333,16 @@ def test_rows_keep_their_numbers_when_partitions_are_cut_anew(spark, tmp_path):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_pairs_of_one_bucket_are_spread_over_tasks(spark, monkeypatch):
+    import importlib
+
+    monkeypatch.setattr(importlib.import_module("cubeleaf.operators.join"), "PAIRS_A_TASK", 500, raising=False)
+    l = Table.of(spark.range(300).coalesce(1).select(F.col("id").alias("i"), (F.col("id") % 3).cast("double").alias("x")))
+    r = Table.of(spark.range(90).coalesce(1).select(F.col("id").alias("j"), (F.col("id") % 2).cast("double").alias("a"), (F.col("id") % 2 + 1.0).alias("b")))
+    out = ops.join(l, r, "L.x BETWEEN R.a AND R.b", multi=True, unmatched="drop").df
+    slow = l.df.join(r.df, F.col("x").between(F.col("a"), F.col("b"))).select("i", "j")
+    assert sorted(map(tuple, out.select("i", "j").collect())) == sorted(map(tuple, slow.collect()))
+    sizes = [x["count"] for x in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 10 and max(sizes) < sum(sizes) / 4
