@@ -346,3 +346,11 @@ def test_pairs_of_one_bucket_are_spread_over_tasks(spark, monkeypatch):
     assert sorted(map(tuple, out.select("i", "j").collect())) == sorted(map(tuple, slow.collect()))
     sizes = [x["count"] for x in out.groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) > 10 and max(sizes) < sum(sizes) / 4
+
+
+def test_left_values_beyond_all_intervals_are_not_joined(spark):
+    l = Table.of(spark.range(1000).select(F.col("id").alias("i"), F.col("id").cast("double").alias("x")))
+    r = Table.of(spark.createDataFrame([(0, 10.0, 11.5), (1, 12.0, 13.0)], "j int, a double, b double"))
+    out = ops.join(l, r, "L.x BETWEEN R.a AND R.b", multi=True, unmatched="drop").df
+    assert {(p.i, p.j) for p in out.collect()} == {(10, 0), (11, 0), (12, 1), (13, 1)}
+    assert "<= 13.0" in out._jdf.queryExecution().optimizedPlan().toString()
