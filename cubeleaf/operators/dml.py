@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
@@ -112,12 +112,17 @@ def _write(df: DataFrame, name: str, v: Value, ctx: Context) -> DataFrame:
     return df.withColumn(name, F.when(F.col("__hit"), new).otherwise(old)).withMetadata(name, df.schema[name].metadata)
 
 
-def _picked(cells: Column, at: Column) -> Column:
-    return F.transform(at, lambda i: F.element_at(cells, i))
+def _bound(values: list[Column], f: Callable[[list[Column]], Column]) -> Column:
+    """f of values that are computed once for a row: within a lambda an expression is computed for each element."""
+    names = [f"v{i}" for i in range(len(values))]
+    return F.element_at(F.transform(F.array(F.struct(*(v.alias(n) for v, n in zip(values, names, strict=True)))), lambda s: f([s[n] for n in names])), 1)
 
 
 def _write_part(df: DataFrame, target, v: Value, ctx: Context) -> DataFrame:
-    """A slice or the elements of a mask: each element of the cell is replaced where the subscript selects it."""
+    """A slice or the elements of a mask: each element of the cell is replaced where the subscript selects it.
+
+    Slices of slices are a first place, a step and a number of places, so an element is tested by arithmetic.
+    """
     chain = []
     while target[0] == "sub":
         chain.append(target[2])
@@ -128,31 +133,55 @@ def _write_part(df: DataFrame, target, v: Value, ctx: Context) -> DataFrame:
         raise LanguageError("only one-dimensional cells can be set in part")
     old = F.col(f"`{name}`")
     cell = from_column(old, kind)
-    n = F.size(old)
-    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    mask = None
-    for subs in reversed(chain):
-        from ..plans.lower import _index, _slice
+    cuts, mask = [], None
+    from ..plans.lower import _index, bounds
 
+    for subs in reversed(chain):
         if len(subs) != 1:
             raise LanguageError("one subscript is needed")
-        if subs[0][0] == "range":
-            cut, _ = _slice(ctx, subs[0], F.size(places))
-            places = _picked(places, cut)
-        else:
-            flags = lower(subs[0], ctx) if subs[0] != ("end",) else None
-            if flags is not None and flags.is_array and flags.type == "bool":
+        if subs[0][0] != "range" and subs[0] != ("end",):
+            flags = lower(subs[0], ctx)
+            if flags.is_array and flags.type == "bool":
                 mask = flags.col
                 continue
-            places = F.array(F.element_at(places, _index(ctx, subs[0], F.size(places))))
-    if v.is_array:
-        new = F.transform(old, lambda x, i: F.when(F.array_contains(places, i + 1), assigned(Value(F.get(v.col, F.array_position(places, i + 1).cast("int") - 1), v.type), kind.elementType, x)).otherwise(x))
-        if mask is not None:
-            new = F.transform(old, lambda x, i: F.when(F.array_contains(places, i + 1) & F.element_at(mask, (i + 1)), assigned(Value(F.element_at(v.col, i + 1), v.type), kind.elementType, x)).otherwise(x))
-    else:
-        chosen = lambda i: F.array_contains(places, i + 1) if mask is None else F.array_contains(places, i + 1) & F.element_at(mask, i + 1)
-        new = F.transform(old, lambda x, i: F.when(chosen(i), assigned(v, kind.elementType, x)).otherwise(x))
+        cuts.append(subs[0])
+
+    def cut_to(k: int, first: Column, step: Column, n: Column, last: Callable[[Column, Column, Column], Column]) -> Column:
+        """last of the places that are left after the cuts from the k-th on."""
+        if k == len(cuts):
+            return last(first, step, n)
+        if cuts[k][0] == "range":
+            low, high, by, bad = bounds(ctx, cuts[k], n)
+        else:
+            low = high = _index(ctx, cuts[k], n)
+            by, bad = F.lit(1), (low < 1) | (low > n)
+        by = F.when(high == low, 1).when(by > 0, by).otherwise(F.raise_error(F.lit("a step must be positive")))
+        size = F.floor((high - low) / by).cast("int") + 1
+        size = F.when(n == 0, 0).otherwise(size) if bad is None else F.when(bad, F.raise_error(F.lit("subscript out of range"))).otherwise(size)
+        return _bound([first + (low - 1) * step, step * by, size], lambda s: cut_to(k + 1, *s, last))
+
+    def written(first: Column, step: Column, n: Column) -> Column:
+        once = [c for c in (mask, None if v.literal is not None and not v.is_array else v.col) if c is not None]
+
+        def cells(s: list[Column]) -> Column:
+            flags = s[0] if mask is not None else None
+            value = s[-1] if v.is_array or v.literal is None else v.col
+
+            def element(x: Column, i: Column) -> Column:
+                at = i + 1 - first
+                chosen = (at >= 0) & (at <= (n - 1) * step) & (at % step == 0) if cuts else F.lit(True)
+                if mask is not None:
+                    chosen = chosen & F.element_at(flags, i + 1)
+                one = value if not v.is_array else F.element_at(value, i + 1) if mask is not None else F.get(value, F.floor(at / step).cast("int"))
+                return F.when(chosen, assigned(replace(v, col=one, rank=0, mask=None), kind.elementType, x)).otherwise(x)
+
+            return F.transform(old, element)
+
+        return _bound(once, cells) if once else cells([])
+
     assert cell.rank == 1
+    n = F.size(old)
+    new = F.when(n > 0, cut_to(0, F.lit(1), F.lit(1), n, written)).otherwise(old)
     return df.withColumn(name, F.when(F.col("__hit"), new.cast(kind)).otherwise(old))
 
 

@@ -459,18 +459,22 @@ def _sub(ctx: Context, tree, subs) -> Value:
 
 def _slice(ctx: Context, item, size: Column) -> tuple[Column, Column]:
     """The indices of lo:hi:step, and how many they are; out of range or reversed is an error."""
-    low = _index(ctx, item[1], size) if item[1] is not None else F.lit(1)
-    high = _index(ctx, item[2], size) if item[2] is not None else size
-    step = lower(item[3], ctx).col.cast("int") if item[3] is not None else F.lit(1)
-    bad = (low < 1) | (high > size) | (low > high)
-    if item[1] is None and item[2] is None:
-        bad = F.lit(False)
+    low, high, step, bad = bounds(ctx, item, size)
+    if bad is None:
         cut = F.when(size > 0, F.sequence(low, high.cast("int"), step)).otherwise(F.array().cast("array<int>"))
         return cut, F.size(cut)
     cut = F.when(bad, F.raise_error(F.lit("subscript out of range"))).otherwise(F.sequence(low.cast("int"), high.cast("int"), step))
     return cut, F.size(cut)
 
 
+def bounds(ctx: Context, item, size: Column) -> tuple[Column, Column, Column, Column | None]:
+    """First and last index and step of lo:hi:step, and whether they are wrong; None for a whole axis."""
+    low = _index(ctx, item[1], size) if item[1] is not None else F.lit(1)
+    high = _index(ctx, item[2], size) if item[2] is not None else size
+    step = lower(item[3], ctx).col.cast("int") if item[3] is not None else F.lit(1)
+    return low, high, step, None if item[1] is None and item[2] is None else (low < 1) | (high > size) | (low > high)
+
+
 def _spread(outer: Column, inner: Column, size: Column) -> Column:
     """Flat places of one more axis of the given size, which varies faster."""
     return F.flatten(F.transform(outer, lambda o: F.transform(inner, lambda i: o * size + i - 1)))

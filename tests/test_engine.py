@@ -354,3 +354,18 @@ def test_left_values_beyond_all_intervals_are_not_joined(spark):
     out = ops.join(l, r, "L.x BETWEEN R.a AND R.b", multi=True, unmatched="drop").df
     assert {(p.i, p.j) for p in out.collect()} == {(10, 0), (11, 0), (12, 1), (13, 1)}
     assert "<= 13.0" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_parts_of_cells_are_set_by_arithmetic(spark):
+    t = Table.of(spark.createDataFrame([(1, list(range(1, 11))), (2, []), (3, None), (4, [5, -1])], "A int, V array<int>").coalesce(1))
+    cell = lambda target, value, row=1: {r.A: r.V for r in ops.update(t, [(target, value)], f"A == {row} OR A > 1 AND A < 4")[0].df.collect()}
+    base = list(range(1, 11))
+    for target, places in (("V[2:5]", [2, 3, 4, 5]), ("V[1:9:3]", [1, 4, 7]), ("V[-3:10]", [7, 8, 9, 10]), ("V[3:9:2][2:4:2]", [5, 9]), ("V[end]", [10]), ("V[2:8][3]", [4]), ("V[6:6:0]", [6]), ("V[V > 4 && V < 7]", [5, 6]), ("V[3:8][V % 2 == 0]", [4, 6, 8]), ("V[:3]", [1, 2, 3])):
+        got = cell(target, "0")
+        assert got == {1: [0 if x in places else x for x in base], 2: [], 3: None, 4: [5, -1]}, target
+    assert cell("V[2:5]", "V[4:7]*10")[1] == [1, 40, 50, 60, 70, *base[5:]]
+    assert cell("V[V > 8]", "V*10")[1] == [*base[:8], 90, 100] and cell("V[1:3]", "sum(V)")[1] == [55, 55, 55, *base[3:]]
+    with pytest.raises(PySparkException):
+        cell("V[2:5]", "0", 4)
+    plan = ops.update(t, [("V[2:5]", "0"), ("V[V > 4]", "9")])[0].df._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence" not in plan and "array_contains" not in plan
