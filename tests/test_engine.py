@@ -369,3 +369,25 @@ def test_parts_of_cells_are_set_by_arithmetic(spark):
         cell("V[2:5]", "0", 4)
     plan = ops.update(t, [("V[2:5]", "0"), ("V[V > 4]", "9")])[0].df._jdf.queryExecution().optimizedPlan().toString()
     assert "sequence" not in plan and "array_contains" not in plan
+
+
+def test_cells_pass_through_python_once(spark, tmp_path):
+    from cubeleaf.queries import QUERIES
+
+    spark.createDataFrame([(i, [float(x * i) for x in range(64)]) for i in range(3)], "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = QUERIES["F12_collapse_second"](spark, str(tmp_path))
+    assert sorted(map(tuple, out.collect())) == [(i, k, float((k - 1) * i)) for i in range(3) for k in range(1, 9)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("EvalPython") == 1
+
+
+def test_cell_functions_of_missing_and_masked_cells(spark):
+    t = Table.of(spark.createDataFrame([(1, [1.0, math.nan, 3.0, 4.0]), (2, None), (3, [5.0, 6.0, 7.0, 8.0])], "K int, V array<double>").coalesce(1))
+    run = lambda e: {r.K: r.r for r in execute(f"SELECT K, {e} AS r FROM $1 WHERE K != 2", t).data().collect()}
+    assert run("flatten(maxs(array(V, 2, 2), 1))")[3] == [6.0, 8.0] and math.isnan(run("flatten(maxs(array(V, 2, 2), 1))")[1][0])
+    assert run("flatten(sums(array(V, 2, 2), 2))")[3] == [12.0, 14.0]
+    assert run("arraydata(maxs(marray(array(V, 2, 2), array(V, 2, 2) > 6), 1))")[3].data == [6.0, 0.0]
+    assert run("flatten(maxs(marray(array(V, 2, 2), array(V, 2, 2) > 6), 1))")[3] == [6.0]
+    assert run("flatten(anys(array(V, 2, 2) > 7, 1))")[3] == [False, True]
+    assert run("runningmax(V, 1)")[3] == [0.0, 7.0, 8.0, 0.0]
+    whole = {r.K: r.r for r in execute("SELECT K, arraydata(runningmax(V, 1)) AS r FROM $1", t).data().collect()}
+    assert whole[2] == [] and whole[3] == [0.0, 7.0, 8.0, 0.0]
