@@ -352,6 +352,38 @@ def test_lm_base_and_normalisation(awkward):
     assert np.allclose(np.exp(s.astype(np.float64)).sum(axis=1), 1, atol=1e-4)
 
 
+@pytest.mark.parametrize("width", [4, 5])
+def test_lm_step(monkeypatch, width):
+    """A step equals the plain sums over tokens, and its noise costs one row for each different context."""
+    rng = np.random.default_rng(4)
+    size, rate, batch = 40, 0.15, 600
+    noise = rng.random(size) + 0.1
+    noise /= noise.sum()
+    r, q, b = rng.normal(0, 0.3, (size + 1, width)), rng.normal(0, 0.3, (size, width)), np.log(noise)
+    none = np.zeros(0, np.uint64)
+    model = lm.LanguageModel(none, np.arange(size), none, np.zeros(0), 0, 0, np.zeros(0), noise, *(x.astype(np.float32) for x in (r, q, b)))
+    trainer = lm.Trainer(model, batch=batch, noise=16, rate=rate, seed=7)
+    c, t = rng.integers(0, 12, batch), rng.integers(0, 20, batch)
+    rows, sigmoid = [], lm._sigmoid
+    monkeypatch.setattr(lm, "_sigmoid", lambda x: rows.append(len(x)) or sigmoid(x))
+    trainer._step(c, t)
+    assert sorted(rows) == [len(set(c)), batch]
+
+    n = np.minimum(np.searchsorted(np.cumsum(noise), np.random.default_rng(7).random(16)), size - 1)
+    logistic = lambda x: 1 / (1 + np.exp(-x))
+    dr, dq, db = np.zeros_like(r), np.zeros_like(q), np.zeros_like(b)
+    for x, w in zip(c, t, strict=True):
+        for y, is_data in [(w, 1), *((y, 0) for y in n)]:
+            g = is_data - logistic(r[x] @ q[y] + b[y] - np.log(16 * noise[y]))
+            dr[x] += g * q[y]
+            dq[y] += g * r[x]
+            db[y] += g
+    for got, was, d, k in [(trainer.r, r, dr, rate), (trainer.q, q, dq, rate), (trainer.b, b, db, rate * 0.1)]:
+        squares = 1e-2 + (d**2).reshape(len(d), -1).mean(axis=1)
+        want = was + k * (d.T / np.sqrt(squares)).T
+        assert np.allclose(got, want, atol=1e-4)
+
+
 def test_language(spark, awkward):
     rng = random.Random(8)
     words = {"aa": ["bala", "bela", "bola", "balo"], "bb": ["krit", "krat", "trik", "krot"]}
